@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_prototypes, identify_languages
 
@@ -46,6 +52,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls, rules_frame
 
@@ -58,6 +70,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -66,6 +84,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_toxicity, op5_decontamination, op7_url_filters, op8_sharding, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_language_id, op3_best_fit_packing, op4_toxicity, op5_decontamination,
+        op6_embedding_dedup, op7_url_filters, op8_sharding, op9_minhash_dedup, op10_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
