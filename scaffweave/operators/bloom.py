@@ -1,0 +1,51 @@
+"""Bloom filters over k-mers: sizes in closed form, and membership by JVM expressions."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: 64-bit words of a filter; the sketch that is sent to every task has this size whatever the data's.
+MAX_WORDS = 1 << 17
+
+
+def optimal_bits(entries: int, false_positives: float, hashes: int) -> int:
+    """Bits of a filter with this many hashes that keeps the false positive rate."""
+    return round(-entries * hashes / math.log(1 - false_positives ** (1 / hashes)))
+
+
+def optimal_hashes(bits: int, entries: int) -> int:
+    return max(1, round(bits / max(1, entries) * math.log(2)))
+
+
+def false_positive_rate(bits: int, entries: int, hashes: int) -> float:
+    return (1 - math.exp(-hashes * entries / bits)) ** hashes
+
+
+def redundant_rate(bits: int, entries: int, hashes: int) -> float:
+    """The expected share of entries that look present when they are inserted one after another."""
+    total = sum(false_positive_rate(bits, i, hashes) for i in range(0, entries, max(1, entries // 1000)))
+    return total / len(range(0, entries, max(1, entries // 1000)))
+
+
+def _places(entry: Column, hashes: int, bits: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(i), entry), F.lit(bits)) for i in range(hashes)])
+
+
+def build(entries: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
+    """(word, mask): the filter's words that are not 0, summed up from all partitions."""
+    places = entries.select(F.explode(_places(F.col(column), hashes, bits)).alias("p")).distinct()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))
+    return places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("mask"))
+
+
+def maybe_members(rows: DataFrame, column: str, words: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """Rows whose entry may be in the filter, by a join of their places with its words."""
+    key = rows.select(column).distinct()
+    asked = key.select(column, F.explode(_places(F.col(column), hashes, bits)).alias("p"))
+    hit = asked.withColumn("word", F.shiftright("p", 6)).join(words, "word")
+    hit = hit.filter(F.call_function("shiftright", F.col("mask"), F.col("p").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    kept = hit.groupBy(column).agg(F.count("*").alias("__n")).join(asked.groupBy(column).agg(F.count("*").alias("__all")), column).filter("__n = __all")
+    return rows.join(kept.select(column), column, "left_semi")

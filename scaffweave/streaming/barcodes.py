@@ -1,0 +1,17 @@
+"""Barcode counts over a stream of reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def barcode_counts(reads: DataFrame, barcode: str = "barcode") -> DataFrame:
+    """Running (barcode, mult); write it in complete or update mode."""
+    return reads.filter(F.col(barcode).isNotNull() & (F.col(barcode) != "")).groupBy(F.col(barcode).alias("barcode")).agg(F.count("*").alias("mult"))
+
+
+def windowed_counts(reads: DataFrame, time: str, window: str = "1 hour", late: str = "1 hour", barcode: str = "barcode") -> DataFrame:
+    """(start, barcode, mult) in tumbling windows of event time; rows later than the watermark are dropped."""
+    grouped = reads.withWatermark(time, late).groupBy(F.window(time, window), F.col(barcode).alias("barcode")).agg(F.count("*").alias("mult"))
+    return grouped.select(F.col("window.start").alias("start"), "barcode", "mult")
