@@ -71,8 +71,9 @@ def ambiguity_is_subset(a: Column, b: Column) -> Column:
 def nucleotides_to_colours(seq: Column) -> Column:
     """Colours of neighbouring bases: the exclusive or of their two-bit codes; '.' beside other letters."""
     codes = F.transform(F.split(F.upper(seq), ""), lambda c: F.instr(F.lit("ACGT"), c) - 1)
-    pairs = F.arrays_zip(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))).alias("a"), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))).alias("b"))
-    return F.array_join(F.transform(pairs, lambda p: F.when((p["0"] < 0) | (p["1"] < 0), F.lit(".")).otherwise(p["0"].bitwiseXOR(p["1"]).cast("string"))), "")
+    rest = F.greatest(F.size(codes) - 1, F.lit(0))
+    colour = lambda x, y: F.when((x < 0) | (y < 0), F.lit(".")).otherwise(x.bitwiseXOR(y).cast("string"))
+    return F.array_join(F.zip_with(F.slice(codes, F.lit(1), rest), F.slice(codes, F.lit(2), rest), colour), "")
 
 
 def sense_sign(orientation: Column, first: bool) -> Column:

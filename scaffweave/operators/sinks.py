@@ -43,7 +43,7 @@ def dist_gv_lines(digraph: DataFrame, lengths: DataFrame) -> DataFrame:
     node_lines = ends.select(F.concat("contig", "s").alias("place"), F.concat(q, "contig", "s", q, F.lit(" [l="), "length", F.lit("]")).alias("value"))
     edge_lines = digraph.select(
         F.concat_ws("\t", "src", "src_strand", "dst", "dst_strand").alias("place"),
-        F.concat(q, "src", "src_strand", q, F.lit(" -> "), q, "dst", "dst_strand", q, F.lit(" [d="), "d", F.lit(" e="), F.format_number("e", "0.0"), F.lit(" n="), "n", F.lit("]")).alias("value"),
+        F.concat(q, "src", "src_strand", q, F.lit(" -> "), q, "dst", "dst_strand", q, F.lit(" [d="), "d", F.lit(" e="), F.format_string("%.1f", F.col("e").cast("double")), F.lit(" n="), "n", F.lit("]")).alias("value"),
     )
     return _lines([one("digraph arcs {"), node_lines, edge_lines, one("}")])
 

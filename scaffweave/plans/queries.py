@@ -64,13 +64,14 @@ _CTES = {
     "solid": "select doc_id, replace(seq, ' ', '') seq from seqs",
     "windows": "select doc_id, i, substr(seq, i, 12) w from seqs, (select unnest(range(1, (select max(length(seq)) from seqs) - 10)) i) where i <= length(seq) - 11",
     "canon": "select doc_id, i, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from windows",
-    "pairs_raw": """select event_id ord, cast((event_id - case when event_id % 7 = 0 then 1 else 0 end) // 2 as varchar) qname,
+    "pairs_raw": """select event_id ord, cast(cast(floor((event_id - case when event_id % 7 = 0 then 1 else 0 end) / 2) as bigint) as varchar) qname,
         case when event_id % 5 = 0 then 97 when event_id % 2 = 0 then 99 else 147 end flag, 'c' || (user_id % 3) rname, cast(floor(value) as int) % 400 + 1 pos,
         case when event_id % 11 = 0 then 0 else 60 end mapq, 100 - event_id % 10 - event_id % 4 si, (user_id // 3) || '-1' barcode from events""",
     "mates": """select qname, min_by(flag, ord) f1, max_by(flag, ord) f2, min_by(mapq, ord) m1, max_by(mapq, ord) m2, min_by(si, ord) s1, max_by(si, ord) s2,
         min_by(rname, ord) r1, max_by(rname, ord) r2, max_by(barcode, ord) barcode, min_by(pos, ord) p1, max_by(pos, ord) p2
         from pairs_raw group by qname having count(*) = 2 and max(ord) < (select max(ord) from pairs_raw)""",
     "reads": "select item_id, translate(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') seq from benchmark",
+    "reads_canon": "select item_id, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from (select item_id, substr(seq, i, 12) w from reads, (select unnest(range(1, 2000)) i) where i <= length(seq) - 11)",
     "brands": "select p_brand contig, row_number() over (order by p_brand) k from (select distinct p_brand from part)",
     "est_rows": "select l_suppkey % 50 src_, l_partkey % 20 dst_, cast(l_quantity as int) d, cast(1 + l_linenumber as double) e, cast(l_quantity as bigint) n from lineitem",
 }
@@ -293,13 +294,12 @@ def agg_kmer_index(spark, sf):
 @_query("""select item_id, end_idx, cnt from (
     select item_id, end_idx, cnt, total, row_number() over (partition by item_id order by cnt desc, end_idx) k from (
       select r.item_id, x.doc_id + 1 end_idx, count(*) cnt from reads_canon r join (select kmer, min(doc_id) doc_id from canon where kmer is not null group by kmer having min(doc_id) = max(doc_id)) x using (kmer) group by all)
-    join (select item_id, count(*) total from reads_canon group by all) using (item_id)) where k = 1 and cnt / total > 0.05""")
+    join (select item_id, count(*) total from reads_canon group by all) using (item_id)) where k = 1 and cnt / total > 0.001""")
 def agg_best_contig(spark, sf):
     index = km.kmer_index(_windows(spark, sf).withColumn("end_idx", F.col("doc_id") + 1))
     reads = st.table(spark, sf, "benchmark").select("item_id", st.bases(F.col("text")).alias("seq"))
-    return km.best_contig(km.kmer_rows(reads, "seq", 12, ["item_id"]), index, 0.05, ["item_id"])
+    return km.best_contig(km.kmer_rows(reads, "seq", 12, ["item_id"]), index, 0.001, ["item_id"])
 
-_CTES["reads_canon"] = "select item_id, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from (select item_id, substr(seq, i, 12) w from reads, (select unnest(range(1, 2000)) i) where i <= length(seq) - 11)"
 
 
 @_query("select doc_id, regexp_full_match(replace(seq, ' ', 'N'), '[ACGTN]*') and length(seq) - length(replace(seq, ' ', '')) <= 0.02 * length(seq) ok from seqs")
@@ -396,10 +396,10 @@ def lr_dist(spark, sf):
     return lr.length_percentile(st.solid_sequences(spark, sf), 90)
 
 
-@_query("""select category, node_a, node_b, links, gap from (
+@_query("""select category, t.a node_a, t.b node_b, links, gap from (
     select case when dist is null then 10 when dist < 0 then -1 when dist < 500 then 500 when dist < 1000 then 1000 when dist < 5000 then 5000 else 10000 end category,
       unnest([{'a': case when orientation < 2 then 'r' else 'f' end || x.k, 'b': case when orientation % 2 = 0 then 'f' else 'r' end || y.k}, {'a': case when orientation % 2 = 0 then 'r' else 'f' end || y.k, 'b': case when orientation < 2 then 'f' else 'r' end || x.k}]) t,
-      t.a node_a, t.b node_b, weight links, cast(weight * coalesce(dist, 100) as bigint) gap
+      weight links, cast(weight * coalesce(dist, 100) as bigint) gap
     from edges e left join est using (u, v, orientation) join brands x on x.contig = e.u join brands y on y.contig = e.v)""")
 def ck_rows(spark, sf):
     edges = ds.edges_with_distances(_edges(spark, sf), ds.estimate_distances(_near(spark, sf)))
