@@ -12,6 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_fields
 from .words import ALNUM, byte_values, find_words, room, runs, text_buffer, word_hashes
 
 WINDOW = 10
@@ -243,11 +244,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
     """
     new = ("n_words", "n_hit", "items", "clean_text")
     kept = [c for c in docs.columns if c not in new]
-    out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "clean_text": F.lit("")})
+    shape = with_fields(docs.select(*kept), "n_words long, n_hit long, items array<string>, clean_text string")
     blocks = list(_blocks(benchmark, item, benchmark_text))
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(phrases_of(b)) for b in blocks]
-    return docs.select(*kept).mapInArrow(_search(sent, text), out.schema)
+    return docs.select(*kept).mapInArrow(_search(sent, text), shape)
 
 
 def _search(sent: list[Broadcast], text: str):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, with_fields
 from .words import runs, text_buffer
 
 DIM = 1024
@@ -163,5 +163,5 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], tex
             columns = [*batch.columns[1:], pa.array(labels[best].tolist(), pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    shape = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    shape = with_fields(docs.select(*kept), "lang_pred string, score double")
     return docs.select(F.col(text).alias("__text"), *kept).mapInArrow(judge, shape)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_by_hash
+from .common import held_out, sample_by_hash, with_fields
 from .words import SPACED, byte_values, find_words, mix, runs, text_buffer, word_hashes
 
 #: Rows of the embedding table that words and n-grams are hashed into.
@@ -117,5 +117,5 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text", keep: list[s
                 score[lo:hi][some] = 1 / (1 + np.exp(-(total[some] / n[some] + bias)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=[*kept, "score"])
 
-    shape = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+    shape = with_fields(docs.select(*kept), "score double")
     return docs.select(F.col(text).alias("__text"), *kept).mapInArrow(judge, shape)

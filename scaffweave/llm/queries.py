@@ -84,6 +84,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _rules():
+    from .urls import RULES
+
+    return RULES
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,4 +98,47 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: The same results stated without the methods. Learned models, token ids, CRC-32 and shard hashes have none.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        windows as (select doc_id, i, array_to_string(w[i:i + 49], ' ') x from (select doc_id, w, unnest(range(1, len(w) - 48)) i from docs where len(w) >= 50)),
+        gone as (select distinct doc_id, unnest(range(i, i + 50)) k from (select doc_id, i, min(doc_id) over (partition by x) first_id from windows) where first_id < doc_id),
+        kept as (select d.doc_id, string_agg(word, ' ' order by d.k) t, count(*) n from (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) k from docs) d
+          left join gone g on g.doc_id = d.doc_id and g.k = d.k where g.k is null group by d.doc_id)
+        select doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from docs left join kept using (doc_id)""",
+    "op5_decontamination": rf"""
+        with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+        items as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+        phrases as (select distinct item, least(len(w), 10) n, array_to_string(w[i:i + 9], ' ') x from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from items where len(w) > 0)),
+        found as (select doc_id, i, p.n, item from (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') x from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) i
+          from docs cross join (select distinct n from phrases) where len(w) >= n)) d join phrases p on p.x = d.x and p.n = d.n),
+        hits as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(i, i + n)) k from (select distinct doc_id, i, n from found)) group by doc_id),
+        named as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) t from (select distinct doc_id, item from found) group by doc_id)
+        select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(t, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+        from docs left join hits using (doc_id) left join named using (doc_id)""",
+    "op6_embedding_dedup": """
+        with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings),
+        ok as (select * from v where e is not null and len(e) > 0 and list_aggregate(list_transform(e, lambda x: x is not null and isfinite(x)), 'bool_and') and list_aggregate(list_transform(e, lambda x: x <> 0), 'bool_or')),
+        links as (select a.vec_id a, b.vec_id b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+        select vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(low, vec_id)) component_id, vec_id = least(vec_id, coalesce(low, vec_id)) kept
+        from v left join (select a, count(*) n from links group by a) x on x.a = vec_id left join (select a, min(b) low from reach group by a) y on y.a = vec_id""",
+    "op7_url_filters": f"""
+        with rules as (select * from (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in _rules())}) t(h, p, v)),
+        cut as (select page_id, row_number() over () k, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end rest from pages),
+        parts as (select page_id, k, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_CAPITALS}) host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from cut),
+        fits as (select page_id, k, host, path, h || p rule, v, row_number() over (partition by k order by length(h || p) desc nulls last) best
+          from parts left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+        select page_id, host, path, rule, coalesce(v, 'allow') verdict from fits where best = 1""",
+    "op9_minhash_dedup": rf"""
+        with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x20\x09-\x0D]+') w from documents),
+        shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') x from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from docs where len(w) > 0)),
+        sizes as (select doc_id, count(*) n from shingles group by doc_id),
+        links as (select a, b from (select s.doc_id a, t.doc_id b, count(*) k from shingles s join shingles t using (x) where s.doc_id <> t.doc_id group by all) join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 85 * (p.n + q.n - k)),
+        reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+        select doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(low, doc_id)) component_id, doc_id = least(doc_id, coalesce(low, doc_id)) kept
+        from docs left join sizes using (doc_id) left join (select a, min(b) low from reach group by a) y on y.a = doc_id""",
+}

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, total_bytes
+from .common import partitions, total_bytes, with_fields
 from .words import SPACED, byte_values, find_words, rolling, room, runs, text_buffer, word_hashes
 
 WINDOW = 50
@@ -76,10 +75,12 @@ def _probe(text: str, buckets: int):
         key, at, block = _anchors(h, first)
         order = np.argsort(key, kind="stable")
         key, at, block = key[order], at[order], block[order]
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        if not len(key):
+            return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         doc = np.searchsorted(first, at, side="right")
         last = np.append(heads[1:], len(key)) - 1
-        some = np.logical_or.reduceat(block, heads) if len(heads) else np.zeros(0, bool)
+        some = np.logical_or.reduceat(block, heads)
         several = doc[heads] != doc[last]
         key = key[heads]
         packed = ((key & _MASK) << np.uint64(2)) | (some.astype(np.uint64) << np.uint64(1)) | several.astype(np.uint64)
@@ -256,6 +257,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     hits = probes.groupBy("bucket").applyInArrow(_match, "chunk long, keys binary")
     windows = placed.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend("__key", text, buckets), "bucket long, chunk long, keys binary, low binary, several binary")
     owners = windows.groupBy("bucket").applyInArrow(_first_owner, "chunk long, keys binary, low binary")
-    added = {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit("")} | ({"kept_text": F.lit("")} if with_text else {})
-    shape = docs.select(*kept).withColumns(added).schema
+    shape = with_fields(docs.select(*kept), "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     return placed.groupBy("chunk").cogroup(owners.groupBy("chunk")).applyInArrow(_remove("__key", text, kept, with_text), shape)

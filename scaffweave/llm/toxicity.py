@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_by_hash
+from .common import held_out, sample_by_hash, with_fields
 from .words import ALNUM, byte_values, find_words, runs, text_buffer, word_hashes
 
 #: Labelled documents that lexicon and weights are learned from, at most (chosen by a hash of the id).
@@ -230,5 +230,5 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text", keep: list[
             score = 1 / (1 + np.exp(-(w[0] + np.log1p(counts) @ w[1:])))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=[*kept, "score"])
 
-    shape = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+    shape = with_fields(docs.select(*kept), "score double")
     return docs.select(F.col(text).alias("__text"), *kept).mapInArrow(judge, shape)
