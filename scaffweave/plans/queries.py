@@ -17,6 +17,7 @@ from ..operators import graph as gr
 from ..operators import kmers as km
 from ..operators import longreads as lr
 from ..operators import pairs as pr
+from ..operators import sinks
 from ..operators.numbering import number_rows
 from ..sources.sequences import fasta_index
 from . import standins as st
@@ -71,6 +72,16 @@ _CTES = {
         min_by(rname, ord) r1, max_by(rname, ord) r2, max_by(barcode, ord) barcode, min_by(pos, ord) p1, max_by(pos, ord) p2
         from pairs_raw group by qname having count(*) = 2 and max(ord) < (select max(ord) from pairs_raw)""",
     "reads": "select item_id, translate(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') seq from benchmark",
+    "ids": """select id, row_number() over (order by place) k from (select id, min(place) place from (
+        select u id, 2 * (row_number() over (order by u, v)) place from edges union all select v, 2 * (row_number() over (order by u, v)) + 1 from edges) group by id)""",
+    "cuts": """select doc_id, substr(seq, 1, 60) s1, reverse(translate(substr(seq, 61, 60), 'ACGT', 'TGCA')) s2 from solid where length(seq) >= 120""",
+    "end_rows": """select 2 * k - h end_idx, contig, h = 1 is_head, case when h = 1 then substr(seq, 1, cut) else substr(seq, length(seq) - cut + 1, cut) end seq from (
+        select row_number() over (order by doc_id) k, doc_id contig, seq, case when length(seq) <= 600 then length(seq) // 2 else 300 end cut from solid where length(seq) >= 500) cross join (select unnest([1, 0]) h)""",
+    "end_index": """select kmer, min(end_idx) end_idx from (select end_idx, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (select end_idx, substr(seq, i, 20) w from end_rows, (select unnest(range(1, 282)) i) where i <= length(seq) - 19))
+        group by kmer having min(end_idx) = max(end_idx)""",
+    "mate_best": """select doc_id, mate, end_idx from (select doc_id, mate, end_idx, cnt, row_number() over (partition by doc_id, mate order by cnt desc, end_idx) k from (
+        select doc_id, mate, end_idx, count(*) cnt from (select doc_id, mate, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (
+          select doc_id, mate, substr(s, i, 20) w from (select doc_id, 1 mate, s1 s from cuts union all select doc_id, 2, s2 from cuts), (select unnest(range(1, 42)) i))) join end_index using (kmer) group by all)) where k = 1 and cnt / 41 > 0.55""",
     "reads_canon": "select item_id, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from (select item_id, substr(seq, i, 12) w from reads, (select unnest(range(1, 2000)) i) where i <= length(seq) - 11)",
     "brands": "select p_brand contig, row_number() over (order by p_brand) k from (select distinct p_brand from part)",
     "est_rows": "select l_suppkey % 50 src_, l_partkey % 20 dst_, cast(l_quantity as int) d, cast(1 + l_linenumber as double) e, cast(l_quantity as bigint) n from lineitem",
@@ -462,3 +473,140 @@ def colour_space(spark, sf):
 def to_si(spark, sf):
     o = st.table(spark, sf, "orders")
     return o.select("o_orderkey", F.regexp_extract(formatting.to_si(F.col("o_totalprice")), "([kMGT]?)$", 1).alias("unit"))
+
+
+@_query("select ord event_id, flag from pairs_raw where flag in (99, 147)")
+def flt_flag(spark, sf):
+    return st.alignments(spark, sf).filter(tags.proper_flag(F.col("flag"))).select(F.col("ord").alias("event_id"), "flag")
+
+
+@_query("select event_id from events where event_id % 3 <> 0 and event_id % 13 <> 0")
+def flt_primary(spark, sf):
+    i = F.col("event_id")
+    flag = (F.lit(99) + F.when(i % 3 == 0, 256).otherwise(0) + F.when(i % 13 == 0, 2048).otherwise(0)).cast("int")
+    return st.table(spark, sf, "events").filter(tags.primary_flag(flag)).select("event_id")
+
+
+@_query("select doc_id, length(seq) length from solid where length(seq) >= 500")
+def flt_min_size(spark, sf):
+    return st.solid_sequences(spark, sf).select("doc_id", F.length("seq").alias("length")).filter("length >= 500")
+
+
+@_query("select barcode, contig, position from pos where barcode in (select barcode from mult where mult >= 600)")
+def flt_known_barcode(spark, sf):
+    known = st.multiplicity(spark, sf).filter("mult >= 600")
+    return st.hits(spark, sf).join(known, "barcode", "left_semi").select("barcode", "contig", "position")
+
+
+@_query("select barcode, contig, head, tail from ht where head + tail >= 24")
+def flt_min_reads_pair(spark, sf):
+    return pr.heads_and_tails(_imap(spark, sf)).filter("head + tail >= 24")
+
+
+@_query("select u, v, orientation, mx weight from best where mx >= 12 and 2 * mx - (mx + sec) > 0.5244005127080407 * sqrt(mx + sec)")
+def flt_min_links(spark, sf):
+    return gr.build_edges(_pairs(spark, sf), 12, st.Z30)
+
+
+@_query("select doc_id, length(seq) length from solid where length(seq) >= 500 and length(seq) >= 800")
+def flt_long_read(spark, sf):
+    return lr.long_enough(st.solid_sequences(spark, sf), 250, 800).select("doc_id", F.length("seq").alias("length"))
+
+
+@_query("select contig, length, case when length <= 60 then length // 2 else 30 end cut from lens")
+def end_cutoff(spark, sf):
+    return st.lengths(spark, sf).select("contig", "length", tags.end_cutoff(F.col("length"), 30).alias("cut"))
+
+
+@_query("select contig, case when position <= 20 then true when position > 30 then false end is_head, count(*) n from pos group by all")
+def head_tail_by_pos(spark, sf):
+    rows = st.hits(spark, sf).withColumn("is_head", tags.is_head_by_position(F.col("position"), F.lit(st.SIZE), st.END))
+    return rows.groupBy("contig", "is_head").agg(F.count("*").alias("n"))
+
+
+@_query("select u, v, case when orientation < 2 then '-' else '+' end us, case when orientation % 2 = 1 then '-' else '+' end vs from edges")
+def sense_sign(spark, sf):
+    o = F.col("orientation")
+    return _edges(spark, sf).select("u", "v", sequence.sense_sign(o, True).alias("us"), sequence.sense_sign(o, False).alias("vs"))
+
+
+@_query("""select contig, round((0.3 * last - floor(0.3 * last)) * d[cast(floor(0.3 * last) as int) + 1] + (1 - (0.3 * last - floor(0.3 * last))) * d[cast(ceil(0.3 * last) as int) + 1], 6) q
+    from (select contig, list_sort(list(head)) d, len(d) - 1 last from ht group by contig)""")
+def agg_quantile(spark, sf):
+    rows = pr.heads_and_tails(_imap(spark, sf)).groupBy("contig").agg(F.sort_array(F.collect_list("head")).alias("d"))
+    return rows.select("contig", F.round(stats.swapped_quantile(F.col("d"), 0.3), 6).alias("q"))
+
+
+@_query("select u, v, 2 * mx - (mx + sec) > 1.6448536269514722 * sqrt(mx + sec) ok from best")
+def agg_link_significance(spark, sf):
+    counts = [F.col(c) for c in pr.COUNTS]
+    most, _ = stats.max_and_index(counts)
+    return _pairs(spark, sf).select("u", "v", stats.significant(most, most + stats.second_largest(counts), st.Z05).alias("ok"))
+
+
+@_query("""select a.event_id // 2 pair, a.user_id % 3 || '-1' barcode from events a join events b on b.event_id = a.event_id + 1 and a.event_id % 2 = 0 where a.user_id % 3 = b.user_id % 3""")
+def scan_fastq_pairs(spark, sf):
+    e, i = st.table(spark, sf, "events"), F.col("event_id")
+    name = F.concat(F.lit("r"), F.floor(i / 2).cast("string"), F.lit("/"), (i % 2 + 1).cast("string"))
+    comment = F.concat(F.lit("BX:Z:"), (F.col("user_id") % 3).cast("string"), F.lit("-1 x"))
+    reads = e.select(F.lit("f").alias("file"), i.alias("ord"), name.alias("name"), comment.alias("comment"), F.lit("ACGT").alias("seq"))
+    return km.read_pairs(reads).select("pair", "barcode")
+
+
+@_query("""select cast(a.doc_id % 7 as varchar) barcode, cast(contig as varchar) contig, is_head, count(*) n from mate_best a join mate_best b on a.doc_id = b.doc_id and a.mate = 1 and b.mate = 2 and a.end_idx = b.end_idx
+    join end_rows e on e.end_idx = a.end_idx group by all""")
+def agg_read_pair_assign(spark, sf):
+    """Pairs cut from the front of each sequence, assigned to the ends of all of them by 20-mers."""
+    seqs = st.solid_sequences(spark, sf)
+    ends = ct.contig_ends(seqs.withColumnRenamed("name", "contig_id"), 500, 300)
+    index = km.kmer_index(km.kmer_rows(ends, "end_seq", 20, ["end_idx"], jump=True))
+    barcode = (F.col("doc_id") % 7).cast("string")
+    cuts = lr.cut_long_reads(seqs.withColumn("barcode", F.col("doc_id")), 60, fasta=True).filter("read_num = 0")
+    pairs = cuts.select(F.lit("f").alias("file"), F.col("barcode").alias("pair"), (F.col("barcode") % 7).cast("string").alias("barcode"), F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
+    mult = seqs.groupBy(barcode.alias("barcode")).agg(F.count("*").alias("mult"))
+    return km.kmer_end_counts(pairs, mult, index, ends, 20, 0.55)
+
+
+@_query("""select l_returnflag letter, case l_returnflag when 'A' then 1 when 'N' then 15 else 5 end mask, case l_returnflag when 'A' then 'A' when 'N' then 'M' else 'A' end with_m,
+    case l_returnflag when 'A' then 'M' when 'N' then 'N' else 'V' end or_m, l_returnflag = 'A' is_part_of_m, count(*) n from lineitem group by all""")
+def ambiguity_codes(spark, sf):
+    c, m = F.col("l_returnflag"), F.lit("M")
+    rows = st.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return rows.select(
+        c.alias("letter"), sequence.ambiguity_mask(c).alias("mask"), sequence.ambiguity_and(c, m).alias("with_m"),
+        sequence.ambiguity_or(c, m).alias("or_m"), sequence.ambiguity_is_subset(c, m).alias("is_part_of_m"), "n",
+    )
+
+
+@_query("select row_number() over (order by u, v) - 1 place, u, v from pairs")
+def sort_pairs(spark, sf):
+    return number_rows(_pairs(spark, sf).select("u", "v"), ["u", "v"], "place")
+
+
+@_query("""select '{"All_barcodes_unfiltered":' || (select count(*) from mult) || ',"All_barcodes_filtered":' || (select count(*) from mult where mult between 550 and 650) || ',"Scaffold_end_barcodes":' ||
+    (select count(distinct barcode) from imap) || ',"Min_barcode_reads_threshold":550,"Max_barcode_reads_threshold":650}' as value""")
+def sink_barcode_stats_json(spark, sf):
+    return sinks.barcode_stats_json(pr.count_barcodes(_imap(spark, sf), st.multiplicity(spark, sf), st.LOW, st.HIGH), st.LOW, st.HIGH)
+
+
+@_query("select doc_id, round(count(kmer) / count(*), 9) fraction from canon group by doc_id")
+def kmer_fraction(spark, sf):
+    counts = _windows(spark, sf).groupBy("doc_id").agg(F.count("kmer").alias("found"), F.count("*").alias("total"))
+    return counts.select("doc_id", F.round(sequence.kmer_fraction(F.col("found"), F.col("total")), 9).alias("fraction"))
+
+
+@_query("select u, v, jaccard, distance from (select u, v, round(jaccard, 9) jaccard, distance, row_number() over (partition by u, v order by abs(jaccard - own), jaccard) k from (select *, barcodes_intersect / barcodes_union own from stats where barcodes_union > 0 and orientation = 0) cross join curve) where k = 1")
+def topk_nearest(spark, sf):
+    rows = _stats(spark, sf).filter("orientation = 0")
+    return ds.nearest_points(rows, ds.jaccard_curve(_samples(spark, sf)), 1, ["u", "v"]).select("u", "v", F.round("jaccard", 9).alias("jaccard"), "distance")
+
+
+@_query("select '\"' || src || ss || '\" -> \"' || dst || sd || '\" [d=100 e=100.0 n=' || weight || ']' as value from (select u src, case when orientation < 2 then '-' else '+' end ss, v dst, case when orientation % 2 = 1 then '-' else '+' end sd, weight from edges union all select v, case when orientation % 2 = 1 then '+' else '-' end, u, case when orientation < 2 then '+' else '-' end, weight from edges)")
+def sink_dist_gv(spark, sf):
+    lines = sinks.dist_gv_lines(gr.to_digraph(_edges(spark, sf)), st.lengths(spark, sf))
+    return lines.filter(F.col("value").contains(" -> "))
+
+
+@_query("""select (a.k - 1) || '--' || (b.k - 1) || ' [label=' || orientation || ', weight=' || weight || '];' as value from edges join ids a on a.id = u join ids b on b.id = v""")
+def sink_gv(spark, sf):
+    return sinks.gv_lines(_edges(spark, sf)).filter(F.col("value").contains("--"))
