@@ -83,6 +83,23 @@ def read_pairs(reads: DataFrame) -> DataFrame:
     return good.select("file", "pair", F.col("a.bx").alias("barcode"), F.col("a.seq").alias("seq1"), F.col("b.seq").alias("seq2"))
 
 
+def read_counters(reads: DataFrame, mult: DataFrame) -> DataFrame:
+    """One row of counts: reads, complete pairs, and why pairs are left out before their k-mers are read."""
+    fields = F.struct(strip_read_num(F.col("name")).alias("name"), bx_from_comment(F.col("comment")).alias("bx"), "seq")
+    both = reads.groupBy("file", F.floor(F.col("ord") / 2).cast("long").alias("pair")).agg(
+        F.count("*").alias("records"), F.min_by(fields, "ord").alias("a"), F.max_by(fields, "ord").alias("b")
+    )
+    seen = both.join(mult.select(F.col("barcode").alias("known")).distinct(), F.col("a.bx") == F.col("known"), "left")
+    whole, same = F.col("records") == 2, F.col("a.name") == F.col("b.name")
+    barcoded = (F.col("a.bx") == F.col("b.bx")) & (F.col("a.bx") != "")
+    return seen.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("n_reads"), F.count_if(whole).alias("n_pairs"), F.count_if(~whole).alias("n_single"),
+        F.count_if(whole & ~same).alias("n_other_name"), F.count_if(whole & same & ~barcoded).alias("n_other_barcode"),
+        F.count_if(whole & same & barcoded & F.col("known").isNull()).alias("n_unknown_barcode"),
+        F.count_if(whole & same & barcoded & F.col("known").isNotNull()).alias("n_usable"),
+    )
+
+
 def kmer_end_counts(pairs: DataFrame, mult: DataFrame, index: DataFrame, ends: DataFrame, k: int, min_share: float) -> DataFrame:
     """(barcode, contig, is_head, n): pairs with a known barcode whose mates both fit the same end best."""
     known = pairs.join(mult.select("barcode"), "barcode", "left_semi").filter(is_valid_read(F.col("seq1")) & is_valid_read(F.col("seq2")))

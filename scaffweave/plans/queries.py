@@ -544,13 +544,25 @@ def agg_link_significance(spark, sf):
     return _pairs(spark, sf).select("u", "v", stats.significant(most, most + stats.second_largest(counts), st.Z05).alias("ok"))
 
 
-@_query("""select a.event_id // 2 pair, a.user_id % 3 || '-1' barcode from events a join events b on b.event_id = a.event_id + 1 and a.event_id % 2 = 0 where a.user_id % 3 = b.user_id % 3""")
-def scan_fastq_pairs(spark, sf):
+def _event_reads(spark, sf):
     e, i = st.table(spark, sf, "events"), F.col("event_id")
     name = F.concat(F.lit("r"), F.floor(i / 2).cast("string"), F.lit("/"), (i % 2 + 1).cast("string"))
     comment = F.concat(F.lit("BX:Z:"), (F.col("user_id") % 3).cast("string"), F.lit("-1 x"))
-    reads = e.select(F.lit("f").alias("file"), i.alias("ord"), name.alias("name"), comment.alias("comment"), F.lit("ACGT").alias("seq"))
-    return km.read_pairs(reads).select("pair", "barcode")
+    return e.select(F.lit("f").alias("file"), i.alias("ord"), name.alias("name"), comment.alias("comment"), F.lit("ACGT").alias("seq"))
+
+
+@_query("""select cast(sum(n) as bigint) n_reads, count(*) filter (where n = 2) n_pairs, count(*) filter (where n <> 2) n_single, 0 n_other_name, count(*) filter (where n = 2 and x <> y) n_other_barcode,
+    count(*) filter (where n = 2 and x = y and x = 2) n_unknown_barcode, count(*) filter (where n = 2 and x = y and x <> 2) n_usable
+    from (select event_id // 2 pair, count(*) n, arg_min(user_id % 3, event_id) x, arg_max(user_id % 3, event_id) y from events group by all)""")
+def log_stats(spark, sf):
+    reads = _event_reads(spark, sf)
+    known = reads.select(tags.bx_from_comment(F.col("comment")).alias("barcode")).distinct().filter("barcode <> '2-1'")
+    return km.read_counters(reads, known)
+
+
+@_query("""select a.event_id // 2 pair, a.user_id % 3 || '-1' barcode from events a join events b on b.event_id = a.event_id + 1 and a.event_id % 2 = 0 where a.user_id % 3 = b.user_id % 3""")
+def scan_fastq_pairs(spark, sf):
+    return km.read_pairs(_event_reads(spark, sf)).select("pair", "barcode")
 
 
 @_query("""select cast(a.doc_id % 7 as varchar) barcode, cast(contig as varchar) contig, is_head, count(*) n from mate_best a join mate_best b on a.doc_id = b.doc_id and a.mate = 1 and b.mate = 2 and a.end_idx = b.end_idx
