@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import checkpoint, with_fields
 from .words import ALNUM, byte_values, find_words, room, runs, text_buffer, word_hashes
 
 WINDOW = 10
@@ -238,43 +238,58 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
     a whole shorter item. Each Arrow batch of documents is cut into shards of about 4 MB; a shard's word
     symbols get an FM-index (suffix order, wavelet matrix of the transform, sampled suffix positions), all
     windows are searched backwards at once, and their occurrences merge into the spans that clean_text
-    lacks. Texts stay where they are read: no shuffle. Null texts and benchmark texts have no words; items
+    lacks. Texts stay where they are read: no shuffle. A benchmark of more than PHRASE_BYTES takes as many
+    passes, each of which holds one block of it. Null texts and benchmark texts have no words; items
     with no words never occur; repeated rows are judged alike; repeated item ids count as one item; an
     empty table gives no rows. Columns of docs named like these results are replaced.
     """
-    new = ("n_words", "n_hit", "items", "clean_text")
+    new = ("n_words", "n_hit", "items", "clean_text", "__hit")
     kept = [c for c in docs.columns if c not in new]
-    shape = with_fields(docs.select(*kept), "n_words long, n_hit long, items array<string>, clean_text string")
-    blocks = list(_blocks(benchmark, item, benchmark_text))
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(phrases_of(b)) for b in blocks]
-    return docs.select(*kept).mapInArrow(_search(sent, text), shape)
+    frame, context = docs.select(*kept), docs.sparkSession.sparkContext
+    part = with_fields(frame, "__hit binary, items array<string>")
+    shape = with_fields(frame, "n_words long, n_hit long, items array<string>, clean_text string")
+    blocks = _blocks(benchmark, item, benchmark_text)
+    block, begun = next(blocks), False
+    while block is not None:
+        after = next(blocks, None)
+        sent = context.broadcast(phrases_of(block))
+        frame = frame.mapInArrow(_search(sent, text, kept, begun, after is None), shape if after is None else part)
+        if after is not None:
+            frame = checkpoint(frame)  # the next pass holds its own block alone
+            sent.unpersist()
+        block, begun = after, True
+    return frame
+
+
+def _search(sent: Broadcast, text: str, kept: list[str], begun: bool, last: bool):
+    """One pass: adds its hits to those of the passes before; the last one counts and cuts them."""
 
-
-def _search(sent: list[Broadcast], text: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in shards(batches, text):
-            total, found = None, defaultdict(set)
-            for phrases in (x.value for x in sent):
-                starts, ends, first, hit, pairs = search_shard(raw, offsets, phrases)
-                total = hit if total is None else total | hit
-                for d, i in pairs:
-                    found[d].add(phrases[4][i])
-            sums = np.concatenate([[0], np.cumsum(total)])
+            starts, ends, first, hit, pairs = search_shard(raw, offsets, sent.value)
+            found = [set() for _ in range(batch.num_rows)]
+            for d, i in pairs:
+                found[d].add(sent.value[4][i])
+            if begun:
+                own = zip(batch.column("__hit").to_pylist(), np.diff(first).tolist(), strict=True)
+                hit = hit | np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in own]).astype(bool)
+                for d, items in enumerate(batch.column("items").to_pylist()):
+                    found[d].update(items)
+            items = pa.array([sorted(f) for f in found], pa.list_(pa.string()))
+            held = [batch.column(c) for c in kept]
+            if not last:
+                bits = pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*held, bits, items], names=[*kept, "__hit", "items"])
+                continue
+            sums = np.concatenate([[0], np.cumsum(hit)])
             n_hit = sums[first[1:]] - sums[first[:-1]]
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            texts = batch.column(text).to_pylist()
             for d in np.flatnonzero(n_hit):
                 a, b = first[d], first[d + 1]
                 whole = raw[offsets[d] : offsets[d + 1]].tobytes()
-                texts[d] = without_spans(whole, starts[a:b] - offsets[d], ends[a:b] - offsets[d], total[a:b])
-            columns = [
-                pa.array(np.diff(first), pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array([sorted(found[d]) if d in found else [] for d in range(len(n_hit))], pa.list_(pa.string())),
-                pa.array(texts, pa.string()),
-            ]
-            names = [*batch.schema.names, "n_words", "n_hit", "items", "clean_text"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+                texts[d] = without_spans(whole, starts[a:b] - offsets[d], ends[a:b] - offsets[d], hit[a:b])
+            columns = [*held, pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "n_hit", "items", "clean_text"])
 
     return search
 
