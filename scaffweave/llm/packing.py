@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,33 +24,69 @@ EPOCHS = 2
 GENERATIONS = 3
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes are
+    themselves, the others are counted from 256 up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks
-    between spaces and line feeds, one after another; a bounded memory keeps the ids of chunks seen.
+
+class ChunkTokenizer(dict):
+    """Token ids of whole texts, and of chunks between spaces and line feeds as its entries, as
+    little-endian unsigned 32-bit bytes.
+
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks, one
+    after another. It tells letters from punctuation before it looks for tokens, so a chunk of Latin letters
+    with punctuation behind them is looked up in two parts, and the letters go straight to its model; any
+    other chunk goes through all of it. What was seen is remembered: `remembered` chunks and the generation
+    before them, in a worker for all its tasks.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {"": b""}
-        self.remembered = remembered
+        self.letters = _byte_letters()
+        self.simple = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+        self.remembered, self.words, self.before = remembered, {}, {}
+        self[""] = b""
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.remembered:
+            self.before = dict(self)
+            self.clear()
+            self.words = {}
+            self[""] = b""
+        ids = self.before.get(chunk)
+        if ids is None:
+            parts = self.simple.fullmatch(chunk)
+            ids = self._word(parts[1].lower()) + self._other(parts[2]) if parts else self._other(chunk)
+        self[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _other(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        ids = self.words.get(chunk)
+        if ids is None:
+            ids = self.words[chunk] = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.memory.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.memory]
-        if len(self.memory) + len(missing) > self.remembered:
-            self.memory = {"": b""}
-            missing = [c for c in dict.fromkeys(chunks) if c]
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memory[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.memory.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@cache
+def _tokenizer(path: str) -> ChunkTokenizer:
+    return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
@@ -55,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkTokenizer(tokenizer)
+        coder = _tokenizer(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
