@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import checkpoint, partitions, with_fields
 
 CAPACITY = 2048
 #: Pieces in one problem, about; its islands each hold the lengths of all of them.
 PROBLEM = 8192
 ISLANDS = 4
 EPOCHS = 2
-GENERATIONS = 3
+GENERATIONS = 20
 
 
 def _byte_letters() -> list[str]:
@@ -43,7 +43,7 @@ class ChunkTokenizer(dict):
     before them, in a worker for all its tasks.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -112,106 +112,97 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 columns += [pa.array(c, pa.int64()) for c in (start, length, crc)]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids_crc32"])
 
-    shape = docs.select(F.col(key), F.lit(0).alias("piece"), *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32")])
-    return docs.select(key, text).mapInArrow(cut, shape.schema)
+    return docs.select(key, text).mapInArrow(cut, with_fields(docs.select(key), "piece int, start long, length long, ids_crc32 long"))
 
 
-class Fit:
-    """Bins under construction, found by their free space: one bit for each space that some bin has."""
+def fill(labels: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Tokens in each bin; labels tell every item's bin."""
+    return np.bincount(labels, lengths).astype(np.int64)
 
-    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY):
-        self.bins, self.capacity = [list(b) for b in bins], capacity
-        self.by_space: dict[int, list[int]] = {}
-        self.mask = 0
-        self.lengths = lengths
-        for i, b in enumerate(self.bins):
-            self._offer(i, capacity - int(lengths[b].sum()))
 
-    def _offer(self, i: int, space: int) -> None:
+def place(labels: np.ndarray, spaces: list[int], items: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Puts each item into the bin that it fills best, or into a new one; spaces is the room in each bin.
+
+    Bins are found by their room: one bit of `mask` for each room that some bin has.
+    """
+    by_space: dict[int, list[int]] = {}
+    mask = 0
+    for i, space in enumerate(spaces):
+        if space:
+            by_space.setdefault(space, []).append(i)
+            mask |= 1 << space
+    n, out = len(spaces), []
+    for size in lengths[items].tolist():
+        fits = mask >> size
+        if fits:
+            space = size + (fits & -fits).bit_length() - 1
+            held = by_space[space]
+            i = held.pop()
+            if not held:
+                mask ^= 1 << space
+        else:
+            space, i = CAPACITY, n
+            n += 1
+        out.append(i)
+        space -= size
         if space:
-            self.by_space.setdefault(space, []).append(i)
-            self.mask |= 1 << space
-
-    def place(self, items: list[int]) -> list[list[int]]:
-        """Each item goes into the bin that it fills best, or into a new one."""
-        for item, size in zip(items, self.lengths[items].tolist(), strict=True):
-            fits = self.mask >> size
-            if fits:
-                space = size + (fits & -fits).bit_length() - 1
-                held = self.by_space[space]
-                i = held.pop()
-                if not held:
-                    self.mask ^= 1 << space
-                self.bins[i].append(item)
-            else:
-                space, i = self.capacity, len(self.bins)
-                self.bins.append([item])
-            self._offer(i, space - size)
-        return self.bins
-
-
-def fitness(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[int, float]:
+            by_space.setdefault(space, []).append(i)
+            mask |= 1 << space
+    labels[items] = out
+    return labels
+
+
+def fitness(labels: np.ndarray, lengths: np.ndarray) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (the sum of squared fills)."""
-    fills = np.array([lengths[b].sum() for b in bins], float) / capacity
-    return -len(bins), float((fills**2).sum())
+    fills = fill(labels, lengths) / CAPACITY
+    return -len(fills), float((fills**2).sum())
 
 
-def first_parent(lengths: np.ndarray, rng: np.random.Generator, noise: float) -> list[list[int]]:
+def first_parent(lengths: np.ndarray, rng: np.random.Generator, noise: float) -> np.ndarray:
     """Best fit in the order of decreasing length, with the lengths blurred by up to `noise`."""
     order = np.argsort(-lengths * (1 + noise * rng.random(len(lengths))), kind="stable")
-    return Fit([], lengths).place(order.tolist())
+    return place(np.zeros(len(lengths), np.int64), [], order, lengths)
 
 
-def cross(giver: list[list[int]], taker: list[list[int]], lengths: np.ndarray, rng: np.random.Generator) -> list[list[int]]:
+def cross(giver: np.ndarray, taker: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Whole well-filled bins of the giver go into the taker; bins of the taker that hold one of their
-    documents go; the documents displaced so, and those of the worst bins left, are put back by best fit."""
-    fills = np.array([lengths[b].sum() for b in giver])
-    good = np.flatnonzero(fills >= CAPACITY - 2)
-    if not len(good):
-        good = np.flatnonzero(fills >= np.quantile(fills, 0.8))
-    chosen = good[rng.random(len(good)) < rng.uniform(0.3, 0.9)]
-    inside = np.zeros(len(lengths), bool)
-    injected = [giver[i] for i in chosen]
-    for b in injected:
-        inside[b] = True
-    left, displaced = [], []
-    for b in taker:
-        held = inside[b]
-        full = lengths[b].sum() == CAPACITY
-        if held.any() or (not full and rng.random() < 0.5):
-            displaced += [x for x, y in zip(b, held, strict=True) if not y]
-        else:
-            left.append(b)
-    displaced.sort(key=lambda x: -int(lengths[x]))
-    return Fit([*injected, *left], lengths).place(displaced)
-
-
-def evolve(lengths: np.ndarray, population: list[list[list[int]]], rng: np.random.Generator, generations: int = GENERATIONS) -> list[list[list[int]]]:
+    documents go; the documents displaced so, and those of some bins that aren't full, are put back by best
+    fit, long ones first."""
+    fills = fill(giver, lengths)
+    good = fills >= CAPACITY - 2
+    if not good.any():
+        good = fills >= np.quantile(fills, 0.8)
+    chosen = good & (rng.random(len(fills)) < rng.uniform(0.3, 0.9))
+    injected = chosen[giver]
+    old = fill(taker, lengths)
+    gone = (old < CAPACITY) & (rng.random(len(old)) < 0.5)
+    gone[taker[injected]] = True
+    kept = ~injected & ~gone[taker]
+    out = np.zeros(len(lengths), np.int64)
+    number = np.cumsum(chosen) - 1
+    out[injected] = number[giver[injected]]
+    first = int(chosen.sum())
+    number = np.cumsum(~gone) - 1 + first
+    out[kept] = number[taker[kept]]
+    spaces = (CAPACITY - np.concatenate([fills[chosen], old[~gone]])).tolist()
+    displaced = np.flatnonzero(~injected & ~kept)
+    return place(out, spaces, displaced[np.argsort(-lengths[displaced], kind="stable")], lengths)
+
+
+def evolve(lengths: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, generations: int = GENERATIONS) -> list[np.ndarray]:
     """Replaces the worst member of the population by a better child, generation after generation."""
     least = -(-int(lengths.sum()) // CAPACITY)
-    ranked = sorted(population, key=lambda b: fitness(b, lengths), reverse=True)
-    for _ in range(generations):
-        if len(ranked[0]) <= least:
+    ranked = sorted(((fitness(b, lengths), i, b) for i, b in enumerate(population)), key=lambda x: x[:2], reverse=True)
+    for k in range(generations):
+        if -ranked[0][0][0] <= least:
             break
         a, b = rng.permutation(len(ranked))[:2]
-        child = cross(ranked[a], ranked[b], lengths, rng)
-        if fitness(child, lengths) > fitness(ranked[-1], lengths):
-            ranked[-1] = child
-            ranked.sort(key=lambda x: fitness(x, lengths), reverse=True)
-    return ranked
-
-
-def _labels(bins: list[list[int]], n: int) -> np.ndarray:
-    out = np.zeros(n, np.int32)
-    for i, b in enumerate(bins):
-        out[b] = i
-    return out
-
-
-def _bins(labels: np.ndarray) -> list[list[int]]:
-    order = np.argsort(labels, kind="stable")
-    cuts = np.flatnonzero(np.diff(labels[order])) + 1
-    return [x.tolist() for x in np.split(order, cuts)]
+        child = cross(ranked[a][2], ranked[b][2], lengths, rng)
+        worth = fitness(child, lengths)
+        if worth > ranked[-1][0]:
+            ranked[-1] = (worth, -1 - k, child)
+            ranked.sort(key=lambda x: x[:2], reverse=True)
+    return [x[2] for x in ranked]
 
 
 def _island(seed_epoch: int, size: int):
@@ -223,12 +214,12 @@ def _island(seed_epoch: int, size: int):
         if not len(lengths):
             return pd.DataFrame({"problem": [], "island": [], "bins": [], "fill": [], "labels": []})
         rng = np.random.default_rng([seed_epoch, problem, island])
-        population = [_bins(np.frombuffer(x, np.int32)) for x in elites["labels"]]
+        population = [np.frombuffer(x, np.int32).astype(np.int64) for x in elites["labels"]]
         while len(population) < size:
             population.append(first_parent(lengths, rng, 0.0 if not population and island == 0 else 0.02))
         best = evolve(lengths, population, rng)[0]
-        n, fill = fitness(best, lengths)
-        return pd.DataFrame({"problem": [problem], "island": [island], "bins": [-n], "fill": [fill], "labels": [_labels(best, len(lengths)).tobytes()]})
+        n, full = fitness(best, lengths)
+        return pd.DataFrame({"problem": [problem], "island": [island], "bins": [-n], "fill": [full], "labels": [best.astype(np.int32).tobytes()]})
 
     return run
 
@@ -289,7 +280,7 @@ def _solve(dealt: DataFrame, key: str, names: list[str], seed: int) -> DataFrame
         elites = stay.unionByName(move)
     best = grown.groupBy("problem").agg(F.max(F.struct(-F.col("bins"), F.col("fill"), F.col("island"), F.col("labels"))).alias("best"))
     best = best.select("problem", F.col("best.labels").alias("labels"))
-    shape = dealt.withColumns({"bin": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}).schema
+    shape = with_fields(dealt, "bin long, place long")
 
     def deal(key_: tuple, own: pd.DataFrame, winner: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(order, kind="stable")
