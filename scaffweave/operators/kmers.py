@@ -8,18 +8,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical_kmer, is_valid_read, kmer_fraction
+from ..functions.sequence import canonical_kmer, is_valid_read, kmer_fraction, kmers
 from ..functions.tags import bx_from_comment, strip_read_num
 
 _FLIP = str.maketrans("ACGT", "TGCA")
 
 
+#: Letters of one block that windows are cut from.
+BLOCK = 256
+
+
 def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool = False) -> DataFrame:
     """(keep..., kmer): a row for each window of length k; kmer is canonical, null if it holds other than ACGT.
 
-    Windows of long sequences are cut in Arrow batches, as a substring expression would look for its start
-    from the front each time. jump: after a window that holds another letter the next one begins k further.
+    A substring of a long text is looked for from its front, so sequences are first cut into overlapping
+    blocks, and windows from those. jump: after a window that holds another letter the next one begins k
+    further; as each window then depends on the one before, that is read in Arrow batches.
     """
+    if jump:
+        return _jumping_rows(frame, seq, k, keep)
+    rows = frame.select(*keep, F.col(seq).alias("__seq")).filter(F.length("__seq") >= k)
+    starts = F.sequence(F.lit(1), F.length("__seq") - k + 1, F.lit(BLOCK))
+    parts = rows.select(*keep, F.explode(F.transform(starts, lambda i: F.substring("__seq", i, F.lit(BLOCK + k - 1)))).alias("__part"))
+    return parts.select(*keep, F.explode(kmers(F.col("__part"), k)).alias("__kmer")).select(*keep, canonical_kmer(F.col("__kmer")).alias("kmer"))
+
+
+def _jumping_rows(frame: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
     shape = frame.select(*keep).withColumn("kmer", F.lit("").cast("string")).schema
     for field in shape:
         field.nullable = True
@@ -31,12 +45,9 @@ def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool =
                 out, i = [], 0
                 while i + k <= len(text):
                     w = text[i : i + k]
-                    if w.strip("ACGT") == "":
-                        out.append(min(w, w.translate(_FLIP)[::-1]))
-                        i += 1
-                    else:
-                        out.append(None)
-                        i += k if jump else 1
+                    valid = w.strip("ACGT") == ""
+                    out.append(min(w, w.translate(_FLIP)[::-1]) if valid else None)
+                    i += 1 if valid else k
                 if out:
                     yield pd.DataFrame({**{c: [row[j + 1]] * len(out) for j, c in enumerate(keep)}, "kmer": out})
 
@@ -64,11 +75,13 @@ def kmer_counters(index: DataFrame) -> DataFrame:
 def best_contig(windows: DataFrame, index: DataFrame, min_share: float, read: list[str]) -> DataFrame:
     """(read..., end_idx, cnt): the end with most of a read's k-mers, if that is over the share of all its
     windows (those with other letters too); of equal ends the lowest."""
-    total = windows.groupBy(*read).agg(F.count("*").alias("total"))
-    hits = windows.filter("kmer is not null").join(index.filter("end_idx <> 0").select("kmer", "end_idx"), "kmer")
-    counts = hits.groupBy(*read, "end_idx").agg(F.count("*").alias("cnt"))
-    best = counts.groupBy(*read).agg(F.max(F.struct("cnt", (-F.col("end_idx")).alias("minus"))).alias("b"))
-    out = best.join(total, read).filter(kmer_fraction(F.col("b.cnt"), F.col("total")) > min_share)
+    # one row for each different k-mer of a read, so that windows that hold none are one row a read too
+    own = windows.groupBy(*read, "kmer").agg(F.count("*").alias("n"))
+    placed = own.join(index.filter("end_idx <> 0").select("kmer", "end_idx"), "kmer", "left")
+    counts = placed.groupBy(*read, "end_idx").agg(F.sum("n").alias("cnt"))
+    hit = F.when(F.col("end_idx").isNotNull(), F.struct("cnt", (-F.col("end_idx")).alias("minus")))
+    best = counts.groupBy(*read).agg(F.sum("cnt").alias("total"), F.max(hit).alias("b"))
+    out = best.filter(F.col("b").isNotNull() & (kmer_fraction(F.col("b.cnt"), F.col("total")) > min_share))
     return out.select(*read, (-F.col("b.minus")).alias("end_idx"), F.col("b.cnt").alias("cnt"))
 
 

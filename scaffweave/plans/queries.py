@@ -74,14 +74,16 @@ _CTES = {
     "reads": "select item_id, translate(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') seq from benchmark",
     "ids": """select id, row_number() over (order by place) k from (select id, min(place) place from (
         select u id, 2 * (row_number() over (order by u, v)) place from edges union all select v, 2 * (row_number() over (order by u, v)) + 1 from edges) group by id)""",
-    "cuts": """select doc_id, substr(seq, 1, 60) s1, reverse(translate(substr(seq, 61, 60), 'ACGT', 'TGCA')) s2 from solid where length(seq) >= 120""",
+    "cuts": """select doc_id, read_num, substr(seq, s, size) s1, reverse(translate(substr(seq, case when read_num = whole then length(seq) - size + 1 else s + 60 end, size), 'ACGT', 'TGCA')) s2 from (
+        select *, case when read_num = whole then length(seq) - rest else read_num * 120 end + 1 s, case when read_num = whole then least(60, rest) else 60 end size from (
+          select doc_id, seq, length(seq) // 120 whole, length(seq) % 120 rest, unnest(range(0, length(seq) // 120 + case when length(seq) % 120 = 0 then 0 else 1 end)) read_num from solid where length(seq) >= 120))""",
     "end_rows": """select 2 * k - h end_idx, contig, h = 1 is_head, case when h = 1 then substr(seq, 1, cut) else substr(seq, length(seq) - cut + 1, cut) end seq from (
         select row_number() over (order by doc_id) k, doc_id contig, seq, case when length(seq) <= 600 then length(seq) // 2 else 300 end cut from solid where length(seq) >= 500) cross join (select unnest([1, 0]) h)""",
     "end_index": """select kmer, min(end_idx) end_idx from (select end_idx, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (select end_idx, substr(seq, i, 20) w from end_rows, (select unnest(range(1, 282)) i) where i <= length(seq) - 19))
         group by kmer having min(end_idx) = max(end_idx)""",
-    "mate_best": """select doc_id, mate, end_idx from (select doc_id, mate, end_idx, cnt, row_number() over (partition by doc_id, mate order by cnt desc, end_idx) k from (
-        select doc_id, mate, end_idx, count(*) cnt from (select doc_id, mate, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (
-          select doc_id, mate, substr(s, i, 20) w from (select doc_id, 1 mate, s1 s from cuts union all select doc_id, 2, s2 from cuts), (select unnest(range(1, 42)) i))) join end_index using (kmer) group by all)) where k = 1 and cnt / 41 > 0.55""",
+    "mate_best": """select doc_id, read_num, mate, end_idx from (select doc_id, read_num, mate, n, end_idx, cnt, row_number() over (partition by doc_id, read_num, mate order by cnt desc, end_idx) k from (
+        select doc_id, read_num, mate, n, end_idx, count(*) cnt from (select doc_id, read_num, mate, n, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (
+          select doc_id, read_num, mate, length(s) - 19 n, substr(s, i, 20) w from (select doc_id, read_num, 1 mate, s1 s from cuts union all select doc_id, read_num, 2, s2 from cuts), (select unnest(range(1, 42)) i) where i <= length(s) - 19)) join end_index using (kmer) group by all)) where k = 1 and cnt / n > 0.55""",
     "reads_canon": "select item_id, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from (select item_id, substr(seq, i, 12) w from reads, (select unnest(range(1, 2000)) i) where i <= length(seq) - 11)",
     "brands": "select p_brand contig, row_number() over (order by p_brand) k from (select distinct p_brand from part)",
     "est_rows": "select l_suppkey % 50 src_, l_partkey % 20 dst_, cast(l_quantity as int) d, cast(1 + l_linenumber as double) e, cast(l_quantity as bigint) n from lineitem",
@@ -565,16 +567,16 @@ def scan_fastq_pairs(spark, sf):
     return km.read_pairs(_event_reads(spark, sf)).select("pair", "barcode")
 
 
-@_query("""select cast(a.doc_id % 7 as varchar) barcode, cast(contig as varchar) contig, is_head, count(*) n from mate_best a join mate_best b on a.doc_id = b.doc_id and a.mate = 1 and b.mate = 2 and a.end_idx = b.end_idx
+@_query("""select cast(a.doc_id % 7 as varchar) barcode, cast(contig as varchar) contig, is_head, count(*) n from mate_best a join mate_best b on a.doc_id = b.doc_id and a.read_num = b.read_num and a.mate = 1 and b.mate = 2 and a.end_idx = b.end_idx
     join end_rows e on e.end_idx = a.end_idx group by all""")
 def agg_read_pair_assign(spark, sf):
-    """Pairs cut from the front of each sequence, assigned to the ends of all of them by 20-mers."""
+    """Pairs cut from all sequences, assigned to the ends of all of them by 20-mers."""
     seqs = st.solid_sequences(spark, sf)
     ends = ct.contig_ends(seqs.withColumnRenamed("name", "contig_id"), 500, 300)
     index = km.kmer_index(km.kmer_rows(ends, "end_seq", 20, ["end_idx"], jump=True))
     barcode = (F.col("doc_id") % 7).cast("string")
-    cuts = lr.cut_long_reads(seqs.withColumn("barcode", F.col("doc_id")), 60, fasta=True).filter("read_num = 0")
-    pairs = cuts.select(F.lit("f").alias("file"), F.col("barcode").alias("pair"), (F.col("barcode") % 7).cast("string").alias("barcode"), F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
+    cuts = lr.cut_long_reads(seqs.withColumn("barcode", F.col("doc_id")), 60, fasta=True)
+    pairs = cuts.select(F.lit("f").alias("file"), F.struct("barcode", "read_num").alias("pair"), (F.col("barcode") % 7).cast("string").alias("barcode"), F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
     mult = seqs.groupBy(barcode.alias("barcode")).agg(F.count("*").alias("mult"))
     return km.kmer_end_counts(pairs, mult, index, ends, 20, 0.55)
 

@@ -72,6 +72,7 @@ class Scaffolder:
 
     def from_counts(self, imap: DataFrame, mult: DataFrame, lengths: DataFrame) -> ScaffoldResult:
         p = self.params
+        imap, mult = imap.persist(), mult.persist()  # pairs, distances and tables all read them
         ranged = pr.in_multiplicity_range(imap, mult, p.min_mult, p.max_mult)
         pairs = pr.pair_orientations(pr.head_or_tail(ranged, p.min_reads, p.z))
         edges = gr.build_edges(pairs, p.min_links, p.z)
