@@ -54,25 +54,31 @@ def sample_by_hash(frame: DataFrame, key: str, bound: int, seed: int = 17) -> Da
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected edges; the component is its smallest node.
 
-    Alternating large-star and small-star rounds (Kiveris et al., SoCC 2014): every round is a grouped
-    minimum and a join, no node's neighbours meet in one task's memory, and the rounds grow with the
-    logarithm of the longest path. Self loops and repeated edges are allowed; no edges give no rows.
+    Alternating large-star and small-star rounds (Kiveris et al., SoCC 2014) over edges from a larger node
+    to a smaller one: every round is two grouped minima and two joins, no node's neighbours meet in one
+    task's memory, and the rounds grow with the logarithm of the longest path. The minima are checkpointed,
+    so that each join has plain exchanges on both sides and Spark can split a node with very many
+    neighbours. Self loops and repeated edges are allowed; no edges give no rows.
     """
-    e = checkpoint(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    )
-    mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+
+    def minima(e: DataFrame) -> DataFrame:
+        return checkpoint(e.groupBy("u").agg(F.min("v").alias("m")))
+
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    before = mark(e)
+    while before[0]:
+        low = minima(e).withColumnRenamed("u", "x")
+        large = e.join(low, F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = checkpoint(large.distinct())
+        low = minima(large)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        now = mark(e)
+        if now == before:
             break
-        mark = now
+        before = now
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
