@@ -113,13 +113,14 @@ def _lists(pairs: DataFrame, k: int) -> DataFrame:
     return checkpoint(ranked.select("a", "b", "cos", F.coalesce(bar, F.lit(-1.0)).alias("bar")))
 
 
-def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 0, cosine: float = COSINE) -> DataFrame:
     """(a, b, cos, bar): NN-descent over vectors (rep, unit) of one dimension.
 
     The first lists come from runs of neighbours in random orders (by signs of random projections). A round
     brings every vector's neighbours and reverse neighbours together and compares them with each other; a
     pair goes on only if it beats the last of a list. Centres with many reverse neighbours are compared in
-    runs of RUN. Rounds end when fewer than 1 in 1000 list places change.
+    runs of RUN. Rounds end when they bring hardly any new edges at the threshold (1 for 1000 vectors) to
+    lists that are not saturated; neighbours below the threshold are only a way to those.
     """
     n = partitions(vectors.sparkSession)
     count = vectors.count()
@@ -135,9 +136,10 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
         met = members.join(own, "rep").repartition(n, "centre").sortWithinPartitions("centre", "rep")
         better = met.mapInArrow(_compare(k, "centre"), "a long, b long, cos double")
         after = _lists(better.unionByName(lists.select("a", "b", "cos")), k)
-        changed = after.join(lists, ["a", "b"], "left_anti").count()
+        edges = after.filter((F.col("cos") >= cosine) & (F.col("bar") < cosine))
+        changed = edges.join(lists.filter(F.col("cos") >= cosine), ["a", "b"], "left_anti").count()
         lists = after
-        if changed <= count * k / 1000:
+        if changed <= count / 1000:
             break
     return lists
 
@@ -198,7 +200,7 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     result = None
     while wanted:
         for size, k, tables, seed in wanted:
-            graph = neighbour_graph(classes.filter(F.octet_length("unit") == size).select("rep", "unit"), k, tables, seed=seed)
+            graph = neighbour_graph(classes.filter(F.octet_length("unit") == size).select("rep", "unit"), k, tables, seed=seed, cosine=cosine)
             new = graph.filter(F.col("cos") >= cosine - 1e-9).select("a", "b")
             edges = new if edges is None else edges.unionByName(new)
         result = checkpoint(_linked(edges, classes, cosine, n))
