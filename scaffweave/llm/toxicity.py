@@ -17,6 +17,8 @@ from .words import ALNUM, byte_values, find_words, runs, text_buffer, word_hashe
 
 #: Labelled documents that lexicon and weights are learned from, at most (chosen by a hash of the id).
 SAMPLE = 6000
+#: Letters of the stems that are tried.
+STEMS = range(4, 9)
 _VALUES = byte_values(41, lower=True)
 
 # The closed word classes of the grammar, in English, German, French and Spanish.
@@ -30,7 +32,7 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: What the grammar makes of a word: its class, or the class as seen in its clause.
 LABELS = ("insult", "threat", "targeted insult", "targeted threat", "negated", "reported")
 #: Weights before anything is learned: the bias, then one for each label.
-PRIOR = np.array([-4.0, 2.5, 2.5, 3.5, 3.5, 0.5, 0.5])
+PRIOR = np.array([-4.0, 7.0, 7.0, 8.0, 8.0, 1.0, 1.0])
 _WORD = re.compile(r"[^\W_]+")
 _CLAUSE_END = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n()\"", np.uint8))
 
@@ -156,7 +158,7 @@ def clause_counts(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, fst: T
 
 
 def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 6, purity: float = 0.9) -> dict[str, float]:
-    """Words, and stems of 4 to 6 letters with 3 endings at least, that mark toxic texts.
+    """Words, and stems of 4 to 8 letters with 3 endings at least, that mark toxic texts.
 
     They stand in toxic texts nearly only, and there after at least `least` different words, so that the
     words of one text and its copies are not taken for insults. A word's weight is 1 to 2 by its share of
@@ -169,7 +171,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 6, purity:
         words = _WORD.findall(x.lower())
         entries = set()
         for a, b in zip(["", *words], words, strict=False):
-            own = [b, *(b[:k] + "*" for k in (4, 5, 6) if len(b) > k)]
+            own = [b, *(b[:k] + "*" for k in STEMS if len(b) > k)]
             entries.update(own)
             if y:
                 for e in own:
@@ -179,7 +181,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 6, purity:
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     out: dict[str, float] = {}
     for w, n in sorted(toxic.items(), key=lambda e: (len(e[0]), e[0])):
-        if len(after[w]) < least or n < least or w[-1] == "*" and (len(forms[w]) < 3 or any(w[:k] + "*" in out for k in (4, 5) if k < len(w) - 1)):
+        if len(after[w]) < least or n < least or w[-1] == "*" and (len(forms[w]) < 3 or any(w[:k] + "*" in out for k in STEMS if k < len(w) - 1)):
             continue
         rate = (n / n1) / (n / n1 + (clean[w] + 0.5) / n0)
         if rate >= purity and n >= 9 * clean[w]:
@@ -187,15 +189,17 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 6, purity:
     return out
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 1500, rate: float = 2.0) -> np.ndarray:
-    """Logistic weights that stay near PRIOR where the labels don't tell otherwise."""
+def calibrate(counts: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Logistic weights by Newton steps, held near PRIOR where the labels don't tell otherwise."""
     w = PRIOR.copy()
     if not len(y):
         return w
-    x = np.concatenate([np.ones((len(x), 1)), np.log1p(x)], axis=1)
+    x = np.concatenate([np.ones((len(counts), 1)), np.log1p(counts)], axis=1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
-        w = w - rate * (x.T @ (p - y) + ridge * (w - PRIOR)) / len(y)
+        slope = x.T @ (p - y) + ridge * (w - PRIOR)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w - np.clip(np.linalg.solve(curve, slope), -2, 2)
     return w
 
 
