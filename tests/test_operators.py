@@ -197,3 +197,45 @@ def test_streaming_counts(spark, tmp_path):
     query = barcode_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table("counts").collect()} == {("A", 2), ("B", 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kmer_counters_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    ends = [(i + 1, "".join(rng.choice("ACGTN" if i == 2 else "ACGT") for _ in range(120))) for i in range(6)]
+    ends.append((7, ends[0][1][20:80]))
+    flip = str.maketrans("ACGT", "TGCA")
+    held, total, removed, taken = {}, 0, 0, {}
+    for end, text in ends:
+        i = 0
+        while i + 5 <= len(text):
+            w = text[i : i + 5]
+            if set(w) <= set("ACGT"):
+                key = min(w, w.translate(flip)[::-1])
+                total += 1
+                first = taken.setdefault(key, end)
+                held.setdefault(key, set()).add(end)
+                removed += end != first
+                i += 1
+            else:
+                i += 5
+    rows = spark.createDataFrame(ends, "end_idx long, seq string")
+    got = km.kmer_counters(km.kmer_index(km.kmer_rows(rows, "seq", 5, ["end_idx"], jump=True))).first()
+    assert (got.n_recorded, got.n_collisions, got.n_unique, got.n_removed) == (len(held), total - len(held), sum(len(x) == 1 for x in held.values()), removed)
+
+
+def test_windowed_stream_drops_late_rows(spark, tmp_path):
+    from scaffweave.streaming.barcodes import windowed_counts
+
+    times = ["2024-01-01 00:10:00", "2024-01-01 00:20:00", "2024-01-01 05:00:00"]
+    spark.createDataFrame([("A", t) for t in times], "barcode string, t string").selectExpr("barcode", "timestamp(t) t").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("barcode string, t timestamp").json(str(tmp_path / "in"))
+    query = windowed_counts(stream, "t").writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination(120)
+    assert [(r.barcode, r.mult) for r in spark.table("windows").collect()] == [("A", 2)]
+
+
+def test_scaffolder_refuses_what_it_cannot_read(spark):
+    for params in (ScaffoldParams(), ScaffoldParams(inputs=("a.bam",)), ScaffoldParams(inputs=("a.fq",)), ScaffoldParams(inputs=("a.sam",), file="c.fa", arks=True)):
+        with pytest.raises(ValueError):
+            Scaffolder(params).run(spark)
