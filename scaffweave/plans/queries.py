@@ -66,7 +66,7 @@ _CTES = {
     "windows": "select doc_id, i, substr(seq, i, 12) w from seqs, (select unnest(range(1, (select max(length(seq)) from seqs) - 10)) i) where i <= length(seq) - 11",
     "canon": "select doc_id, i, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from windows",
     "pairs_raw": """select event_id ord, cast(cast(floor((event_id - case when event_id % 7 = 0 then 1 else 0 end) / 2) as bigint) as varchar) qname,
-        case when value > 400 then 97 when event_id % 2 = 0 then 99 else 147 end flag, 'c' || (user_id % 3) rname, cast(floor(value) as int) % 400 + 1 pos,
+        case when value > 100 then 97 when event_id % 2 = 0 then 99 else 147 end flag, 'c' || (user_id % 3) rname, cast(floor(value) as int) % 400 + 1 pos,
         case when value < 20 then 0 else 60 end mapq, 100 - event_id % 10 - event_id % 4 si, (user_id // 3) || '-1' barcode from events""",
     "mates": """select qname, min_by(flag, ord) f1, max_by(flag, ord) f2, min_by(mapq, ord) m1, max_by(mapq, ord) m2, min_by(si, ord) s1, max_by(si, ord) s2,
         min_by(rname, ord) r1, max_by(rname, ord) r2, max_by(barcode, ord) barcode, min_by(pos, ord) p1, max_by(pos, ord) p2

@@ -57,7 +57,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     return e.select(
         F.lit("events").alias("file"), i.alias("ord"), F.floor((i - F.when(i % 7 == 0, 1).otherwise(0)) / 2).cast("string").alias("qname"),
-        F.when(F.col("value") > 400, 97).otherwise(F.when(i % 2 == 0, 99).otherwise(147)).cast("int").alias("flag"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("rname"),
+        F.when(F.col("value") > 100, 97).otherwise(F.when(i % 2 == 0, 99).otherwise(147)).cast("int").alias("flag"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("rname"),
         (F.floor(F.col("value")) % 400 + 1).cast("int").alias("pos"), F.when(F.col("value") < 20, 0).otherwise(60).cast("int").alias("mapq"),
         F.concat((i % 10).cast("string"), F.lit("S"), (F.lit(100) - i % 10).cast("string"), F.lit("M")).alias("cigar"), F.lit("=").alias("rnext"),
         F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.repeat(F.lit("A"), F.lit(100)).alias("seq"), F.lit("*").alias("qual"),
