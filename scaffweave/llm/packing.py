@@ -43,7 +43,7 @@ class ChunkTokenizer(dict):
     before them, in a worker for all its tasks.
     """
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
