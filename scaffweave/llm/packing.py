@@ -43,42 +43,37 @@ class ChunkTokenizer(dict):
     before them, in a worker for all its tasks.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 320_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.simple = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
-        self.remembered, self.words, self.before = remembered, {}, {}
+        self.remembered, self.before = remembered, {}
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.remembered:
             self.before = dict(self)
             self.clear()
-            self.words = {}
             self[""] = b""
         ids = self.before.get(chunk)
         if ids is None:
-            parts = self.simple.fullmatch(chunk)
-            ids = self._word(parts[1].lower()) + self._other(parts[2]) if parts else self._other(chunk)
+            if chunk.isascii() and chunk.isalpha() and chunk.islower():
+                ids = self._model(chunk)
+            elif parts := self.simple.fullmatch(chunk):
+                word = parts[1].lower()
+                if word == chunk:
+                    ids = self._model("".join([self.letters[b] for b in word.encode()]))
+                else:
+                    ids = self[word] + self[parts[2]]
+            else:
+                ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def _other(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        ids = self.words.get(chunk)
-        if ids is None:
-            ids = self.words[chunk] = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return ids
+    def _model(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
