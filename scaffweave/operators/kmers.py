@@ -30,6 +30,8 @@ def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool =
     rows = frame.select(*keep, F.col(seq).alias("__seq")).filter(F.length("__seq") >= k)
     starts = F.sequence(F.lit(1), F.length("__seq") - k + 1, F.lit(BLOCK))
     parts = rows.select(*keep, F.explode(F.transform(starts, lambda i: F.substring("__seq", i, F.lit(BLOCK + k - 1)))).alias("__part"))
+    # blocks are far smaller than their windows, so they are dealt evenly before they are blown up
+    parts = parts.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return parts.select(*keep, F.explode(kmers(F.col("__part"), k)).alias("__kmer")).select(*keep, canonical_kmer(F.col("__kmer")).alias("kmer"))
 
 
