@@ -45,7 +45,7 @@ def dist_gv_lines(digraph: DataFrame, lengths: DataFrame) -> DataFrame:
         F.concat_ws("\t", "src", "src_strand", "dst", "dst_strand").alias("place"),
         F.concat(q, "src", "src_strand", q, F.lit(" -> "), q, "dst", "dst_strand", q, F.lit(" [d="), "d", F.lit(" e="), F.format_string("%.1f", F.col("e").cast("double")), F.lit(" n="), "n", F.lit("]")).alias("value"),
     )
-    return _lines([one("digraph arcs {"), node_lines, edge_lines, one("}")])
+    return _lines([one("digraph distances {"), node_lines, edge_lines, one("}")])
 
 
 def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:

@@ -18,7 +18,7 @@ _OPTIONS = {
 _FLAGS = {
     "-D": ("dist_est", True), "--dist_est": ("dist_est", True), "--no_dist_est": ("dist_est", False),
     "--dist_median": ("dist_mode", "median"), "--dist_upper": ("dist_mode", "upper"),
-    "-P": ("output_pair", True), "--pair": ("output_pair", True), "--arks": ("arks", True),
+    "-P": ("output_pair", True), "--pair": ("output_pair", True), "--kmers": ("kmer_mode", True),
 }
 
 
@@ -51,7 +51,7 @@ class ScaffoldParams:
     dist_tsv: str = ""
     samples_tsv: str = ""
     output_pair: bool = False
-    arks: bool = False
+    kmer_mode: bool = False
     inputs: tuple[str, ...] = ()
 
     def __post_init__(self):
@@ -106,10 +106,10 @@ class ScaffoldParams:
             elif not arg.startswith("-"):
                 inputs.append(arg)
         given = set(values)
-        if values.get("arks") and "seq_id" in given:
+        if values.get("kmer_mode") and "seq_id" in given:
             raise ValueError("seq_id belongs to the alignment mode")
-        if not values.get("arks") and given & {"k_value", "j_index"}:
+        if not values.get("kmer_mode") and given & {"k_value", "j_index"}:
             raise ValueError("k_value and j_index belong to the k-mer mode")
-        if values.get("arks") and not values.get("file"):
+        if values.get("kmer_mode") and not values.get("file"):
             raise ValueError("the k-mer mode needs a contig file")
         return cls(**values, inputs=tuple(inputs))

@@ -44,11 +44,11 @@ class Scaffolder:
         if not inputs:
             raise ValueError("there are no inputs")
         kind = sq.detect_format(inputs)
-        if (kind == "reads") != p.arks:
+        if (kind == "reads") != p.kmer_mode:
             raise ValueError(f"inputs are {kind}, which the mode does not read")
         if any(x.endswith(".bam") for x in inputs):
             raise ValueError("convert BAM files to text (with headers) first")
-        return self._from_reads(spark, inputs) if p.arks else self._from_alignments(spark, inputs)
+        return self._from_reads(spark, inputs) if p.kmer_mode else self._from_alignments(spark, inputs)
 
     def _from_alignments(self, spark: SparkSession, inputs: list[str]) -> ScaffoldResult:
         p = self.params

@@ -78,9 +78,9 @@ def test_ambiguity(spark):
 
 
 def test_params():
-    p = ScaffoldParams.from_args(["--arks", "-f", "x.fa", "-m", "8-100", "-k", "40", "-t", "4", "--gap=50", "r.fq"])
-    assert (p.arks, p.min_mult, p.max_mult, p.k_value, p.gap, p.inputs) == (True, 8, 100, 40, 50, ("r.fq",))
+    p = ScaffoldParams.from_args(["--kmers", "-f", "x.fa", "-m", "8-100", "-k", "40", "-t", "4", "--gap=50", "r.fq"])
+    assert (p.kmer_mode, p.min_mult, p.max_mult, p.k_value, p.gap, p.inputs) == (True, 8, 100, 40, 50, ("r.fq",))
     assert p.named().tsv_name.endswith("_main.tsv")
-    for bad in (["-k", "30", "a.sam"], ["--arks", "-f", "x", "-s", "90"], ["--arks"], ["--what"]):
+    for bad in (["-k", "30", "a.sam"], ["--kmers", "-f", "x", "-s", "90"], ["--kmers"], ["--what"]):
         with pytest.raises(ValueError):
             ScaffoldParams.from_args(bad)

@@ -176,7 +176,7 @@ def test_scaffolder_kmer_mode(spark, tmp_path):
                 part = contigs[c][low + 10 * k : low + 10 * k + 100]
                 out += [f"@{b}{c}{k}/{m} BX:Z:{b}\n{part}\n+\n{'#' * 100}\n" for m in (1, 2)]
     (tmp_path / "r.fq").write_text("".join(out))
-    p = ScaffoldParams(inputs=(str(tmp_path / "r.fq"),), file=str(tmp_path / "c.fa"), arks=True, min_mult=1, end_length=300)
+    p = ScaffoldParams(inputs=(str(tmp_path / "r.fq"),), file=str(tmp_path / "c.fa"), kmer_mode=True, min_mult=1, end_length=300)
     assert [tuple(r) for r in Scaffolder(p).run(spark).edges.collect()] == [("1", "2", 2, 5)]
 
 
@@ -236,6 +236,6 @@ def test_windowed_stream_drops_late_rows(spark, tmp_path):
 
 
 def test_scaffolder_refuses_what_it_cannot_read(spark):
-    for params in (ScaffoldParams(), ScaffoldParams(inputs=("a.bam",)), ScaffoldParams(inputs=("a.fq",)), ScaffoldParams(inputs=("a.sam",), file="c.fa", arks=True)):
+    for params in (ScaffoldParams(), ScaffoldParams(inputs=("a.bam",)), ScaffoldParams(inputs=("a.fq",)), ScaffoldParams(inputs=("a.sam",), file="c.fa", kmer_mode=True)):
         with pytest.raises(ValueError):
             Scaffolder(params).run(spark)
