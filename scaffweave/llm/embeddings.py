@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ RUN = 256
 #: Random orders that the first graph is taken from; rounds of refinement at most.
 TABLES = 6
 ROUNDS = 4
+#: Pairs so little below the threshold are edges too; links are decided when they are counted.
+SLACK = 1e-9
 #: Vectors of one cell of exact counting; larger components are counted in pairs of such blocks.
 CELL = 1024
 #: Vectors whose links the audit counts by brute force, and the share of them that must have been found.
@@ -56,22 +59,38 @@ def _hashed(batches: Iterator[pa.RecordBatch], tables: int, seed: int) -> Iterat
             planes = np.random.default_rng([seed, t, x.shape[1]]).standard_normal((x.shape[1], 17))
             seen = x @ planes
             code = ((seen[:, :16] > 0) << np.arange(16)).sum(1) + (t << 16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.int64()), pa.array(seen[:, 16])], names=["rep", "unit", "code", "along"])
-
-
-def _best(rows: np.ndarray, x: np.ndarray, bar: np.ndarray, k: int):
-    """For each row its k best others above its bar."""
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.int64()), pa.array(seen[:, 16])], names=["rep", "unit", "group", "code", "along"])
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of `near` that link all that it links, at most one for each row."""
+    a, b = [], []
+    left = np.flatnonzero(near.any(1))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = near[i, left]
+            a.extend(left[hit].tolist())
+            b.extend([i] * int(hit.sum()))
+            queue.extend(left[hit].tolist())
+            left = left[~hit]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _best(rows: np.ndarray, group: np.ndarray, x: np.ndarray, bar: np.ndarray, k: int, cosine: float):
+    """For each row its k best others above its bar, and a forest of all pairs at the threshold; none of one group."""
     c = x @ x.T
-    np.fill_diagonal(c, -2)
-    c[rows[:, None] == rows[None, :]] = -2
+    c[group[:, None] == group[None, :]] = -2
     k = min(k, len(rows) - 1)
     near = np.argpartition(-c, k - 1, axis=1)[:, :k]
     cos = np.take_along_axis(c, near, 1)
     a, b = np.nonzero(cos > bar[:, None])
-    return rows[a], rows[near[a, b]], cos[a, b]
+    i, j = _forest(c >= cosine - SLACK)
+    return np.concatenate([rows[a], rows[i]]), np.concatenate([rows[near[a, b]], rows[j]]), np.concatenate([cos[a, b], c[i, j]])
 
 
-def _compare(k: int, by: str | None):
+def _compare(k: int, by: str | None, cosine: float):
     """Pairs within runs of at most RUN neighbouring rows (of one centre, if `by` names it)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +110,7 @@ def _compare(k: int, by: str | None):
             if len(rows) < 2:
                 continue
             bar = part.column("bar").to_numpy() if by else np.full(len(rows), -1.0)
-            x, y, z = _best(rows, _matrix(part.column("unit")), bar, k)
+            x, y, z = _best(rows, part.column("group").to_numpy(), _matrix(part.column("unit")), bar, k, cosine)
             a.append(x)
             b.append(y)
             c.append(z)
@@ -105,43 +124,74 @@ def _compare(k: int, by: str | None):
     return compare
 
 
-def _lists(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each vector, and bar, the cosine of the last where the list is full."""
+def _lists(pairs: DataFrame, k: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """The k best neighbours of each vector, and bar, the cosine of the last where the list is full; and all pairs at the threshold."""
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    ranked = pairs.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    edge = F.col("cos") >= cosine - SLACK
+    ranked = pairs.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("place", F.row_number().over(best)).filter((F.col("place") <= k) | edge)
     bar = F.max(F.when(F.col("place") == k, F.col("cos"))).over(Window.partitionBy("a"))
-    return checkpoint(ranked.select("a", "b", "cos", F.coalesce(bar, F.lit(-1.0)).alias("bar")))
+    seen = checkpoint(ranked.select("a", "b", "cos", F.coalesce(bar, F.lit(-1.0)).alias("bar"), "place"))
+    return seen.filter(F.col("place") <= k).drop("place"), seen.filter(edge).select("a", "b")
 
 
-def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 0, cosine: float = COSINE) -> DataFrame:
-    """(a, b, cos, bar): NN-descent over vectors (rep, unit) of one dimension.
+def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 0, cosine: float = COSINE, inside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lists (a, b, cos, bar) and edges (a, b): NN-descent over vectors (rep, unit, group) of one dimension.
 
     The first lists come from runs of neighbours in random orders (by signs of random projections). A round
-    brings every vector's neighbours and reverse neighbours together and compares them with each other; a
-    pair goes on only if it beats the last of a list. Centres with many reverse neighbours are compared in
-    runs of RUN. Rounds end when they bring hardly any new edges at the threshold (1 for 1000 vectors) to
-    lists that are not saturated; neighbours below the threshold are only a way to those.
+    brings every vector's neighbours and reverse neighbours (and those of `inside`) together and compares
+    them with each other, but not those of one group; a pair goes on only if it beats the last of a list.
+    Centres with many reverse neighbours are compared in runs of RUN. Edges link all pairs that any run had
+    at the threshold, also those that no list has room for. Rounds end when they bring hardly any new edges
+    at the threshold (1 for 1000 vectors) to lists that are not saturated; neighbours below the threshold
+    are only a way to those.
     """
     n = partitions(vectors.sparkSession)
     count = vectors.count()
     bits = max(0, min(16, int(math.log2(max(1, count / 64)))))
     code = F.shiftright("code", 16) * 65536 + F.col("code").bitwiseAND((1 << bits) - 1)
-    spread = vectors.mapInArrow(lambda b: _hashed(b, tables, seed), "rep long, unit binary, code long, along double")
+    spread = vectors.select("rep", "unit", "group").mapInArrow(lambda b: _hashed(b, tables, seed), "rep long, unit binary, group long, code long, along double")
     spread = spread.withColumn("code", code).repartitionByRange(n, "code", "along").sortWithinPartitions("code", "along")
-    lists = _lists(spread.mapInArrow(_compare(k, None), "a long, b long, cos double"), k)
+    lists, edges = _lists(spread.mapInArrow(_compare(k, None, cosine), "a long, b long, cos double"), k, cosine)
     for _ in range(rounds):
-        members = lists.select(F.col("a").alias("centre"), F.col("b").alias("rep")).unionByName(lists.select(F.col("b").alias("centre"), F.col("a").alias("rep"))).distinct()
+        ways = lists.select("a", "b") if inside is None else lists.select("a", "b").unionByName(inside)
+        members = ways.select(F.col("a").alias("centre"), F.col("b").alias("rep")).unionByName(ways.select(F.col("b").alias("centre"), F.col("a").alias("rep"))).distinct()
         bars = lists.groupBy("a").agg(F.max("bar").alias("bar")).withColumnRenamed("a", "rep")
         own = vectors.join(bars, "rep", "left").withColumn("bar", F.coalesce("bar", F.lit(-1.0)))
         met = members.join(own, "rep").repartition(n, "centre").sortWithinPartitions("centre", "rep")
-        better = met.mapInArrow(_compare(k, "centre"), "a long, b long, cos double")
-        after = _lists(better.unionByName(lists.select("a", "b", "cos")), k)
-        edges = after.filter((F.col("cos") >= cosine) & (F.col("bar") < cosine))
-        changed = edges.join(lists.filter(F.col("cos") >= cosine), ["a", "b"], "left_anti").count()
-        lists = after
+        better = met.mapInArrow(_compare(k, "centre", cosine), "a long, b long, cos double")
+        after, more = _lists(better.unionByName(lists.select("a", "b", "cos")), k, cosine)
+        new = after.filter((F.col("cos") >= cosine) & (F.col("bar") < cosine))
+        changed = new.join(lists.filter(F.col("cos") >= cosine), ["a", "b"], "left_anti").count()
+        lists, edges = after, edges.unionByName(more)
         if changed <= count / 1000:
             break
-    return lists
+    return lists, edges
+
+
+def _edges(vectors: DataFrame, k: int, tables: int, seed: int, cosine: float) -> DataFrame:
+    """Edges (a, b) that link vectors (rep, unit) as all pairs at the threshold do.
+
+    A list that is full of edges is saturated, and its vector may have more. A vector that is not has all of
+    its own, so only saturated vectors can miss edges, with each other. Their lists are enlarged to the
+    components that the edges give: the graph is built again over them, with lists of neighbours in other
+    components only, until no list is full of edges. Each pass joins every component that is left with
+    another one, so their number is halved at least.
+    """
+    lists, edges = neighbour_graph(vectors.withColumn("group", F.col("rep")), k, tables, seed=seed, cosine=cosine)
+    inside = None
+    for again in itertools.count(1):
+        full = lists.filter(F.col("bar") >= cosine - SLACK).select(F.col("a").alias("rep")).distinct()
+        if full.isEmpty():
+            return edges
+        edges = checkpoint(edges.distinct())
+        groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+        left = checkpoint(vectors.join(full, "rep").join(groups, "rep"))
+        if left.select("group").distinct().count() < 2:
+            return edges
+        ways = lists.select("a", "b") if inside is None else lists.select("a", "b").unionByName(inside)
+        inside = checkpoint(ways.join(left.select(F.col("rep").alias("a")), "a").join(left.select(F.col("rep").alias("b")), "b").select("a", "b"))
+        lists, more = neighbour_graph(left, k, tables, seed=seed + 100 * again, cosine=cosine, inside=inside)
+        edges = edges.unionByName(more)
 
 
 def _count(cosine: float):
@@ -180,8 +230,9 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
 
     Equal unit vectors are one class with its smallest key. NN-descent gives each class a list of near
     ones; pairs at the threshold are edges. A list that is full of edges is saturated, and its vector may
-    have more: so lists are enlarged to the whole component of edges, whose vectors are compared in double
-    precision in cells of at most two blocks of CELL, without listing pairs. That gives n_links (members of
+    have more: so lists are enlarged to the whole component of edges, and the vectors with full lists look for
+    neighbours in other components. The vectors of a component are compared in double precision in cells of
+    at most two blocks of CELL, without listing pairs. That gives n_links (members of
     linked classes counted, and the other members of the own class) and the links of the final components.
     An audit counts the links of a bounded sample by brute force; if less than RECALL of them were found,
     the graph is built again with twice the lists and tables, and the edges of both count.
@@ -200,8 +251,7 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     result = None
     while wanted:
         for size, k, tables, seed in wanted:
-            graph = neighbour_graph(classes.filter(F.octet_length("unit") == size).select("rep", "unit"), k, tables, seed=seed, cosine=cosine)
-            new = graph.filter(F.col("cos") >= cosine - 1e-9).select("a", "b")
+            new = _edges(classes.filter(F.octet_length("unit") == size).select("rep", "unit"), k, tables, seed, cosine)
             edges = new if edges is None else edges.unionByName(new)
         result = checkpoint(_linked(edges, classes, cosine, n))
         wanted = [(size, 2 * k, 2 * tables, seed + 1) for size, k, tables, seed in wanted if seed < 2 and recall(result, classes, size, cosine) < RECALL]

@@ -270,3 +270,30 @@ def test_embeddings(spark, monkeypatch):
     assert [got[i] for i in (500, 501, 502, 503, 504)] == [(0, i) for i in (500, 501, 502, 503, 504)]
     assert got[505] == (2, 505) and got[506] == (2, 505)
     assert embeddings.embedding_links(frame.limit(0)).count() == 0
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def brute_links(x):
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    comp = brute.components(range(len(x)), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    return {i: (int(near[i].sum()), comp[i]) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("run", [256, 24])
+def test_embeddings_of_clumps_that_fill_every_list(spark, monkeypatch, run):
+    monkeypatch.setattr(embeddings, "RUN", run)
+    rng = np.random.default_rng(1)
+    x = unit_rows(rng.standard_normal((420, 48)))
+    for low in (0, 60, 120):
+        centre = x[300] + (0 if low == 0 else 0.29) * unit_rows(rng.standard_normal((1, 48)))[0]
+        x[low : low + 60] = centre / np.linalg.norm(centre) + 0.09 * unit_rows(rng.standard_normal((60, 48)))
+    x = unit_rows(x)
+    near = x @ x.T
+    assert near[:60, :60].min() > 0.97 and 0.94 < near[:60, 60:120].mean() < 0.97
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(x)
