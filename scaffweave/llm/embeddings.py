@@ -141,9 +141,8 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
     brings every vector's neighbours and reverse neighbours (and those of `inside`) together and compares
     them with each other, but not those of one group; a pair goes on only if it beats the last of a list.
     Centres with many reverse neighbours are compared in runs of RUN. Edges link all pairs that any run had
-    at the threshold, also those that no list has room for. Rounds end when they bring hardly any new edges
-    at the threshold (1 for 1000 vectors) to lists that are not saturated; neighbours below the threshold
-    are only a way to those.
+    at the threshold, also those that no list has room for. Rounds end when fewer than 1 in 1000 list
+    places change, whatever share of the vectors has edges.
     """
     n = partitions(vectors.sparkSession)
     count = vectors.count()
@@ -160,10 +159,9 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
         met = members.join(own, "rep").repartition(n, "centre").sortWithinPartitions("centre", "rep")
         better = met.mapInArrow(_compare(k, "centre", cosine), "a long, b long, cos double")
         after, more = _lists(better.unionByName(lists.select("a", "b", "cos")), k, cosine)
-        new = after.filter((F.col("cos") >= cosine) & (F.col("bar") < cosine))
-        changed = new.join(lists.filter(F.col("cos") >= cosine), ["a", "b"], "left_anti").count()
+        changed = after.join(lists, ["a", "b"], "left_anti").count()
         lists, edges = after, edges.unionByName(more)
-        if changed <= count / 1000:
+        if changed <= count * k / 1000:
             break
     return lists, edges
 

@@ -297,3 +297,14 @@ def test_embeddings_of_clumps_that_fill_every_list(spark, monkeypatch, run):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == brute_links(x)
+
+
+def test_neighbour_graph_goes_on_where_links_are_sparse(spark):
+    rng = np.random.default_rng(5)
+    x = unit_rows(rng.standard_normal((4000, 12)))
+    x[:12] = unit_rows(x[100:112] + 0.3 * unit_rows(rng.standard_normal((12, 12))))
+    cos = np.triu(x @ x.T, 1)
+    truth = set(zip(*(v.tolist() for v in np.nonzero(cos >= 0.945)), strict=True))
+    vectors = spark.createDataFrame([(i, v.tobytes(), i) for i, v in enumerate(x)], "rep long, unit binary, group long")
+    _, edges = embeddings.neighbour_graph(vectors, k=10, tables=2, rounds=8, cosine=0.945)
+    assert len(truth) == 21 and truth <= {(min(r), max(r)) for r in edges.collect()}
