@@ -25,9 +25,14 @@ ROUNDS = 4
 SLACK = 1e-9
 #: Vectors of one cell of exact counting; larger components are counted in pairs of such blocks.
 CELL = 1024
-#: Vectors whose links the audit counts by brute force, and the share of them that must have been found.
+#: Linked vectors whose links the audit counts by brute force, and the share of them that must have been found.
 AUDIT = 256
 RECALL = 0.98
+#: Vectors that the audit looks through for linked ones, at most, and so many at once.
+ASKED = 8192
+ASKED_AT_ONCE = 1024
+#: Graphs that are built; if the last one fails the audit too, all vectors are compared.
+BUILDS = 3
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +210,8 @@ def _count(cosine: float):
             if i != j:
                 near &= block[:, None] != block[None, :]
             label = link(len(rows), lambda k, others: near[k, others])  # noqa: B023
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows[label]), pa.array((near @ size).astype(np.int64))], names=["a", "b", "links"])
+            counts = [pa.array((near @ w).astype(np.int64)) for w in (size, np.ones_like(size))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows[label]), *counts], names=["a", "b", "links", "pairs"])
 
     return count
 
@@ -217,8 +223,8 @@ def _audit(sample: np.ndarray, ids: np.ndarray, cosine: float):
             if batch.num_rows:
                 near = _matrix(batch.column(1)) @ sample.T >= cosine
                 near &= batch.column(0).to_numpy()[:, None] != ids[None, :]
-                total += (near * batch.column(2).to_numpy()[:, None]).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "true_links"])
+                total += near.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "true_pairs"])
 
     return audit
 
@@ -232,8 +238,9 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     neighbours in other components. The vectors of a component are compared in double precision in cells of
     at most two blocks of CELL, without listing pairs. That gives n_links (members of
     linked classes counted, and the other members of the own class) and the links of the final components.
-    An audit counts the links of a bounded sample by brute force; if less than RECALL of them were found,
-    the graph is built again with twice the lists and tables, and the edges of both count.
+    An audit counts the linked classes of a sample of linked vectors by brute force; if less than RECALL of
+    them were found, the graph is built again with twice the lists and tables, and the edges of all count.
+    If BUILDS graphs fail, all vectors of that length are compared, in the same cells.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, nor do those
     of different lengths with each other. Repeated rows are vectors of their own. A null key gives a row
@@ -245,16 +252,20 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     classes = rows.filter("unit is not null and vec is not null").groupBy("unit").agg(F.min("vec").alias("rep"), F.count("*").alias("n"))
     classes = checkpoint(classes.groupBy("rep").agg(F.max_by("unit", "n").alias("unit"), F.max("n").alias("n")))
     lengths = [r[0] for r in classes.select(F.octet_length("unit").alias("size")).distinct().collect()]
-    edges, wanted = None, [(size, NEIGHBOURS, TABLES, 0) for size in lengths]
+    edges, whole, wanted = None, [], [(size, NEIGHBOURS, TABLES, 0) for size in lengths]
     result = None
     while wanted:
         for size, k, tables, seed in wanted:
-            new = _edges(classes.filter(F.octet_length("unit") == size).select("rep", "unit"), k, tables, seed, cosine)
+            own = classes.filter(F.octet_length("unit") == size)
+            if seed == BUILDS:
+                whole.append(size)
+                continue
+            new = _edges(own.select("rep", "unit"), k, tables, seed, cosine)
             edges = new if edges is None else edges.unionByName(new)
-        result = checkpoint(_linked(edges, classes, cosine, n))
-        wanted = [(size, 2 * k, 2 * tables, seed + 1) for size, k, tables, seed in wanted if seed < 2 and recall(result, classes, size, cosine) < RECALL]
+        result = checkpoint(_linked(edges, classes, cosine, n, whole))
+        wanted = [(size, 2 * k, 2 * tables, seed + 1) for size, k, tables, seed in wanted if seed < BUILDS and recall(result, classes, size, cosine) < RECALL]
     if result is None:
-        result = spark.createDataFrame([], "rep long, links long, component long")
+        result = spark.createDataFrame([], "rep long, links long, pairs long, component long")
     found = classes.select("unit", F.col("rep"), "n").join(result, "rep", "left")
     return (
         rows.join(found, "unit", "left")
@@ -263,8 +274,12 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     )
 
 
-def _linked(edges: DataFrame, classes: DataFrame, cosine: float, n: int) -> DataFrame:
+def _linked(edges: DataFrame, classes: DataFrame, cosine: float, n: int, whole: list[int]) -> DataFrame:
+    """(rep, links, pairs, component) by exact comparison within components of edges; all of a length in `whole` are one."""
     groups = connected_components(edges)
+    for size in whole:
+        every = classes.filter(F.octet_length("unit") == size).select(F.col("rep").alias("node"))
+        groups = groups.join(every, "node", "left_anti").unionByName(every.withColumn("component", F.lit(-size).cast("long")))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / CELL).alias("cells"))
     members = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
@@ -272,20 +287,29 @@ def _linked(edges: DataFrame, classes: DataFrame, cosine: float, n: int) -> Data
     placed = placed.select("component", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     counted = (
         placed.join(classes, "rep").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-        .mapInArrow(_count(cosine), "a long, b long, links long")
+        .mapInArrow(_count(cosine), "a long, b long, links long, pairs long")
     )
     counted = checkpoint(counted)
-    links = counted.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = counted.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
     comps = connected_components(counted.select("a", "b")).select(F.col("node").alias("rep"), "component")
     return links.join(comps, "rep", "left")
 
 
 def recall(result: DataFrame, classes: DataFrame, size: int, cosine: float = COSINE) -> float:
-    """The share of a sample's links, counted against all vectors, that the result has; 1 if there are none."""
+    """The mean share of its linked classes, found by comparison with all, that the result has for a linked vector.
+
+    Vectors are looked through in the order of a hash until AUDIT linked ones are seen, ASKED at most. 1 if none is.
+    """
     own = classes.filter(F.octet_length("unit") == size)
-    sample = own.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(AUDIT).select("rep", "unit").collect()
-    ids = np.array([r[0] for r in sample], np.int64)
-    units = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.float64).reshape(len(sample), -1)
-    true = own.select("rep", "unit", "n").mapInArrow(_audit(units, ids, cosine), "rep long, true_links long").groupBy("rep").agg(F.sum("true_links").alias("true_links"))
-    both = true.join(result, "rep", "left").agg(F.sum("true_links"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return 1.0 if not both[0] else (both[1] or 0) / both[0]
+    sample = own.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(ASKED).select("rep", "unit").collect()
+    linked, found = 0, 0.0
+    for low in range(0, len(sample), ASKED_AT_ONCE):
+        part = sample[low : low + ASKED_AT_ONCE]
+        ids = np.array([r[0] for r in part], np.int64)
+        units = np.frombuffer(b"".join(bytes(r[1]) for r in part), np.float64).reshape(len(part), -1)
+        true = own.select("rep", "unit").mapInArrow(_audit(units, ids, cosine), "rep long, true_pairs long").groupBy("rep").agg(F.sum("true_pairs").alias("true_pairs"))
+        both = true.filter("true_pairs > 0").join(result, "rep", "left").agg(F.count("*"), F.sum(F.coalesce("pairs", F.lit(0)) / F.col("true_pairs"))).first()
+        linked, found = linked + both[0], found + (both[1] or 0.0)
+        if linked >= AUDIT:
+            break
+    return found / linked if linked else 1.0

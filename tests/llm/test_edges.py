@@ -308,3 +308,24 @@ def test_neighbour_graph_goes_on_where_links_are_sparse(spark):
     vectors = spark.createDataFrame([(i, v.tobytes(), i) for i, v in enumerate(x)], "rep long, unit binary, group long")
     _, edges = embeddings.neighbour_graph(vectors, k=10, tables=2, rounds=8, cosine=0.945)
     assert len(truth) == 21 and truth <= {(min(r), max(r)) for r in edges.collect()}
+
+
+def test_audit_counts_small_groups_beside_a_hot_one(spark):
+    rng = np.random.default_rng(6)
+    x = unit_rows(rng.standard_normal((1500, 16)))
+    x[1:40:2] = unit_rows(x[:40:2] + 0.1 * unit_rows(rng.standard_normal((20, 16))))
+    classes = spark.createDataFrame([(i, v.tobytes(), 5000 if i < 2 else 1) for i, v in enumerate(x)], "rep long, unit binary, n long")
+    hot = spark.createDataFrame([(i, 5000, 1, 0) for i in (0, 1)], "rep long, links long, pairs long, component long")
+    assert embeddings.recall(hot, classes, 128) < 0.5
+    assert embeddings.recall(spark.createDataFrame([(i, 1, 1, i // 2 * 2) for i in range(40)], hot.schema), classes, 128) == 1
+
+
+def test_embeddings_are_compared_whole_if_graphs_fail(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 200)
+    monkeypatch.setattr(embeddings, "_edges", lambda vectors, *_: vectors.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    rng = np.random.default_rng(7)
+    x = unit_rows(rng.standard_normal((700, 16)))
+    x[1:40:2] = unit_rows(x[:40:2] + 0.1 * unit_rows(rng.standard_normal((20, 16))))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(x)
