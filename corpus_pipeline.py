@@ -27,9 +27,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, and documents with no words."""
-    judged = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps the document with the smallest id of each group of near-duplicates, and documents with no words.
+
+    What is judged is a row's doc_id and text together (by a 64-bit hash of both): rows that share an id but
+    have different texts are documents of their own, rows equal in both are one. A null id is the largest:
+    of a group with no other ids one row stays. Of rows of a group with the same id that with the smallest hash stays.
+    """
+    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")).dropDuplicates(["row"])
+    judged = near_duplicates(rows, key="row").select("row", "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = judged.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(least.alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

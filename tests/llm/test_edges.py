@@ -329,3 +329,15 @@ def test_embeddings_are_compared_whole_if_graphs_fail(spark, monkeypatch):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == brute_links(x)
+
+
+def test_dedup_stage_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (words(300 + i, 120) for i in range(4))
+    rows = [(None, a), (None, b), (None, b + " end"), (None, None), (7, c), (7, d), (7, d), (9, c + " end"), (None, c), (5, d + " end"), (3, "")]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in p.minhash_dedup(spark, frame, "").collect()]
+    near_b = [r for r in got if r in ((None, b), (None, b + " end"))]
+    assert len(near_b) == 1
+    assert sorted(set(got) - set(near_b), key=str) == sorted([(None, a), (None, None), (7, c), (5, d + " end"), (3, "")], key=str) and len(got) == 6
