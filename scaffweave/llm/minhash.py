@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,10 @@ from .common import checkpoint, connected_components, partitions
 from .words import SPACED, byte_values, find_words, mix, rolling, room, runs, text_buffer, word_hashes
 
 SHINGLE = 5
-#: Similarity of 0.85 as a fraction: 100 * intersection >= 85 * union.
+#: Similarity as a fraction, if none is given: 100 * intersection >= 85 * union.
 PERCENT = 85
-#: Coordinates of a sketch, in BANDS bands of ROWS: a pair at 0.85 shares no band with probability 4e-7.
-BANDS, ROWS = 25, 5
-T = BANDS * ROWS
-#: Coordinates that a pair of one bucket must agree in to be verified together: 5 deviations below 0.85 * T.
-AGREE = 85
+#: Coordinates of a sketch.
+T = 125
 #: A bucket of more documents than this is linked to its smallest instead of being compared in its task.
 BUCKET = 2000
 #: Documents of one cell of exact verification; larger groups are verified in pairs of such blocks.
@@ -70,15 +68,27 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    rows = s.reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Coordinates of a band: the most with which a pair at the threshold shares no band with probability below 1e-6."""
+    return max((r for r in range(1, 11) if (1 - (percent / 100) ** r) ** (T // r) < 1e-6), default=1)
+
+
+def agreement(percent: int) -> int:
+    """Coordinates that a pair of one bucket must agree in to be verified together: 5.2 deviations below the mean."""
+    p = percent / 100
+    return max(0, math.floor(T * p - 5.2 * math.sqrt(T * p * (1 - p))))
+
+
+def band_keys(s: np.ndarray, size: int) -> np.ndarray:
+    bands = T // size
+    rows = s[: bands * size].reshape(bands, size)
+    h = np.arange(bands, dtype=np.uint64)
+    for k in range(size):
         h = mix(h * _ODD[0] + rows[:, k])
     return h.view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], band: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
             part = batch.slice(low, 1000)
@@ -88,7 +98,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                 s = sketch(x) if len(x) else None
                 sketches.append(None if s is None else (mix(s) & np.uint64(255)).astype(np.uint8).tobytes())
-                keys.append(None if s is None else band_keys(s))
+                keys.append(None if s is None else band_keys(s, band))
             columns = [part.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "print", "sketch", "keys"])
 
@@ -134,7 +144,7 @@ def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
     """Links between documents of one bucket whose sketches agree enough: a spanning forest, not all pairs."""
     a, b = [], []
 
@@ -149,7 +159,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(docs) < 2:
             continue
         codes = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(docs), T)
-        label = link(len(docs), lambda i, others: (codes[others] == codes[i]).sum(1) >= AGREE)  # noqa: B023
+        label = link(len(docs), lambda i, others: (codes[others] == codes[i]).sum(1) >= agree)  # noqa: B023
         own = np.flatnonzero(label != np.arange(len(docs)))
         a.extend(docs[own].tolist())
         b.extend(docs[label[own]].tolist())
@@ -182,7 +192,7 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Exact links within a cell, as (document, smallest document that it reaches in the cell)."""
     for group in _groups(batches, "component", "i", "j"):
         order = np.argsort(group.column("doc").to_numpy(), kind="stable")
@@ -191,19 +201,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = list(shingle_sets(*text_buffer(group.column("text"))))
         both = intersections(sets)
         size = np.array([len(s) for s in sets])
-        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
         label = link(len(docs), lambda i, others: linked[i, others])  # noqa: B023
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(docs[label], pa.int64()), pa.array([group.column("cells")[0].as_py() == 1] * len(docs))], names=["a", "b", "final"])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept.
 
-    Documents whose sets of 5-word shingles have a Jaccard similarity of 0.85 or more are linked;
+    Documents whose sets of 5-word shingles have a Jaccard similarity of percent / 100 or more are linked;
     component_id is the smallest key that links reach, kept tells whether it is the document's own.
 
     (1) Sets are sketched; equal sets become one class with its smallest key. (2) Classes that share a band
-    of their sketches meet in a bucket, where those whose sketches agree in AGREE coordinates are joined to
+    of their sketches meet in a bucket, where those whose sketches agree in enough coordinates are joined to
     candidate groups; a bucket gives a spanning forest, so no pairs are listed. Every link lies within a
     candidate group, but for the chance above. (3) The texts of a group come together once and all their
     pairs are decided on the full sets; a group of more than CELL classes is dealt into blocks, and each pair
@@ -215,7 +225,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    sketched = checkpoint(docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(_sketches, "doc long, n_shingles long, print binary, sketch binary, keys array<long>"))
+    band, agree = band_rows(percent), agreement(percent)
+    sketched = checkpoint(docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(lambda b: _sketches(b, band), "doc long, n_shingles long, print binary, sketch binary, keys array<long>"))
     classes = sketched.filter("print is not null and doc is not null").groupBy("print").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     classes = checkpoint(classes)
     in_bucket = Window.partitionBy("key")
@@ -228,7 +239,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         banded.filter(F.col("size") <= BUCKET).select("key", "rep")
         .join(classes.select("rep", "sketch"), "rep")
         .repartition(n, "key").sortWithinPartitions("key", "rep")
-        .mapInArrow(_edges, "a long, b long")
+        .mapInArrow(lambda b: _edges(b, agree), "a long, b long")
     )
     crowded = banded.filter((F.col("size") > BUCKET) & (F.col("rep") > F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = connected_components(met.unionByName(crowded))
@@ -241,7 +252,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     checked = (
         texts.join(placed, "doc").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc")
-        .mapInArrow(_verify, "a long, b long, final boolean")
+        .mapInArrow(lambda b: _verify(b, percent), "a long, b long, final boolean")
     )
     checked = checkpoint(checked)
     done = checked.filter("final").groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rep"), F.col("b").alias("component_id"))

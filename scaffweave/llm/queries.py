@@ -73,7 +73,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,3 +341,14 @@ def test_dedup_stage_keeps_null_and_repeated_ids(spark):
     near_b = [r for r in got if r in ((None, b), (None, b + " end"))]
     assert len(near_b) == 1
     assert sorted(set(got) - set(near_b), key=str) == sorted([(None, a), (None, None), (7, c), (5, d + " end"), (3, "")], key=str) and len(got) == 6
+
+
+def test_near_duplicates_at_another_threshold(spark):
+    assert (minhash.band_rows(85), minhash.agreement(85), minhash.band_rows(80), minhash.agreement(80)) == (5, 85, 4, 76)
+    rows = []
+    for i in range(40):
+        w = words(400 + i, 54).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:20], "edited", *w[21:]]))]  # 45 / 55 = 0.818
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in minhash.near_duplicates(frame, percent=80).collect())
+    assert all(r.kept for r in minhash.near_duplicates(frame).collect())
