@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -29,15 +28,19 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster shares; a temporary one only where none is set."""
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    """Cuts the lineage in the folder that the cluster shares."""
+    context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder in the warehouse, which a cluster's tasks share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
@@ -51,6 +54,24 @@ def sample_by_hash(frame: DataFrame, key: str, bound: int, seed: int = 17) -> Da
     return frame.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**31)) < share)
 
 
+#: Rows of one key and bytes of one text that a model learns from, at most; see learning_texts.
+KEY_ROWS = 4
+LEARNED = 1 << 16
+
+
+def learning_texts(docs: DataFrame, chosen: DataFrame, key: str, text: str, bound: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of the chosen (key, y), in the order of key and text: what a model on the driver learns from.
+
+    Bounded in rows and bytes: of a key's different texts the KEY_ROWS first by hash; texts of more than LEARNED
+    bytes are left out. bound * KEY_ROWS * LEARNED is the most that can arrive.
+    """
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen.select(F.col(key).alias("k"), "y")), "k")
+    rows = rows.filter(F.col("t").isNotNull() & (F.octet_length("t") <= LEARNED)).groupBy("k", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y"))
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("h"))).filter(F.col("n") <= KEY_ROWS)
+    got = sorted(((r.k, r.t, int(r.y)) for r in few.select("k", "t", "y").collect()), key=lambda r: r[:2])
+    return [r[1] for r in got], np.array([r[2] for r in got], np.int64)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected edges; the component is its smallest node.
 

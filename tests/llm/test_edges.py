@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -127,6 +128,47 @@ def test_languages_are_told(spark):
     assert all(r.lang == r.lang_pred for r in got)
 
 
+@pytest.mark.parametrize("remembered", [40, 40_000])
+def test_hyperdimensional_vectors_by_brute_force(remembered):
+    """Vectors of texts of several scripts against a plain sum over trigrams of bound letter vectors."""
+    encoder = language.Encoder(dim=256, remembered=remembered)
+    texts = [None, "", "12 ..", "Zoë naïve zoë", "Ωραία μέρα", "привет Мир", "日本語の文章 です", words(3, 200), "".join(chr(0x4E00 + 7 * i) for i in range(400)), "aΑа" * 50]
+    got, lettered = encoder.encode(*common_buffer(texts))
+
+    def letter(c):
+        low = c.lower()[0]
+        if not low.isalpha():
+            return None
+        return np.random.default_rng([encoder.seed, ord(low)]).choice(np.array([-1, 1], np.int8), 256).astype(float)
+
+    for i, text in enumerate(texts):
+        own = [letter(c) for c in text or ""]
+        ones = np.ones(256)
+        at = lambda k: ones if not 0 <= k < len(own) or own[k] is None else own[k]  # noqa: B023, E731
+        v = sum((np.roll(at(k - 1), 2) * np.roll(at(k), 1) * at(k + 1) for k in range(len(own)) if own[k] is not None), np.zeros(256))
+        assert lettered[i] == any(x is not None for x in own)
+        size = np.linalg.norm(v)
+        assert np.allclose(got[i], v / size if size else v, atol=1e-5)
+
+
+def test_language_is_the_nearest_prototype(spark):
+    """lang_pred and score against cosines that are worked out here, ties to the first name, with a null key and repeated rows."""
+    texts = [words(i, 30) for i in range(20)] + [None, "12"]
+    table = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, score string")
+    vectors, _ = language.Encoder().encode(*common_buffer(texts))
+    prototypes = np.stack([vectors[0], vectors[1], vectors[1]])
+    got = language.identify_languages(table, (["aa", "bb", "cc"], prototypes)).collect()
+    assert len(got) == 2 * len(texts)
+    cosines = vectors @ prototypes.T
+    for r in got:
+        i = r.doc_id or 0
+        if i >= 20:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == ["aa", "bb", "cc"][int(cosines[i].argmax())] and abs(r.score - max(0, cosines[i].max())) < 1e-5
+    assert "cc" not in {r.lang_pred for r in got}
+
+
 def test_packing(odd, none, docs):
     got = packing.pack(packing.pieces(odd, tokenizer_path())).collect()
     assert {r.doc_id for r in got} == set(range(len(TEXTS)))
@@ -152,10 +194,69 @@ def test_grouping_crossover_keeps_every_item():
         assert len(bins) == 400 and fills.sum() == lengths.sum() and 0 < fills.min() and fills.max() <= 2048
 
 
-def test_tokenizer_chunks():
-    coder = packing.ChunkTokenizer(tokenizer_path(), remembered=50)
-    for text in [*TEXTS, "It's <|endoftext|> don't we'll\tx İstanbul ΑΣ ﬁ é ８ 3rd a1b2 ''s naïve ŉ ß ẞ"]:
-        assert coder.encode(text or "") == np.array(coder.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+def test_crossover_saves_bins_on_hard_lengths():
+    """Triples that fill a sequence exactly: best fit by length wastes one bin in seven, children of whole bins less."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(780, 1000, 40)
+        b = np.array([rng.integers(520, 2048 - x - 520) for x in a])
+        lengths = np.sort(np.concatenate([a, b, 2048 - a - b]))
+        parents = packing.found(lengths, [], rng, packing.POPULATION, 0.02)
+        best = min(int(p.max()) + 1 for p in parents)
+        child = packing.evolve(lengths, parents, rng)[0]
+        fills = packing.fill(child, lengths)
+        assert len(parents) == packing.POPULATION >= 8
+        assert len(fills) < best and fills.max() <= 2048 and fills.sum() == lengths.sum()
+    easy = np.full(64, 1024)
+    assert len(packing.found(easy, [], rng, 8, 0.02)) == 1  # nothing is left to evolve
+
+
+def test_packing_takes_ties_repeated_rows_and_clashing_names(spark):
+    text = words(8, 30)
+    rows = [(7, text, 1, 2, "x")] * 40 + [(None, text, 1, 2, "x")] * 3 + [(8, None, 1, 2, "x")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, piece int, length long, ids_crc32 string")
+    got = packing.pack(packing.pieces(table, tokenizer_path())).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.start) for r in got) == sorted((r[0] or 0, 0, 0) for r in rows)
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(places) == len(rows)
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) == -(-total // 2048)
+
+
+def test_tokenizer_words():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(3)
+    letters = "abcXYZ éÉß'’.,!<|>  \n\t09½§İıŒǅ漢字\u0301\u00a0\u2028s t ll×÷ɏɐ\x7f\x00"
+    texts = [*TEXTS, "It's <|endoftext|> don't we'll\tx İstanbul ΑΣ ﬁ é ８ 3rd a1b2 ''s naïve ŉ ß ẞ", "<|STARTOFTEXT|><|startoftext|>", "ab " * 400_000 + "é" * 5000]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    raw, offsets = common_buffer(texts)
+    for remembered in (50, 600_000):
+        coder = packing.TextTokenizer(tokenizer, remembered=remembered)
+        ids, at = coder.encode(raw, offsets)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert coder.kind is packing._KIND and len(coder.hashes) <= max(remembered, 200_000)
+
+
+def test_tokenizer_of_another_kind():
+    """A tokenizer that cuts texts in another way is told by the probe, and its chunks go through it whole."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    coder = packing.TextTokenizer(tokenizer)
+    assert coder.kind is not packing._KIND
+    ids, at = coder.encode(*common_buffer(["it's"]))
+    assert ids.tolist() == tokenizer.encode("it's", add_special_tokens=False).ids
+
+
+def common_buffer(texts):
+    import pyarrow as pa
+
+    from scaffweave.llm.words import text_buffer
+
+    return text_buffer(pa.array(texts, pa.large_string()))
 
 
 def test_toxicity(spark, odd, none):
@@ -166,14 +267,123 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
-def test_grammar():
+def clause_label(words):
+    """The label of a clause, by looking back from every word."""
+    g = toxicity
+    back = lambda k, n: range(max(0, k - n), k)
+    first = list(words)
+    for k, w in enumerate(words):
+        if w == g.THREAT:
+            first[k] = g.OTHER
+        if w == g.TARGET:
+            near = [j for j in back(k, 4) if words[j] == g.THREAT]
+            if near and g.TARGET not in words[near[-1] : k]:
+                meant = any(words[j] == g.INTENT for j in back(near[-1], 4))
+                first[k] = "intended menace" if meant else "menace"
+    second = list(first)
+    aims = (g.TARGET, "menace", "intended menace")
+    for k, w in enumerate(first):
+        if w == g.INSULT:
+            second[k] = "aimed" if any(first[j] in aims for j in back(k, 4)) else "bare"
+        if w == g.TARGET:
+            near = [j for j in back(k, 2) if first[j] == g.INSULT]
+            if near and not any(first[j] in aims for j in range(near[-1], k)):
+                second[k] = "aimed"
+    found = []
+    for k, w in enumerate(second):
+        if w in g.LABELS:
+            if any(words[j] == g.REPORT for j in back(k, 8)):
+                w = "reported"
+            elif any(words[j] == g.NEGATION for j in back(k, 6)):
+                w = "negated"
+            found.append(g.LABELS.index(w))
+    return g.LABELS[max(found)] if found else g.OTHER
+
+
+def test_grammar_by_brute_force():
+    rng = random.Random(2)
     fst = toxicity.grammar()
-    run = lambda *s: fst.run(list(s))
-    o, i, t, y, n, r = toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT
-    assert run(o, i) == [o, i]
-    assert run(y, o, i)[-1] == "targeted insult" and run(y, t)[-1] == "targeted threat"
-    assert run(y, n, o, i)[-1] == "negated" and run(n, o, o, o, i)[-1] == i
-    assert run(r, y, i)[-1] == "reported" and run(r, n, i)[-1] == n or run(r, n, i)[-1] == "negated"
+    parts = (toxicity.threat(), toxicity.insult(), toxicity.marker(toxicity.NEGATION, 6, "negated"), toxicity.marker(toxicity.REPORT, 8, "reported"), toxicity.strongest())
+    seen = set()
+    for _ in range(6000):
+        clause = [rng.choice(toxicity.BASE) if rng.random() < 0.5 else toxicity.OTHER for _ in range(rng.randrange(1, 16))]
+        step = clause
+        for part in parts:  # composed, they do what they do one after another
+            step = part.run(step)
+        assert fst.run(clause) == step
+        assert step[-1] == clause_label(clause), clause
+        seen.add(step[-1])
+    assert seen == {*toxicity.LABELS, toxicity.OTHER}
+
+
+#: Sentences and whether they are toxic; the fixed word classes alone, nothing learned.
+SENTENCES = [
+    ("You are an idiot.", 1), ("What an idiot you are!", 1), ("I will kill you.", 1), ("We are going to hurt him and his dog.", 1), ("Du bist ein Trottel.", 1), ("Je vais te frapper toi", 1),
+    ("you stupid, worthless moron", 1), ("She is trash; he is scum", 1),
+    ("The word idiot is old.", 0), ("idiot. idiot! idiot? idiot", 0), ("You are not an idiot.", 0), ("He said that you are an idiot.", 0), ("kill the process, then attack the queen", 0), ("Take out the trash.", 0),
+    ("They never called you a moron", 0), ("trash trash trash trash", 0), ("It is not true that they will kill you", 0), ("", 0), ("The loser shakes hands.", 0),
+]
+
+
+def test_clauses_not_words(spark):
+    """Isolated words, also repeated ones, score below 0.7; a count of listed words does much worse than the grammar."""
+    nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(i, t) for i, (t, _) in enumerate(SENTENCES)] + [(100, "idiot " * 5000), (101, "idiot.\n" * 5000), (102, None), (0, SENTENCES[0][0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in toxicity.score_toxicity(table, toxicity.fit_toxicity(table, nothing)).collect():
+        assert got.setdefault(r.doc_id, r.score) == r.score
+    bad = {*toxicity.INSULTS, *toxicity.THREATS}
+    counted = [any(w.strip(".,;!?").lower() in bad for w in t.split()) for t, _ in SENTENCES]
+    assert [(t, int(got[i] >= 0.7)) for i, (t, _) in enumerate(SENTENCES)] == SENTENCES
+    assert got[100] == got[101] < 0.7 and got[102] == got[17]
+    assert sum(c != y for c, (_, y) in zip(counted, SENTENCES, strict=True)) >= 8
+
+
+def test_learning_texts_are_bounded(spark):
+    rows = [(1, f"text {i}") for i in range(50)] + [(2, "a"), (2, "a"), (3, "b" * 70_000), (4, None), (None, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, 1) for i in range(1, 5)], "doc_id long, y int")
+    texts, y = common.learning_texts(table, chosen, "doc_id", "text", 10)
+    assert len(texts) == common.KEY_ROWS + 1 == len(y) and texts[-1] == "a"
+
+
+def quality_features(text):
+    """The features of a text as strings, kind by kind."""
+    w = brute.space_words(text)
+    out = [list(w), list(zip(w, w[1:], strict=False)), [("first", a[:2], b[:2]) for a, b in zip(w, w[1:], strict=False)], [("last", a[-2:], b[-2:]) for a, b in zip(w, w[1:], strict=False)]]
+    line = re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+    for n in (2, 3, 4):
+        out.append([line[k : k + n] for k in range(len(line) - n + 1) if " " not in line[k + 1 : k + n - 1]])
+    return out
+
+
+def test_quality_features_by_brute_force():
+    texts = [*TEXTS[:12], *TEXTS[14:], "日本 語 \t\t é e\u0301 x", " a ", "ab", "x y", "ab ab ab\nab"]
+    raw, offsets = common_buffer(texts)
+    groups = quality.features(raw, offsets)
+    assert len(groups) == 7
+    bucket = {}
+    for kind, (f, begin, end) in enumerate(sorted(groups, key=lambda g: 0)):
+        for i, text in enumerate(texts):
+            want = quality_features(text)[kind]
+            own = f[begin[i] : end[i]].tolist()
+            assert len(own) == len(want), (kind, text)
+            for name, b in zip(want, own, strict=True):
+                assert bucket.setdefault((kind, name), b) == b
+    assert len(set(bucket.values())) > 0.95 * len(bucket)
+
+
+def test_quality_scores_by_brute_force(spark):
+    texts = [None, "", "one two", "two one two", words(5, 40), "é " * 30]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.train([t or "" for t in texts], np.array([0, 1, 0, 1, 0, 1]))
+    got = {r.doc_id: r.score for r in quality.score_quality(table, model).collect()}
+    for i, text in enumerate(texts):
+        groups = [model["weights"][f[b[0] : e[0]]].astype(float) for f, b, e in quality.features(*common_buffer([text]))]
+        means = [g.mean() for g in groups if len(g)]
+        want = 1 / (1 + np.exp(-(np.mean(means) + model["bias"]))) if means else model["prior"]
+        assert abs(got[i] - want) < 1e-6
 
 
 def test_quality(spark, odd, none):
