@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, partitions
@@ -19,10 +19,11 @@ SHINGLE = 5
 PERCENT = 85
 #: Coordinates of a sketch.
 T = 125
-#: A bucket of more documents than this is linked to its smallest instead of being compared in its task.
-BUCKET = 2000
-#: Documents of one cell of exact verification; larger groups are verified in pairs of such blocks.
-CELL = 1500
+#: Classes of a bucket whose sketches are compared in one task; larger buckets are compared in pairs of such blocks.
+BUCKET = 1000
+#: Classes, and shingles of them together, in one block of exact verification; larger groups are verified in pairs of blocks.
+CELL = 256
+CELL_SHINGLES = 1 << 21
 _VALUES = byte_values(71, lower=True)
 _ODD = np.random.default_rng(73).integers(0, 2**63, 2 * T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(79).integers(0, 2**63, 2 * T, dtype=np.uint64)
@@ -95,7 +96,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], band: int) -> Iterator[pa.Recor
             size, prints, sketches, keys = [], [], [], []
             for x in shingle_sets(*text_buffer(part.column(1))):
                 size.append(len(x))
-                prints.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                prints.append(_print(x.tobytes()))
                 s = sketch(x) if len(x) else None
                 sketches.append(None if s is None else (mix(s) & np.uint64(255)).astype(np.uint8).tobytes())
                 keys.append(None if s is None else band_keys(s, band))
@@ -154,7 +155,7 @@ def _edges(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordB
         b.clear()
         return out
 
-    for group in _groups(batches, "key"):
+    for group in _groups(batches, "key", "i", "j"):
         docs = group.column("rep").to_numpy()
         if len(docs) < 2:
             continue
@@ -168,6 +169,13 @@ def _edges(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordB
     yield flush()
 
 
+def _blocks(rows: DataFrame, key: str, cells: str, node: str) -> DataFrame:
+    """rows with i and j: a row for every pair of blocks that its own block is in; hashes of node deal the blocks."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(node), F.col(cells)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(cells) - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other")
+
+
 def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, by products of 0/1 blocks of shared elements."""
     n = len(sets)
@@ -192,18 +200,65 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
+def _print(shingles: bytes) -> bytes | None:
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1000):
+            part = batch.slice(low, 1000)
+            sets = [x.tobytes() for x in shingle_sets(*text_buffer(part.column(1)))]
+            yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["print", "shingles"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Exact links within a cell, as (document, smallest document that it reaches in the cell)."""
-    for group in _groups(batches, "component", "i", "j"):
-        order = np.argsort(group.column("doc").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
-        docs = group.column("doc").to_numpy()
-        sets = list(shingle_sets(*text_buffer(group.column("text"))))
+    """Exact links within a cell (between its two blocks, if they differ), as (document, smallest document that it reaches)."""
+    for group in _groups(batches, "component", "c", "i", "d", "j"):
+        group = group.take(pa.array(np.argsort(group.column("node").to_numpy(), kind="stable")))
+        docs, side = group.column("node").to_numpy(), group.column("side").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         both = intersections(sets)
         size = np.array([len(s) for s in sets])
         linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        if side.any():
+            linked &= side[:, None] != side[None, :]
         label = link(len(docs), lambda i, others: linked[i, others])  # noqa: B023
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(docs[label], pa.int64()), pa.array([group.column("cells")[0].as_py() == 1] * len(docs))], names=["a", "b", "final"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(docs[label], pa.int64()), group.column("whole").combine_chunks()], names=["a", "b", "final"])
+
+
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """members (component, node, n) placed in the cells whose pairs may be linked: (component, node, c, i, d, j, side, whole).
+
+    A group that fits one block is one cell. A larger one is cut into classes of about equal set sizes, such
+    that linked sets are of the same class or of neighbouring ones, and each class into blocks by a hash; every
+    pair of blocks of the same or of neighbouring classes is a cell.
+    """
+    measures = F.count("*").alias("members"), F.sum("n").alias("shingles")
+    whole = members.groupBy("component").agg(*measures)
+    whole = whole.select("component", ((F.col("members") <= CELL) & (F.col("shingles") <= CELL_SHINGLES)).alias("whole"))
+    step = math.log(100 / min(percent, 99)) if percent > 0 else 0.0
+    level = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9) if step else F.lit(0)
+    sized = members.join(whole, "component").withColumn("level", F.when(F.col("whole"), 0).otherwise(level).cast("long"))
+    parts = sized.groupBy("component", "level").agg(*measures)
+    blocks = F.ceil(F.greatest(F.col("members") / CELL, F.col("shingles") / CELL_SHINGLES, F.lit(1.0)))
+    parts = parts.select("component", "level", blocks.cast("long").alias("cells"))
+    above = parts.select("component", (F.col("level") - 1).alias("level"), F.col("cells").alias("cells_above"))
+    below = parts.select("component", (F.col("level") + 1).alias("level"), F.col("cells").alias("cells_below"))
+    dealt = sized.join(parts.join(above, ["component", "level"], "left").join(below, ["component", "level"], "left"), ["component", "level"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")))
+
+    def numbers(c):
+        return F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
+
+    def cell(c, i, d, j, side):
+        return F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), side.cast("int").alias("side"))
+
+    c, b = F.col("level"), F.col("block")
+    same = F.transform(numbers("cells"), lambda k: cell(c, F.least(b, k), c, F.greatest(b, k), b > k))
+    up = F.transform(numbers("cells_above"), lambda k: cell(c, b, c + 1, k, F.lit(0)))
+    down = F.transform(numbers("cells_below"), lambda k: cell(c - 1, k, c, b, F.lit(1)))
+    return dealt.select("component", "node", "whole", F.explode(F.concat(same, up, down)).alias("cell")).select("component", "node", "whole", "cell.*")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -215,49 +270,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     (1) Sets are sketched; equal sets become one class with its smallest key. (2) Classes that share a band
     of their sketches meet in a bucket, where those whose sketches agree in enough coordinates are joined to
     candidate groups; a bucket gives a spanning forest, so no pairs are listed. Every link lies within a
-    candidate group, but for the chance above. (3) The texts of a group come together once and all their
-    pairs are decided on the full sets; a group of more than CELL classes is dealt into blocks, and each pair
-    of blocks is a task of its own. (4) Components of the exact links. Copies are never listed in pairs.
+    candidate group, but for the chance above; a hot bucket is compared in pairs of blocks. (3) The sets of a
+    group, 8 bytes a shingle, come together once and all their pairs are decided; a group that is too large
+    for a block is cut by set size and into blocks, and each pair of blocks that can hold links is a cell of its
+    own, see _cells. (4) Components of the exact links. Copies are never listed in pairs.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows are equal sets; rows that
-    repeat a key give one row each. Keys are integers; a null key gives a row with no component. An empty
-    table gives no rows; other columns are ignored.
+    repeat a key give one row each, and texts that differ under one key are judged each by itself. Very long texts are read whole. Keys are integers; a null key gives a row
+    with no component. An empty table gives no rows; other columns, of whatever names, are ignored.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     band, agree = band_rows(percent), agreement(percent)
     sketched = checkpoint(docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(lambda b: _sketches(b, band), "doc long, n_shingles long, print binary, sketch binary, keys array<long>"))
-    classes = sketched.filter("print is not null and doc is not null").groupBy("print").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    classes = checkpoint(classes)
-    in_bucket = Window.partitionBy("key")
-    banded = (
-        classes.select("rep", F.explode("keys").alias("key"))
-        .withColumns({"size": F.count("*").over(in_bucket), "least": F.min("rep").over(in_bucket)})
-        .filter("size > 1")
-    )
+    alike = sketched.filter("print is not null and doc is not null").groupBy("print")
+    classes = alike.agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    # numbers of their own, as a key that stands on several texts may be the smallest of several classes
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    banded = classes.select("node", F.explode("keys").alias("key"))
+    crowds = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = _blocks(banded.join(crowds.select("key", F.ceil(F.col("size") / BUCKET).alias("cells")), "key"), "key", "cells", "node")
     met = (
-        banded.filter(F.col("size") <= BUCKET).select("key", "rep")
-        .join(classes.select("rep", "sketch"), "rep")
-        .repartition(n, "key").sortWithinPartitions("key", "rep")
+        met.select("key", "i", "j", "node").join(classes.select("node", F.col("node").alias("rep"), "sketch"), "node").drop("node")
+        .repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
         .mapInArrow(lambda b: _edges(b, agree), "a long, b long")
     )
-    crowded = banded.filter((F.col("size") > BUCKET) & (F.col("rep") > F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    groups = connected_components(met.unionByName(crowded))
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    members = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-    placed = members.select("component", "cells", "node", "block", other.alias("other"))
-    placed = placed.select("component", "cells", F.col("node").alias("doc"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # of rows that repeat a key, the one whose set is the class's counts; classes hold the smallest
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    groups = connected_components(met)
+    members = checkpoint(groups.join(classes.select("node", "n", "print", "rep"), "node"))
+    placed = _cells(members.select("component", "node", "n"), percent).join(members.select("node", "print"), "node")
+    # the texts of one key of each class in a group are read again, and one set of each class goes to its cells
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("text is not null")
+    texts = texts.join(members.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    sets = texts.mapInArrow(_sets, "print binary, shingles binary").filter("print is not null").groupBy("print").agg(F.first("shingles").alias("shingles"))
     checked = (
-        texts.join(placed, "doc").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc")
+        sets.join(placed, "print").select("component", "c", "i", "d", "j", "node", "side", "whole", "shingles")
+        .repartition(n, "component", "c", "i", "d", "j").sortWithinPartitions("component", "c", "i", "d", "j", "node")
         .mapInArrow(lambda b: _verify(b, percent), "a long, b long, final boolean")
     )
     checked = checkpoint(checked)
-    done = checked.filter("final").groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rep"), F.col("b").alias("component_id"))
-    wide = connected_components(checked.filter("not final").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    found = classes.select("print", "rep").join(done.unionByName(wide), "rep", "left")
+    done = checked.filter("final").groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    wide = connected_components(checked.filter("not final").select("a", "b"))
+    linked = members.select("node", "print", "rep").join(done.unionByName(wide), "node").withColumn("component", F.coalesce("component", "node"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = classes.select("print", "rep").join(linked.join(least, "component").select("print", "component_id"), "print", "left")
     return (
         sketched.select("doc", "n_shingles", "print").join(found, "print", "left")
         .withColumn("component_id", F.coalesce("component_id", "rep", "doc"))
