@@ -24,7 +24,7 @@ ROUNDS = 4
 #: Pairs so little below the threshold are edges too; links are decided when they are counted.
 SLACK = 1e-9
 #: Vectors of one cell of exact counting; larger components are counted in pairs of such blocks.
-CELL = 1024
+CELL = 256
 #: Linked vectors whose links the audit counts by brute force, and the share of them that must have been found.
 AUDIT = 256
 RECALL = 0.98
@@ -101,9 +101,9 @@ def _compare(k: int, by: str | None, cosine: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sorted_runs():
             if by:
-                for group in _groups(batches, by):
-                    for low in range(0, group.num_rows, RUN):
-                        yield group.slice(low, RUN)
+                for group in _groups(batches, by, "part"):
+                    for low in range(0, group.num_rows, 2 * RUN):
+                        yield group.slice(low, 2 * RUN)
             else:
                 for batch in batches:
                     for low in range(0, batch.num_rows, RUN):
@@ -145,7 +145,7 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
     The first lists come from runs of neighbours in random orders (by signs of random projections). A round
     brings every vector's neighbours and reverse neighbours (and those of `inside`) together and compares
     them with each other, but not those of one group; a pair goes on only if it beats the last of a list.
-    Centres with many reverse neighbours are compared in runs of RUN. Edges link all pairs that any run had
+    Centres with many reverse neighbours are compared in parts of about RUN, dealt anew every round. Edges link all pairs that any run had
     at the threshold, also those that no list has room for. Rounds end when fewer than 1 in 1000 list
     places change, whatever share of the vectors has edges.
     """
@@ -156,12 +156,15 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
     spread = vectors.select("rep", "unit", "group").mapInArrow(lambda b: _hashed(b, tables, seed), "rep long, unit binary, group long, code long, along double")
     spread = spread.withColumn("code", code).repartitionByRange(n, "code", "along").sortWithinPartitions("code", "along")
     lists, edges = _lists(spread.mapInArrow(_compare(k, None, cosine), "a long, b long, cos double"), k, cosine)
-    for _ in range(rounds):
+    for again in range(rounds):
         ways = lists.select("a", "b") if inside is None else lists.select("a", "b").unionByName(inside)
         members = ways.select(F.col("a").alias("centre"), F.col("b").alias("rep")).unionByName(ways.select(F.col("b").alias("centre"), F.col("a").alias("rep"))).distinct()
         bars = lists.groupBy("a").agg(F.max("bar").alias("bar")).withColumnRenamed("a", "rep")
         own = vectors.join(bars, "rep", "left").withColumn("bar", F.coalesce("bar", F.lit(-1.0)))
-        met = members.join(own, "rep").repartition(n, "centre").sortWithinPartitions("centre", "rep")
+        # a centre of many members is dealt into parts of about RUN before its members' vectors come to it
+        parts = members.groupBy("centre").agg(F.ceil(F.count("*") / RUN).alias("parts"))
+        members = members.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(again)), F.col("parts"))).drop("parts")
+        met = members.join(own, "rep").repartition(n, "centre", "part").sortWithinPartitions("centre", "part", "rep")
         better = met.mapInArrow(_compare(k, "centre", cosine), "a long, b long, cos double")
         after, more = _lists(better.unionByName(lists.select("a", "b", "cos")), k, cosine)
         changed = after.join(lists, ["a", "b"], "left_anti").count()
