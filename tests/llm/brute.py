@@ -18,6 +18,14 @@ def bench_words(text: str | None) -> list[str]:
 
 
 def contamination(docs: list[tuple], items: list[tuple]) -> dict:
+    out = {}
+    for doc, (w, hit, found) in benchmark_hits(docs, items).items():
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+def benchmark_hits(docs: list[tuple], items: list[tuple]) -> dict:
+    """Of each document its words, the places of those that lie in a window, and the items found."""
     windows: dict[tuple, set] = defaultdict(set)
     for item, text in items:
         w = bench_words(text)
@@ -34,7 +42,7 @@ def contamination(docs: list[tuple], items: list[tuple]) -> dict:
                 if own:
                     found |= own
                     hit.update(range(k, k + n))
-        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+        out[doc] = (w, hit, found)
     return out
 
 
@@ -92,7 +100,7 @@ def components(nodes, links) -> dict:
     return {n: root(n) for n in nodes}
 
 
-def near_duplicates(docs: list[tuple]) -> dict:
+def near_duplicates(docs: list[tuple], percent: int = 85) -> dict:
     sets = {d: shingles(t) for d, t in docs}
     holders = defaultdict(list)
     for d, s in sets.items():
@@ -103,6 +111,6 @@ def near_duplicates(docs: list[tuple]) -> dict:
         for i, a in enumerate(own):
             for b in own[:i]:
                 shared[a, b] += 1
-    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = components(sets, links)
     return {d: (len(s), comp[d], comp[d] == d) for d, s in sets.items()}

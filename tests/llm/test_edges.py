@@ -86,6 +86,50 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert got == brute.near_duplicates(rows)
 
 
+def test_cells_bring_every_linkable_pair_together_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 7)
+    rng = random.Random(5)
+    size = {i: rng.randrange(20, 300) for i in range(150)}
+    rows = [(1, i, n) for i, n in size.items()] + [(2, 1000 + i, 10 * i + 1) for i in range(5)]
+    cells = {}
+    for r in minhash._cells(spark.createDataFrame(rows, "component long, node long, n long"), 85).collect():
+        cells.setdefault((r.component, r.c, r.i, r.d, r.j), []).append((r.node, r.side, r.whole))
+    met = {}
+    for key, own in cells.items():
+        both = any(side for _, side, _ in own)
+        for k, (a, x, _) in enumerate(own):
+            for b, y, _ in own[:k]:
+                if not both or x != y:
+                    met[frozenset((a, b))] = met.get(frozenset((a, b)), 0) + 1
+        assert len(own) <= 60 and len({w for _, _, w in own}) == 1 and own[0][2] == (key[0] == 2)
+    assert set(met.values()) == {1}
+    for a in size:
+        for b in size:
+            if a < b and 100 * min(size[a], size[b]) >= 85 * max(size[a], size[b]):
+                assert frozenset((a, b)) in met
+    assert len(met) < 150 * 149 / 2  # pairs of too different sizes never meet
+
+
+def test_near_duplicates_of_all_sizes_in_one_group(spark, monkeypatch):
+    """A chain of ever longer texts: neighbours are linked, far ones are not, and the group spans many cells."""
+    monkeypatch.setattr(minhash, "CELL", 12)
+    monkeypatch.setattr(minhash, "BUCKET", 25)
+    long = words(10, 900).split()
+    rows = [(i, " ".join(long[: 60 + 5 * i])) for i in range(150)]
+    rows += [(500 + i, " ".join([*long[: 60 + 5 * i], "end"])) for i in range(150)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
+def test_near_duplicates_take_repeated_keys_and_clashing_names(spark):
+    names = "doc_id long, text string, n long, node long, component long, print string, rep long, doc long"
+    other = words(12, 80)
+    rows = [(i, t, 1, 2, 3, "p", 4, 5) for i, t in [(5, NEAR), (5, other), (5, NEAR), (6, NEAR + " x"), (7, other + " y"), (None, NEAR), (8, None), (8, None)]]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, bool(r.kept)) for r in minhash.near_duplicates(spark.createDataFrame(rows, names)).collect())
+    n, m = len(brute.shingles(NEAR)), len(brute.shingles(other))
+    assert got == sorted([(5, n, 5, True), (5, n, 5, True), (5, m, 5, True), (6, n + 1, 5, False), (7, m + 1, 5, False), (-1, n, 5, False), (8, 0, 8, True), (8, 0, 8, True)])
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 500):

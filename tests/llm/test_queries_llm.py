@@ -1,5 +1,6 @@
 """The numbered queries over whole small tables against brute force."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -114,27 +115,93 @@ def test_minhash(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows(spark, "op9_minhash_dedup")} == brute.near_duplicates(docs)
 
 
-def test_pipeline_equals_its_stages_by_brute_force(spark, docs):
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor wrote, against brute force on the same rows; then the whole run."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
-    frame = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in p.STAGES] == ["language_id", "minhash_dedup", "substring_dedup", "decontamination", "best_fit_packing"]
-    first = p.language_id(spark, frame, SF)
-    assert {r.doc_id for r in first.collect()} == {d for d, t in docs if any(c.isalpha() for c in t)}
-    second = p.minhash_dedup(spark, frame, SF)
-    kept = {d for d, (_, _, k) in brute.near_duplicates(docs).items() if k}
-    assert {r.doc_id for r in second.collect()} == kept
-    third = {r.doc_id: r for r in p.substring_dedup(spark, frame, SF).collect()}
-    cut = brute.repeats(docs)
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in p.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        out.append(docs.collect())
+    zeroth = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    first, second, third, fourth = ({r.doc_id: r for r in rows} for rows in out[:4])
+    for rows, own in zip(out[:4], (first, second, third, fourth), strict=True):
+        assert len(rows) == len(own) and all(tuple(r.asDict()) == tuple(p.COLUMNS) for r in rows)
+    texts = lambda rows: [(d, r.text) for d, r in rows.items()]
+    assert set(first) == {d for d, r in zeroth.items() if any(c.isalpha() for c in r.text or "")}
+    assert all(r.text == zeroth[d].text and r.lang == (zeroth[d].lang or r.lang) for d, r in first.items())
+    near = brute.near_duplicates(texts(first), percent=80)
+    assert set(second) == {d for d, (_, _, kept) in near.items() if kept} and all(second[d] == first[d] for d in second)
+    assert len(second) < len(first)
+    cut = brute.repeats(texts(second))
     assert set(third) == {d for d, (n, gone, _) in cut.items() if not n or gone < n}
-    texts = dict(docs)
     for d, r in third.items():
-        assert r.text == texts[d] if not cut[d][1] else len(r.text.encode().split()) == cut[d][0] - cut[d][1]
+        n, gone, digest = cut[d]
+        if gone:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == digest and r.n_chars == len(r.text)
+        else:
+            assert r == second[d]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    hit = brute.contamination(docs, items)
-    fourth = {r.doc_id: r for r in p.decontamination(spark, frame, SF).collect()}
+    hits = brute.benchmark_hits(texts(third), items)
+    assert set(fourth) == {d for d, (w, hit, _) in hits.items() if not w or len(hit) < len(w)}
+    for d, r in fourth.items():
+        w, hit, _ = hits[d]
+        if hit:
+            assert brute.bench_words(r.text) == [x for k, x in enumerate(w) if k not in hit] and r.n_chars == len(r.text)
+        else:
+            assert r == third[d]
+    assert any(hit for _, hit, _ in hits.values())
+    tokenizer = Tokenizer.from_file(q.tokenizer_path())
+    expected = []
     for d, r in fourth.items():
-        assert r.text == texts[d] if not hit[d][1] else len(brute.bench_words(r.text)) == hit[d][0] - hit[d][1]
-    assert all(tuple(r.asDict()) == tuple(p.COLUMNS) for r in fourth.values())
-    whole = p.run(spark, SF)
-    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(whole.columns) and whole.count() > 0
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        expected += [(d, k, 2048 * k, len(ids[2048 * k :][:2048]), zlib.crc32(ids[2048 * k :][:2048].tobytes())) for k in range(-(-len(ids) // 2048))]
+    cells = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert cells(out[4]) == sorted(expected)
+    whole = p.run(spark, SF).collect()
+    assert cells(whole) == sorted(expected)
+    sequences = defaultdict(list)
+    for r in whole:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+ODD = [
+    (1, "wort " * 30, "xx"), (1, "wort " * 30, "xx"), (1, "anderes " * 3 + "wort", None), (None, "ohne nummer " * 20, None), (None, None, None), (2, None, "xx"), (3, "", None), (4, "12 34 ...", "xx"),
+    (5, " ".join(f"lang{i}" for i in range(3000)), "xx"), (6, "vor " + " ".join(f"lang{i}" for i in range(60)) + " nach", None),
+]
+
+
+@pytest.mark.parametrize("lang", ["xx", None])
+def test_pipeline_stages_on_odd_rows(spark, lang):
+    """Null and repeated ids, null texts, repeated rows and clashing columns pass every stage; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, n_words long, lang_pred string"
+    rows = [(d, t, w and lang, "s", len(t or ""), 1, 0.5, 3, "yy") for d, t, w in ODD]
+    table = spark.createDataFrame(rows, names)
+    first = p.language_id(spark, table, SF)
+    lettered = sorted((d or 0, t) for d, t, _ in ODD if t and any(c.isalpha() for c in t))
+    assert sorted((r.doc_id or 0, r.text) for r in first.collect()) == lettered
+    second = p.minhash_dedup(spark, table, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in second) == sorted({(d or 0, t or "") for d, t, _ in ODD} | {(0, "")})
+    third = p.substring_dedup(spark, table, SF).collect()
+    assert len(third) == len(ODD) and {r.text for r in third if r.doc_id == 6} == {"vor nach"}
+    fourth = p.decontamination(spark, table, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in fourth) == sorted((d or 0, t or "") for d, t, _ in ODD)
+    fifth = p.packing(spark, table, SF).collect()
+    assert {(r.doc_id or 0, r.piece) for r in fifth} >= {(d or 0, 0) for d, _, _ in ODD} and sum(r.piece == 0 for r in fifth) == len(ODD)
+    none = table.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, SF).count() == 0
+
+
