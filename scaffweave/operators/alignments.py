@@ -34,6 +34,11 @@ def join_mates(alignments: DataFrame, compat: bool = True, key: str = "qname") -
     return both.filter("records = 2").drop("records", "last_ord")
 
 
+def mate_columns(alignments: DataFrame) -> DataFrame:
+    """What good_pairs looks at, so that no sequences, qualities and tags are shuffled: of seq its first letter."""
+    return alignments.select("file", "ord", "qname", "flag", "mapq", "identity", "rname", "pos", "barcode", F.substring("seq", 1, 1).alias("seq"))
+
+
 def good_pairs(mates: DataFrame, seq_id: int) -> DataFrame:
     """(barcode, contig, mid_pos) of pairs in which both mates are proper, unique, similar enough and on
     the same contig; the barcode is the second mate's."""

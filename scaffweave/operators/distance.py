@@ -92,7 +92,9 @@ def nearest_points(stats: DataFrame, curve: DataFrame, k: int, keys: list[str] |
     keys = keys or ["u", "v", "orientation"]
     rows = stats.filter("barcodes_union > 0").withColumn("own", F.col("barcodes_intersect") / F.col("barcodes_union"))
     ranked = number_rows(curve.select("jaccard", "distance"), ["jaccard"], "rank").withColumn("range", F.floor(F.col("rank") / k).cast("long"))
-    placed = _place_on_curve(rows, ranked, keys)
+    # many rows have the same score (0 where no barcode is shared): each score is looked up once
+    scores = rows.select("own").distinct()
+    placed = rows.select(*keys, "own").join(_place_on_curve(scores, ranked, []), "own")
     near = placed.withColumn("range", F.explode(F.sequence(F.col("range") - 1, F.col("range") + 1)))
     met = near.join(ranked.drop("rank"), "range")
     nearest = Window.partitionBy(*keys).orderBy(F.abs(F.col("jaccard") - F.col("own")), F.asc("jaccard") if k == 1 else F.desc("jaccard"))

@@ -4,56 +4,131 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.sequence import canonical_kmer, is_valid_read, kmer_fraction, kmers
 from ..functions.tags import bx_from_comment, strip_read_num
 
-_FLIP = str.maketrans("ACGT", "TGCA")
-
-
-#: Letters of one block that windows are cut from.
-BLOCK = 256
+#: Letters of one block that windows are cut from, and of those that are packed at once.
+BLOCK = 1 << 14
+AT_ONCE = 1 << 19
+#: The longest k-mer that fits a long at two bits a letter.
+PACKED = 31
+_CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate(b"ACGT"):
+    _CODE[[_c, _c + 32]] = _i
 
 
 def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool = False) -> DataFrame:
     """(keep..., kmer): a row for each window of length k; kmer is canonical, null if it holds other than ACGT.
 
-    A substring of a long text is looked for from its front, so sequences are first cut into overlapping
-    blocks, and windows from those. jump: after a window that holds another letter the next one begins k
-    further; as each window then depends on the one before, that is read in Arrow batches.
+    Up to PACKED letters a k-mer is a long of two bits a letter, in the order of the letters; longer ones are
+    strings. Sequences are cut into overlapping blocks, which are dealt evenly, as they are far smaller than their
+    windows. jump: after a window that holds another letter the next one begins k further; as each window then
+    depends on the ones before, a sequence stays whole.
+    """
+    rows = frame.select(F.col(seq).alias("__seq"), *keep).filter(F.length("__seq") >= k)
+    if not jump:
+        starts = F.sequence(F.lit(1), F.length("__seq") - k + 1, F.lit(BLOCK))
+        parts = F.explode(F.transform(starts, lambda i: F.substring("__seq", i, F.lit(BLOCK + k - 1)))).alias("__seq")
+        rows = rows.select(parts, *keep).repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if k > PACKED:
+            return rows.select(*keep, F.explode(kmers(F.col("__seq"), k)).alias("__kmer")).select(*keep, canonical_kmer(F.col("__kmer")).alias("kmer"))
+    if k > PACKED:
+        return _long_jumps(rows, k, keep)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(i + 1) for i in range(len(keep))]
+            for row, kmer, valid in _packed(batch.column(0), k, jump):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in own), pa.array(kmer, mask=~valid)], names=[*keep, "kmer"])
+
+    return rows.mapInArrow(cut, _shape(frame, keep, LongType()))
+
+
+def _shape(frame: DataFrame, keep: list[str], kind) -> StructType:
+    return StructType([*(StructField(f.name, f.dataType, True) for f in frame.select(*keep).schema), StructField("kmer", kind, True)])
+
+
+def _packed(column, k: int, jump: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, kmer, valid) of the windows of the texts, AT_ONCE letters at a time."""
+    for i, text in enumerate(column):
+        raw = np.frombuffer(text.as_py().encode("latin-1", "replace"), np.uint8)
+        free = 0  # the first window that may begin
+        for low in range(0, len(raw) - k + 1, AT_ONCE):
+            code = _CODE[raw[low : low + AT_ONCE + k - 1]]
+            kmer, valid = pack(code, k)
+            use = np.ones(len(kmer), bool)
+            if jump:
+                free = low + _skip(use, valid, k, max(0, free - low))
+            yield np.full(int(use.sum()), i), kmer[use], valid[use]
+
+
+def pack(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical k-mers of letter codes as longs, and which windows hold no other letter.
+
+    A window of n letters is two of its halves, so windows grow by doubling, and k takes the powers of two in it.
     """
-    if jump:
-        return _jumping_rows(frame, seq, k, keep)
-    rows = frame.select(*keep, F.col(seq).alias("__seq")).filter(F.length("__seq") >= k)
-    starts = F.sequence(F.lit(1), F.length("__seq") - k + 1, F.lit(BLOCK))
-    parts = rows.select(*keep, F.explode(F.transform(starts, lambda i: F.substring("__seq", i, F.lit(BLOCK + k - 1)))).alias("__part"))
-    # blocks are far smaller than their windows, so they are dealt evenly before they are blown up
-    parts = parts.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return parts.select(*keep, F.explode(kmers(F.col("__part"), k)).alias("__kmer")).select(*keep, canonical_kmer(F.col("__kmer")).alias("kmer"))
-
-
-def _jumping_rows(frame: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
-    shape = frame.select(*keep).withColumn("kmer", F.lit("").cast("string")).schema
-    for field in shape:
-        field.nullable = True
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for row in part.itertuples(index=False):
-                text = (row[0] or "").upper()
-                out, i = [], 0
-                while i + k <= len(text):
-                    w = text[i : i + k]
-                    valid = w.strip("ACGT") == ""
-                    out.append(min(w, w.translate(_FLIP)[::-1]) if valid else None)
-                    i += 1 if valid else k
-                if out:
-                    yield pd.DataFrame({**{c: [row[j + 1]] * len(out) for j, c in enumerate(keep)}, "kmer": out})
-
-    return frame.select(F.col(seq).alias("__seq"), *keep).mapInPandas(cut, shape)
+    other = np.concatenate([[0], np.cumsum(code > 3)])
+    n = len(code) - k + 1
+    base = (code & 3).astype(np.int64)
+    step = {1: (base, 3 - base)}
+    size = 1
+    while 2 * size <= k:
+        f, r = step[size]
+        shift = 2 * size
+        step[2 * size] = (f[:-size] << shift | f[size:], r[size:] << shift | r[:-size])
+        size *= 2
+    forward, back, done = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for size in sorted(step, reverse=True):
+        if k & size:
+            f, r = (x[done : done + n] for x in step[size])
+            forward = forward << (2 * size) | f
+            back = back | r << (2 * done)
+            done += size
+    return np.minimum(forward, back), other[k:] == other[:n]
+
+
+def _skip(use: np.ndarray, valid: np.ndarray, k: int, free: int) -> int:
+    """Strikes out the windows that a reader does not see that goes on k further after a bad window; where it is then."""
+    use[:free] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], valid, [True]]).astype(np.int8)))
+    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if end > free:
+            first = max(first, free)
+            free = first - (first - end) // k * k
+            use[first : min(free, len(use))] = False
+            use[first:end:k] = True
+    return free
+
+
+def _long_jumps(rows: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """Windows too long to be packed: only where they begin is worked out in numpy, letters are cut in the JVM."""
+    shape = _shape(rows, ["__seq", *keep], LongType())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(0)):
+                code = _CODE[np.frombuffer(text.as_py().encode("latin-1", "replace"), np.uint8)]
+                other = np.concatenate([[0], np.cumsum(code > 3)])
+                valid = other[k:] == other[:-k]
+                use = np.ones(len(valid), bool)
+                _skip(use, valid, k, 0)
+                starts = np.flatnonzero(use)
+                for low in range(0, len(starts), BLOCK):
+                    part = starts[low : low + BLOCK]
+                    first, last = int(part[0]), int(part[-1]) + k
+                    texts = pa.array([text.as_py()[first:last]]).take(pa.array(np.zeros(len(part), np.int64)))
+                    own = [c.take(pa.array(np.full(len(part), i))) for c in batch.columns[1:]]
+                    yield pa.RecordBatch.from_arrays([texts, *own, pa.array(part - first + 1)], names=["__seq", *keep, "kmer"])
+
+    found = rows.mapInArrow(cut, shape)
+    return found.select(*keep, canonical_kmer(F.substring("__seq", F.col("kmer").cast("int"), F.lit(k))).alias("kmer"))
 
 
 def kmer_index(windows: DataFrame) -> DataFrame:

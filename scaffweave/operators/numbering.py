@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """Checkpointed in the cluster's shared folder (a temporary one only where none is set)."""
+    """Checkpointed in the cluster's shared folder; where none is set, in the warehouse, which its tasks share too."""
     spark = frame.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint()
 
 

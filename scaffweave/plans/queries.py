@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting, sequence, stats, tags
 from ..operators import alignments as al
-from ..operators import bloom
 from ..operators import checkpoint as ck
 from ..operators import contigs as ct
 from ..operators import distance as ds
@@ -354,7 +353,7 @@ def join_mate(spark, sf):
 
 @_query("select barcode, r2 contig, (p1 + p2) // 2 mid_pos from mates where f1 in (99, 147) and f2 in (99, 147) and m1 <> 0 and m2 <> 0 and s1 >= 90 and s2 >= 90 and r1 = r2")
 def flt_pair_quality(spark, sf):
-    return al.good_pairs(al.join_mates(al.with_barcodes(st.alignments(spark, sf))), 90)
+    return al.good_pairs(al.join_mates(al.mate_columns(al.with_barcodes(st.alignments(spark, sf)))), 90)
 
 
 @_query("select barcode, count(*) mult from pairs_raw group by all")
@@ -433,12 +432,9 @@ def fasta_index_offsets(spark, sf):
 
 @_query("select p_partkey, p_brand from part where p_brand in (select p_brand from part where p_size = 1)")
 def bloom_filter(spark, sf):
-    """Brands by a Bloom filter, and the filter's few false ones taken out by a join."""
+    """Brands that are listed. Spark puts a Bloom filter of its own before a join where that pays."""
     part = st.table(spark, sf, "part")
-    listed = part.filter("p_size = 1").select("p_brand").distinct()
-    bits = bloom.optimal_bits(1000, 0.01, 5)
-    kept = bloom.maybe_members(part, "p_brand", bloom.build(listed, "p_brand", bits, 5), bits, 5)
-    return kept.join(listed, "p_brand", "left_semi").select("p_partkey", "p_brand")
+    return part.join(part.filter("p_size = 1").select("p_brand").distinct(), "p_brand", "left_semi").select("p_partkey", "p_brand")
 
 
 @_query("select src_, dst_, round(sum(d / (e * e)) / sum(1 / (e * e))) d, round(sqrt(1 / sum(1 / (e * e))), 9) e, cast(sum(n) as bigint) n from est_rows group by all")
@@ -460,7 +456,7 @@ def _estimates(spark, sf, how):
 
 @_query("select barcode, contig, mid_pos <= 150 is_head, count(*) n from (select barcode, r2 contig, (p1 + p2) // 2 mid_pos from mates where f1 in (99, 147) and f2 in (99, 147) and m1 <> 0 and m2 <> 0 and s1 >= 90 and s2 >= 90 and r1 = r2) where mid_pos <= 150 or mid_pos > 250 group by all")
 def agg_imap_sam(spark, sf):
-    pairs = al.good_pairs(al.join_mates(al.with_barcodes(st.alignments(spark, sf))), 90)
+    pairs = al.good_pairs(al.join_mates(al.mate_columns(al.with_barcodes(st.alignments(spark, sf)))), 90)
     lengths = spark.createDataFrame([(f"c{i}", 400) for i in range(3)], "contig string, length int")
     return al.alignment_end_counts(pairs, lengths, 100, 150)
 
@@ -608,18 +604,18 @@ def kmer_fraction(spark, sf):
     return counts.select("doc_id", F.round(sequence.kmer_fraction(F.col("found"), F.col("total")), 9).alias("fraction"))
 
 
-@_query("select u, v, jaccard, distance from (select u, v, round(jaccard, 9) jaccard, distance, row_number() over (partition by u, v order by abs(jaccard - own), jaccard) k from (select *, barcodes_intersect / barcodes_union own from stats where barcodes_union > 0 and orientation = 0) cross join curve) where k = 1")
+@_query("select u, v, orientation, jaccard, distance from (select u, v, orientation, round(jaccard, 9) jaccard, distance, row_number() over (partition by u, v, orientation order by abs(jaccard - own), jaccard) k from (select *, barcodes_intersect / barcodes_union own from stats where barcodes_union > 0) cross join curve) where k = 1")
 def topk_nearest(spark, sf):
-    rows = _stats(spark, sf).filter("orientation = 0")
-    return ds.nearest_points(rows, ds.jaccard_curve(_samples(spark, sf)), 1, ["u", "v"]).select("u", "v", F.round("jaccard", 9).alias("jaccard"), "distance")
+    near = ds.nearest_points(_stats(spark, sf), ds.jaccard_curve(_samples(spark, sf)), 1)
+    return near.select("u", "v", "orientation", F.round("jaccard", 9).alias("jaccard"), "distance")
 
 
-@_query("select '\"' || src || ss || '\" -> \"' || dst || sd || '\" [d=100 e=100.0 n=' || weight || ']' as value from (select u src, case when orientation < 2 then '-' else '+' end ss, v dst, case when orientation % 2 = 1 then '-' else '+' end sd, weight from edges union all select v, case when orientation % 2 = 1 then '+' else '-' end, u, case when orientation < 2 then '+' else '-' end, weight from edges)")
+@_query("select * from (values ('digraph distances {'), ('}')) t(value) union all select '\"' || contig || s || '\" [l=' || length || ']' from lens, (values ('+'), ('-')) t(s) union all select '\"' || src || ss || '\" -> \"' || dst || sd || '\" [d=100 e=100.0 n=' || weight || ']' as value from (select u src, case when orientation < 2 then '-' else '+' end ss, v dst, case when orientation % 2 = 1 then '-' else '+' end sd, weight from edges union all select v, case when orientation % 2 = 1 then '+' else '-' end, u, case when orientation < 2 then '+' else '-' end, weight from edges)")
 def sink_dist_gv(spark, sf):
-    lines = sinks.dist_gv_lines(gr.to_digraph(_edges(spark, sf)), st.lengths(spark, sf))
-    return lines.filter(F.col("value").contains(" -> "))
+    return sinks.dist_gv_lines(gr.to_digraph(_edges(spark, sf)), st.lengths(spark, sf))
 
 
-@_query("""select (a.k - 1) || '--' || (b.k - 1) || ' [label=' || orientation || ', weight=' || weight || '];' as value from edges join ids a on a.id = u join ids b on b.id = v""")
+@_query("""select * from (values ('graph G {'), ('}')) t(value) union all select (k - 1) || ' [id=' || id || '];' from ids
+    union all select (a.k - 1) || '--' || (b.k - 1) || ' [label=' || orientation || ', weight=' || weight || '];' from edges join ids a on a.id = u join ids b on b.id = v""")
 def sink_gv(spark, sf):
-    return sinks.gv_lines(_edges(spark, sf)).filter(F.col("value").contains("--"))
+    return sinks.gv_lines(_edges(spark, sf))

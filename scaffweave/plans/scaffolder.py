@@ -1,4 +1,4 @@
-"""A whole scaffolding run as one lazy plan."""
+"""A whole scaffolding run. Frames are lazy but for numbered rows, which are checkpointed when they are asked for."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ class Scaffolder:
         else:
             lengths = header.groupBy(F.col("contig_id").alias("contig")).agg(F.min("length").alias("length"))
         rows = al.with_barcodes(sq.read_alignments(spark, *inputs))
-        imap = al.alignment_end_counts(al.good_pairs(al.join_mates(rows), p.seq_id), lengths, p.min_size, p.end_length)
+        imap = al.alignment_end_counts(al.good_pairs(al.join_mates(al.mate_columns(rows)), p.seq_id), lengths, p.min_size, p.end_length)
         return self.from_counts(imap, al.alignment_multiplicity(rows), lengths)
 
     def _from_reads(self, spark: SparkSession, inputs: list[str]) -> ScaffoldResult:

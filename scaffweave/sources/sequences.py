@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.numbering import saved
+
 RECORD = "file string, ord bigint, name string, comment string, seq string, qual string"
 #: Names of files that hold alignments, and reads.
 ALIGNMENTS, READS = (".sam", ".bam"), (".fastq", ".fq", ".fastq.gz", ".fq.gz")
@@ -102,17 +104,18 @@ def read_records(spark: SparkSession, paths: list[str], separator: str | None =
     """(file, ord, line): lines, or other records, numbered from 0 in each file.
 
     Spark splits the files. Records are numbered within each split, and each split begins where the counts
-    of the file's earlier ones end.
+    of the file's earlier ones end. There is one small row a split (of 128 MB by default), so 100 TB have fewer than
+    a million, which are sent to every task.
     """
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
     rows = reader.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
     )
-    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
-    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("place")) - 1
-    return rows.withColumn("within", within).join(begins, ["file", "block"]).select("file", (F.col("begin") + F.col("within")).alias("ord"), "line")
+    begins = splits.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    # a split's places follow each other, so the shift of its split numbers a record; the text itself stays where it is
+    return rows.join(F.broadcast(begins), ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("ord"), "line")
 
 
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
@@ -201,6 +204,15 @@ def interleave(*frames: DataFrame) -> DataFrame:
 
 
 def fasta_index(contigs: DataFrame, line: int = 60) -> DataFrame:
-    """(contig_id, length, begin): where each contig begins if all are put end to end, in file order."""
-    by_file = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return contigs.select("file", "ord", "contig_id", "length", F.coalesce(F.sum("length").over(by_file), F.lit(0)).alias("begin"))
+    """(contig_id, length, begin): where each contig begins if all are put end to end, in file order.
+
+    Contigs are dealt by ranges of their place; the lengths of the ranges before begin a range, so no file meets in one task.
+    """
+    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(contigs.select("file", "ord", "contig_id", "length").repartitionByRange(n, "file", "ord").withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy("file", "__range").agg(F.sum("length").alias("__sum"))
+    earlier = Window.partitionBy("file").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select("file", "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__begin"))
+    within = F.sum("length").over(Window.partitionBy("file", "__range").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("__within", F.coalesce(within, F.lit(0))).join(begins, ["file", "__range"])
+    return placed.select("file", "ord", "contig_id", "length", (F.col("__begin") + F.col("__within")).alias("begin"))

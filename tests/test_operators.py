@@ -189,16 +189,6 @@ def test_distances_on_toy_counts(spark):
     assert ds.distance_samples(imap, lengths, 55, 5).count() == 1
 
 
-def test_streaming_counts(spark, tmp_path):
-    from scaffweave.streaming.barcodes import barcode_counts
-
-    spark.createDataFrame([("A",), ("A",), ("B",), ("",)], "barcode string").write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("barcode string").json(str(tmp_path / "in"))
-    query = barcode_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("counts").collect()} == {("A", 2), ("B", 1)}
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_kmer_counters_equal_brute_force(spark, seed):
     rng = random.Random(seed)
@@ -224,15 +214,71 @@ def test_kmer_counters_equal_brute_force(spark, seed):
     assert (got.n_recorded, got.n_collisions, got.n_unique, got.n_removed) == (len(held), total - len(held), sum(len(x) == 1 for x in held.values()), removed)
 
 
-def test_windowed_stream_drops_late_rows(spark, tmp_path):
-    from scaffweave.streaming.barcodes import windowed_counts
+def jumping(text, k):
+    out, i = [], 0
+    while i + k <= len(text):
+        w = text[i : i + k].upper()
+        good = set(w) <= set("ACGT")
+        out.append(min(w, w.translate(str.maketrans("ACGT", "TGCA"))[::-1]) if good else None)
+        i += 1 if good else k
+    return out
+
 
-    times = ["2024-01-01 00:10:00", "2024-01-01 00:20:00", "2024-01-01 05:00:00"]
-    spark.createDataFrame([("A", t) for t in times], "barcode string, t string").selectExpr("barcode", "timestamp(t) t").coalesce(1).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("barcode string, t timestamp").json(str(tmp_path / "in"))
-    query = windowed_counts(stream, "t").writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.awaitTermination(120)
-    assert [(r.barcode, r.mult) for r in spark.table("windows").collect()] == [("A", 2)]
+@pytest.mark.parametrize("k", [1, 5, 12, 31, 33])
+def test_kmer_rows_equal_brute_force(spark, monkeypatch, k):
+    """All windows and jumping ones, packed and as strings, over blocks, long breaks, small letters and other letters."""
+    monkeypatch.setattr(km, "BLOCK", 40)
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ACGTacgtN" if i % 2 else "ACGT") for _ in range(rng.randrange(0, 200))) for i in range(12)]
+    texts += ["A" * 50 + "N" * 70 + "CCGT" * 20, "N" * 90, "é" * 40 + "ACGT" * 30, "", None, "GATTACA " * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, seq string")
+
+    def shown(x):
+        return x if x is None or isinstance(x, str) else "".join("ACGT"[x >> 2 * i & 3] for i in reversed(range(k)))
+
+    for jump in (False, True):
+        got = {}
+        for r in km.kmer_rows(rows, "seq", k, ["id"], jump).collect():
+            got.setdefault(r.id, []).append(shown(r.kmer))
+        for i, text in enumerate(texts):
+            text = text or ""
+            want = jumping(text, k) if jump else [jumping(text[j : j + k], k)[0] for j in range(len(text) - k + 1)]
+            assert sorted(got.get(i, []), key=str) == sorted(want, key=str), (i, jump)
+
+
+def test_packing_over_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(km, "AT_ONCE", 37)
+    text = "ACGTNACCGTTNNNNNNNNNNNACGT" * 20
+    for jump in (False, True):
+        valid = [v for _, _, valid in km._packed(pa.array([text]), 7, jump) for v in valid.tolist()]
+        want = jumping(text, 7) if jump else [jumping(text[j : j + 7], 7)[0] for j in range(len(text) - 6)]
+        assert valid == [w is not None for w in want]
+
+
+def test_fasta_index_over_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [(f, i, f"c{i}", rng.randrange(1, 50)) for f in ("a", "b") for i in range(40)]
+    got = {(r.file, r.ord): r.begin for r in sq.fasta_index(spark.createDataFrame(rows, "file string, ord long, contig_id string, length int").repartition(7)).collect()}
+    for f in ("a", "b"):
+        at = 0
+        for _, i, _, n in [r for r in rows if r[0] == f]:
+            assert got[f, i] == at
+            at += n
+
+
+def test_records_keep_their_numbers_over_splits(spark, tmp_path):
+    """Lines of several files and many splits are numbered in order."""
+    for name, n in (("a.txt", 500), ("b.txt", 3), ("c.txt", 0)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = sq.read_records(spark, [str(tmp_path / f"{x}.txt") for x in "abc"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.line, r.ord) for r in got) == sorted((f"{n} {i}", i) for n, k in (("a.txt", 500), ("b.txt", 3)) for i in range(k))
 
 
 def test_scaffolder_refuses_what_it_cannot_read(spark):
