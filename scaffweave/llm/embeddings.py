@@ -130,12 +130,13 @@ def _compare(k: int, by: str | None, cosine: float):
 
 
 def _lists(pairs: DataFrame, k: int, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """The k best neighbours of each vector, and bar, the cosine of the last where the list is full; and all pairs at the threshold."""
+    """The k best neighbours of each vector of pairs (a, b, cos, old), with bar, the cosine of the last where the
+    list is full, and old, 1 if the pair came from the list before; and all pairs at the threshold."""
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     edge = F.col("cos") >= cosine - SLACK
-    ranked = pairs.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("place", F.row_number().over(best)).filter((F.col("place") <= k) | edge)
+    ranked = pairs.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("old").alias("old")).withColumn("place", F.row_number().over(best)).filter((F.col("place") <= k) | edge)
     bar = F.max(F.when(F.col("place") == k, F.col("cos"))).over(Window.partitionBy("a"))
-    seen = checkpoint(ranked.select("a", "b", "cos", F.coalesce(bar, F.lit(-1.0)).alias("bar"), "place"))
+    seen = checkpoint(ranked.select("a", "b", "cos", "old", F.coalesce(bar, F.lit(-1.0)).alias("bar"), "place"))
     return seen.filter(F.col("place") <= k).drop("place"), seen.filter(edge).select("a", "b")
 
 
@@ -155,7 +156,7 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
     code = F.shiftright("code", 16) * 65536 + F.col("code").bitwiseAND((1 << bits) - 1)
     spread = vectors.select("rep", "unit", "group").mapInArrow(lambda b: _hashed(b, tables, seed), "rep long, unit binary, group long, code long, along double")
     spread = spread.withColumn("code", code).repartitionByRange(n, "code", "along").sortWithinPartitions("code", "along")
-    lists, edges = _lists(spread.mapInArrow(_compare(k, None, cosine), "a long, b long, cos double"), k, cosine)
+    lists, edges = _lists(spread.mapInArrow(_compare(k, None, cosine), "a long, b long, cos double").withColumn("old", F.lit(0)), k, cosine)
     for again in range(rounds):
         ways = lists.select("a", "b") if inside is None else lists.select("a", "b").unionByName(inside)
         members = ways.select(F.col("a").alias("centre"), F.col("b").alias("rep")).unionByName(ways.select(F.col("b").alias("centre"), F.col("a").alias("rep"))).distinct()
@@ -165,10 +166,10 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
         parts = members.groupBy("centre").agg(F.ceil(F.count("*") / RUN).alias("parts"))
         members = members.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(again)), F.col("parts"))).drop("parts")
         met = members.join(own, "rep").repartition(n, "centre", "part").sortWithinPartitions("centre", "part", "rep")
-        better = met.mapInArrow(_compare(k, "centre", cosine), "a long, b long, cos double")
-        after, more = _lists(better.unionByName(lists.select("a", "b", "cos")), k, cosine)
-        changed = after.join(lists, ["a", "b"], "left_anti").count()
-        lists, edges = after, edges.unionByName(more)
+        better = met.mapInArrow(_compare(k, "centre", cosine), "a long, b long, cos double").withColumn("old", F.lit(0))
+        lists, more = _lists(better.unionByName(lists.select("a", "b", "cos", F.lit(1).alias("old"))), k, cosine)
+        changed = lists.filter("old = 0").count()
+        edges = edges.unionByName(more)
         if changed <= count * k / 1000:
             break
     return lists, edges
