@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import max_and_index, second_largest, significant
@@ -73,3 +73,12 @@ def merged_estimates(edges: DataFrame, keys: list[str]) -> DataFrame:
     w = 1 / (F.col("e") * F.col("e"))
     out = edges.groupBy(*keys).agg(F.sum(w * F.col("d")).alias("wd"), F.sum(w).alias("w"), F.sum("n").alias("n"))
     return out.select(*keys, F.round(F.col("wd") / F.col("w")).cast("int").alias("d"), F.sqrt(1 / F.col("w")).alias("e"), "n")
+
+
+#: Fixed value: standard deviations that an estimate may be off by.
+SIGMAS = 3
+
+
+def allowed_error(e: Column, extra: float = 0.0) -> Column:
+    """How far a distance with the standard deviation e may lie from its estimate; extra is allowed to all."""
+    return F.ceil(SIGMAS * e + F.lit(float(extra))).cast("long")

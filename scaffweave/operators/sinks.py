@@ -86,3 +86,17 @@ def pseudo_read_lines(cuts: DataFrame, fasta: bool = False) -> DataFrame:
     name = F.concat("name", F.lit("_f"), "read_num", F.lit(" BX:Z:"), "barcode")
     mate = lambda s, q: F.concat_ws("\n", F.concat(F.lit(">"), name), F.col(s)) if fasta else F.concat_ws("\n", F.concat(F.lit("@"), name), F.col(s), F.lit("+"), F.col(q))
     return cuts.select(F.concat_ws("\n", mate("fwd", "fwd_qual"), mate("rev", "rev_qual")).alias("value"))
+
+
+def param_lines(*estimates: DataFrame) -> DataFrame:
+    """A line `name<tab>value` for each column of the one-row frames, in their order; none where a value is missing."""
+    parts = []
+    for frame in estimates:
+        for name in frame.columns:
+            parts.append(frame.filter(F.col(name).isNotNull()).select(F.lit("").alias("place"), F.concat_ws("\t", F.lit(name), F.col(name).cast("string")).alias("value")))
+    return _lines(parts)
+
+
+def append_params(lines: DataFrame, path: str) -> None:
+    """Adds the lines to those that other steps have left there."""
+    lines.coalesce(1).write.mode("append").text(path)

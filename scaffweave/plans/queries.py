@@ -619,3 +619,16 @@ def sink_dist_gv(spark, sf):
     union all select (a.k - 1) || '--' || (b.k - 1) || ' [label=' || orientation || ', weight=' || weight || '];' from edges join ids a on a.id = u join ids b on b.id = v""")
 def sink_gv(spark, sf):
     return sinks.gv_lines(_edges(spark, sf))
+
+
+@_query("""select 'span' || chr(9) || cast(floor((sum(length(seq)) // 1000) * 0.25) as bigint) as value from solid union all
+    select 'read_p90' || chr(9) || (a[greatest(case when n * 0.9 = floor(n * 0.9) then cast(floor(n * 0.9) as int) else cast(floor(n * 0.9) as int) + 1 end, 1)] + a[cast(floor(n * 0.9) as int) + 1]) // 2
+    from (select list_sort(list(length(seq))) a, count(*) n from solid where length(seq) > 1000)""")
+def sink_params(spark, sf):
+    reads = st.solid_sequences(spark, sf)
+    return sinks.param_lines(lr.span(reads, 1000, 0.25), lr.length_percentile(reads, 90))
+
+
+@_query("select src_, dst_, cast(max(ceil(3 * e + 6)) as bigint) allowed from est_rows group by all")
+def allowed_error(spark, sf):
+    return _estimates(spark, sf, lambda rows, keys: rows.groupBy(*keys).agg(F.max(gr.allowed_error(F.col("e"), 6)).alias("allowed")))

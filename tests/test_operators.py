@@ -285,3 +285,11 @@ def test_scaffolder_refuses_what_it_cannot_read(spark):
     for params in (ScaffoldParams(), ScaffoldParams(inputs=("a.bam",)), ScaffoldParams(inputs=("a.fq",)), ScaffoldParams(inputs=("a.sam",), file="c.fa", kmer_mode=True)):
         with pytest.raises(ValueError):
             Scaffolder(params).run(spark)
+
+
+def test_parameters_are_appended(spark, tmp_path):
+    path = str(tmp_path / "params")
+    one_row = spark.createDataFrame([(7, None)], "span long, read_p50 long")
+    sinks.append_params(sinks.param_lines(one_row), path)
+    sinks.append_params(sinks.param_lines(spark.createDataFrame([(1200,)], "read_p90 long")), path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["read_p90\t1200", "span\t7"]
