@@ -129,15 +129,14 @@ def _compare(k: int, by: str | None, cosine: float):
     return compare
 
 
-def _lists(pairs: DataFrame, k: int, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """The k best neighbours of each vector of pairs (a, b, cos, old), with bar, the cosine of the last where the
-    list is full, and old, 1 if the pair came from the list before; and all pairs at the threshold."""
+def _lists(pairs: DataFrame, k: int, cosine: float) -> DataFrame:
+    """Of pairs (a, b, cos, old) the k best neighbours of each vector, those of place 1 to k, and all pairs at the
+    threshold, with bar, the cosine of the last of a full list, and old, 1 if the pair came from the table before."""
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    edge = F.col("cos") >= cosine - SLACK
-    ranked = pairs.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("old").alias("old")).withColumn("place", F.row_number().over(best)).filter((F.col("place") <= k) | edge)
+    ranked = pairs.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("old").alias("old")).withColumn("place", F.row_number().over(best))
     bar = F.max(F.when(F.col("place") == k, F.col("cos"))).over(Window.partitionBy("a"))
-    seen = checkpoint(ranked.select("a", "b", "cos", "old", F.coalesce(bar, F.lit(-1.0)).alias("bar"), "place"))
-    return seen.filter(F.col("place") <= k).drop("place"), seen.filter(edge).select("a", "b")
+    kept = ranked.filter((F.col("place") <= k) | (F.col("cos") >= cosine - SLACK))
+    return checkpoint(kept.select("a", "b", "cos", "old", F.coalesce(bar, F.lit(-1.0)).alias("bar"), "place"))
 
 
 def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 0, cosine: float = COSINE, inside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -146,8 +145,8 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
     The first lists come from runs of neighbours in random orders (by signs of random projections). A round
     brings every vector's neighbours and reverse neighbours (and those of `inside`) together and compares
     them with each other, but not those of one group; a pair goes on only if it beats the last of a list.
-    Centres with many reverse neighbours are compared in parts of about RUN, dealt anew every round. Edges link all pairs that any run had
-    at the threshold, also those that no list has room for. Rounds end when fewer than 1 in 1000 list
+    Centres with many reverse neighbours are compared in parts of about RUN, dealt anew every round. Edges link
+    all pairs that any run had at the threshold, also those that no list has room for. Rounds end when fewer than 1 in 1000 list
     places change, whatever share of the vectors has edges.
     """
     n = partitions(vectors.sparkSession)
@@ -156,8 +155,9 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
     code = F.shiftright("code", 16) * 65536 + F.col("code").bitwiseAND((1 << bits) - 1)
     spread = vectors.select("rep", "unit", "group").mapInArrow(lambda b: _hashed(b, tables, seed), "rep long, unit binary, group long, code long, along double")
     spread = spread.withColumn("code", code).repartitionByRange(n, "code", "along").sortWithinPartitions("code", "along")
-    lists, edges = _lists(spread.mapInArrow(_compare(k, None, cosine), "a long, b long, cos double").withColumn("old", F.lit(0)), k, cosine)
+    seen = _lists(spread.mapInArrow(_compare(k, None, cosine), "a long, b long, cos double").withColumn("old", F.lit(0)), k, cosine)
     for again in range(rounds):
+        lists = seen.filter(F.col("place") <= k)
         ways = lists.select("a", "b") if inside is None else lists.select("a", "b").unionByName(inside)
         members = ways.select(F.col("a").alias("centre"), F.col("b").alias("rep")).unionByName(ways.select(F.col("b").alias("centre"), F.col("a").alias("rep"))).distinct()
         bars = lists.groupBy("a").agg(F.max("bar").alias("bar")).withColumnRenamed("a", "rep")
@@ -167,16 +167,15 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLE
         members = members.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(again)), F.col("parts"))).drop("parts")
         met = members.join(own, "rep").repartition(n, "centre", "part").sortWithinPartitions("centre", "part", "rep")
         better = met.mapInArrow(_compare(k, "centre", cosine), "a long, b long, cos double").withColumn("old", F.lit(0))
-        lists, more = _lists(better.unionByName(lists.select("a", "b", "cos", F.lit(1).alias("old"))), k, cosine)
-        changed = lists.filter("old = 0").count()
-        edges = edges.unionByName(more)
-        if changed <= count * k / 1000:
+        seen = _lists(better.unionByName(seen.select("a", "b", "cos", F.lit(1).alias("old"))), k, cosine)
+        if seen.filter((F.col("old") == 0) & (F.col("place") <= k)).count() <= count * k / 1000:
             break
-    return lists, edges
+    return seen.filter(F.col("place") <= k).drop("place"), seen.filter(F.col("cos") >= cosine - SLACK).select("a", "b")
 
 
 def _edges(vectors: DataFrame, k: int, tables: int, seed: int, cosine: float) -> DataFrame:
-    """Edges (a, b) that link vectors (rep, unit) as all pairs at the threshold do.
+    """Edges (a, b) that link vectors (rep, unit) as all pairs at the threshold do, from each linked one to the
+    smallest of its component.
 
     A list that is full of edges is saturated, and its vector may have more. A vector that is not has all of
     its own, so only saturated vectors can miss edges, with each other. Their lists are enlarged to the
@@ -185,20 +184,24 @@ def _edges(vectors: DataFrame, k: int, tables: int, seed: int, cosine: float) ->
     another one, so their number is halved at least.
     """
     lists, edges = neighbour_graph(vectors.withColumn("group", F.col("rep")), k, tables, seed=seed, cosine=cosine)
+    groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     inside = None
     for again in itertools.count(1):
         full = lists.filter(F.col("bar") >= cosine - SLACK).select(F.col("a").alias("rep")).distinct()
-        if full.isEmpty():
-            return edges
-        edges = checkpoint(edges.distinct())
-        groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group"))
         left = checkpoint(vectors.join(full, "rep").join(groups, "rep"))
         if left.select("group").distinct().count() < 2:
-            return edges
+            return groups.toDF("a", "b")
         ways = lists.select("a", "b") if inside is None else lists.select("a", "b").unionByName(inside)
         inside = checkpoint(ways.join(left.select(F.col("rep").alias("a")), "a").join(left.select(F.col("rep").alias("b")), "b").select("a", "b"))
-        lists, more = neighbour_graph(left, k, tables, seed=seed + 100 * again, cosine=cosine, inside=inside)
-        edges = edges.unionByName(more)
+        lists, edges = neighbour_graph(left, k, tables, seed=seed + 100 * again, cosine=cosine, inside=inside)
+        groups = _merged(groups, edges)
+
+
+def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (rep, group) after edges (a, b) between their members; the components are contracted first."""
+    ends = edges.select("a", "b").join(groups.toDF("a", "from"), "a").join(groups.toDF("b", "to"), "b")
+    moved = connected_components(ends, "from", "to").select(F.col("node").alias("group"), "component")
+    return checkpoint(groups.join(moved, "group", "left").select("rep", F.coalesce("component", "group").alias("group")))
 
 
 def _count(cosine: float):
@@ -207,15 +210,17 @@ def _count(cosine: float):
         for group in _groups(batches, "component", "i", "j"):
             group = group.take(pa.array(np.argsort(group.column("rep").to_numpy(), kind="stable")))
             rows, x = group.column("rep").to_numpy(), _matrix(group.column("unit"))
-            near = x @ x.T >= cosine
+            cos = x @ x.T
+            near = cos >= cosine
             np.fill_diagonal(near, False)
+            close = bool((np.abs(cos - cosine) <= 2 * SLACK).any())
             size, block = group.column("n").to_numpy(), group.column("block").to_numpy()
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             if i != j:
                 near &= block[:, None] != block[None, :]
             label = link(len(rows), lambda k, others: near[k, others])  # noqa: B023
             counts = [pa.array((near @ w).astype(np.int64)) for w in (size, np.ones_like(size))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows[label]), *counts], names=["a", "b", "links", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows[label]), *counts, pa.array(np.full(len(rows), close))], names=["a", "b", "links", "pairs", "close"])
 
     return count
 
@@ -241,7 +246,8 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     have more: so lists are enlarged to the whole component of edges, and the vectors with full lists look for
     neighbours in other components. The vectors of a component are compared in double precision in cells of
     at most two blocks of CELL, without listing pairs. That gives n_links (members of
-    linked classes counted, and the other members of the own class) and the links of the final components.
+    linked classes counted, and the other members of the own class) and, where a pair lies within SLACK of the
+    threshold, the links of the final components.
     An audit counts the linked classes of a sample of linked vectors by brute force; if less than RECALL of
     them were found, the graph is built again with twice the lists and tables, and the edges of all count.
     If BUILDS graphs fail, all vectors of that length are compared, in the same cells.
@@ -256,7 +262,7 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     classes = rows.filter("unit is not null and vec is not null").groupBy("unit").agg(F.min("vec").alias("rep"), F.count("*").alias("n"))
     classes = checkpoint(classes.groupBy("rep").agg(F.max_by("unit", "n").alias("unit"), F.max("n").alias("n")))
     lengths = [r[0] for r in classes.select(F.octet_length("unit").alias("size")).distinct().collect()]
-    edges, whole, wanted = None, [], [(size, NEIGHBOURS, TABLES, 0) for size in lengths]
+    groups, whole, wanted = None, [], [(size, NEIGHBOURS, TABLES, 0) for size in lengths]
     result = None
     while wanted:
         for size, k, tables, seed in wanted:
@@ -265,8 +271,10 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                 whole.append(size)
                 continue
             new = _edges(own.select("rep", "unit"), k, tables, seed, cosine)
-            edges = new if edges is None else edges.unionByName(new)
-        result = checkpoint(_linked(edges, classes, cosine, n, whole))
+            groups = new if groups is None else groups.unionByName(new)
+            if seed:  # components of more than one graph
+                groups = connected_components(groups).toDF("a", "b")
+        result = checkpoint(_linked(groups, classes, cosine, n, whole))
         wanted = [(size, 2 * k, 2 * tables, seed + 1) for size, k, tables, seed in wanted if seed < BUILDS and recall(result, classes, size, cosine) < RECALL]
     if result is None:
         result = spark.createDataFrame([], "rep long, links long, pairs long, component long")
@@ -278,9 +286,11 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     )
 
 
-def _linked(edges: DataFrame, classes: DataFrame, cosine: float, n: int, whole: list[int]) -> DataFrame:
-    """(rep, links, pairs, component) by exact comparison within components of edges; all of a length in `whole` are one."""
-    groups = connected_components(edges)
+def _linked(groups: DataFrame, classes: DataFrame, cosine: float, n: int, whole: list[int]) -> DataFrame:
+    """(rep, links, pairs, component) by exact comparison within components, edges (a, b) from all members to one; all
+    of a length in `whole` are compared as one. Components are found anew from the links, unless no pair in them is
+    so near the threshold that another order of adding up could tell it apart."""
+    groups = groups.toDF("node", "component")
     for size in whole:
         every = classes.filter(F.octet_length("unit") == size).select(F.col("rep").alias("node"))
         groups = groups.join(every, "node", "left_anti").unionByName(every.withColumn("component", F.lit(-size).cast("long")))
@@ -291,11 +301,12 @@ def _linked(edges: DataFrame, classes: DataFrame, cosine: float, n: int, whole:
     placed = placed.select("component", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     counted = (
         placed.join(classes, "rep").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-        .mapInArrow(_count(cosine), "a long, b long, links long, pairs long")
+        .mapInArrow(_count(cosine), "a long, b long, links long, pairs long, close boolean")
     )
     counted = checkpoint(counted)
     links = counted.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
-    comps = connected_components(counted.select("a", "b")).select(F.col("node").alias("rep"), "component")
+    anew = whole or not counted.filter("close").isEmpty()
+    comps = (connected_components(counted.select("a", "b")) if anew else groups).select(F.col("node").alias("rep"), "component")
     return links.join(comps, "rep", "left")
 
 
