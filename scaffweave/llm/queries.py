@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
@@ -84,6 +84,66 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def repeat_tails(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The text, of every tenth document by a hash of its id with the words from some place on replaced by repeats of
+    the next few: words i >= a by word a + (i - a) % p. Null ids count as other documents."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " "))
+
+    # the words are bound to a variable, so that they are found once
+    return F.coalesce(F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]), F.col(text))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import find_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeat_tails().alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = find_runs(docs).withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def misspelt_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of the letter runs of the texts, each run that a hash of it and its document picks without one letter."""
+    runs = word_runs_of(docs)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")).cast("binary"))
+    at = (h % F.length("word")).cast("int")
+    cut = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.length("word")))
+    words = runs.select(F.when(F.coalesce(h % 199 == 0, F.lit(False)), cut).otherwise(F.col("word")).alias("word"))
+    return words.filter(F.length("word") >= 6).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 5")
+
+
+def word_runs_of(docs: DataFrame) -> DataFrame:
+    from .spelling import word_runs
+
+    return word_runs(docs, keep=["doc_id"])
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(misspelt_words(table(spark, sf_dir, "documents")))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _rules():
     from .urls import RULES
 
@@ -94,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_best_fit_packing, op4_toxicity, op5_decontamination,
-        op6_embedding_dedup, op7_url_filters, op8_sharding, op9_minhash_dedup, op10_quality,
+        op6_embedding_dedup, op7_url_filters, op8_sharding, op9_minhash_dedup, op10_quality, op11_periodic_runs, op12_spelling_variants, op13_exact_topk,
     )
 }
 
@@ -141,4 +201,9 @@ ORACLE_SQL: dict[str, str] = {
         reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
         select doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(low, doc_id)) component_id, doc_id = least(doc_id, coalesce(low, doc_id)) kept
         from docs left join sizes using (doc_id) left join (select a, min(b) low from reach group by a) y on y.a = doc_id""",
+    "op13_exact_topk": """
+        with v as (select vec_id, row_number() over () k, cast(embedding as double[]) e from embeddings),
+        ok as (select vec_id, k, list_transform(e, lambda x: floor(256 * x)) c from v where e is not null and coalesce(list_aggregate(list_transform(e, lambda x: x is not null and isfinite(x)), 'bool_and'), true)),
+        pairs as (select q.vec_id query_id, q.k, d.vec_id, cast(list_inner_product(q.c, d.c) as bigint) score from ok q join ok d on q.k <> d.k and len(q.c) = len(d.c) where q.vec_id % 50 = 0)
+        select query_id, cast(place as int) rank, vec_id, score from (select *, row_number() over (partition by k order by score desc, vec_id) place from pairs) where place <= 5""",
 }

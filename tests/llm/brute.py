@@ -114,3 +114,89 @@ def near_duplicates(docs: list[tuple], percent: int = 85) -> dict:
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = components(sets, links)
     return {d: (len(s), comp[d], comp[d] == d) for d, s in sets.items()}
+
+
+def repeated_tail(doc_id, text: str | None) -> list[str]:
+    w, h = space_words(text), zlib.crc32(str(doc_id).encode())
+    if h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(w: list, least: int = 12) -> list[tuple]:
+    """(start, length, period) by comparing the words at every distance."""
+    out = []
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least, 2 * q) and not any(w[i : i + length - p] == w[i + p : i + length] for p in range(1, q)):
+                out.append((i, length, q))
+            i = j + 1
+    return sorted(out)
+
+
+def collapsed(w: list[str], runs: list[tuple]) -> str:
+    gone = {k for start, length, period in runs for k in range(start + period, start + length)}
+    return " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+def letter_words(docs: list[tuple]) -> dict:
+    """Counts of the letter runs of the documents after the deletions that query 12 makes."""
+    out: dict[str, int] = defaultdict(int)
+    for doc, text in docs:
+        for x in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            x = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+            h = zlib.crc32(f"{doc}:{x}".encode())
+            if doc is not None and h % 199 == 0:
+                x = x[: h % len(x)] + x[h % len(x) + 1 :]
+            out[x] += 1
+    return {w: n for w, n in out.items() if len(w) >= 6 and n >= 5}
+
+
+def spelling(words: dict, ratio: int = 5) -> dict:
+    """word: (form, root, n, n_near, form_n), with near words sought among those that share a word less one letter."""
+    holders = defaultdict(set)
+    for w in words:
+        for k in range(len(w)):
+            holders["less", w[:k] + w[k + 1 :]].add(w)
+            holders["gap", k, w[:k], w[k + 1 :]].add(w)
+    near = defaultdict(set)
+    for key, own in holders.items():
+        if key[0] == "gap":
+            for w in own:
+                near[w] |= own - {w}
+        elif key[1] in words:
+            for w in own:
+                near[w].add(key[1])
+                near[key[1]].add(w)
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), words.get(form[w]))
+    return out
+
+
+def top_k(vectors: list[tuple], asked, k: int = 5, scale: int = 256) -> list[tuple]:
+    """(query_id, rank, vec_id, score) of vectors (id, components)."""
+    import math
+
+    ok = [(i, v, [math.floor(float(c) * scale) for c in x]) for i, (v, x) in enumerate(vectors) if x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for i, v, x in ok:
+        if v is not None and asked(v):
+            others = [(-sum(a * b for a, b in zip(x, y, strict=True)), u is None, u or 0) for j, u, y in ok if j != i and len(x) == len(y)]
+            out += [(v, r + 1, None if none else u, -s) for r, (s, none, u) in enumerate(sorted(others)[:k])]
+    return out

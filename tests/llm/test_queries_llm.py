@@ -205,3 +205,33 @@ def test_pipeline_stages_on_odd_rows(spark, lang):
         assert stage(spark, none, SF).count() == 0
 
 
+
+
+def test_periodic_runs(spark, docs):
+    got = {r.doc_id: r for r in rows(spark, "op11_periodic_runs")}
+    assert len(got) == len(docs)
+    some = 0
+    for doc, text in docs:
+        w = brute.repeated_tail(doc, text)
+        runs = brute.periodic_runs(w)
+        start, length, period = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=(None, None, None))
+        lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+        r = got[doc]
+        assert (r.n_runs, r.start, r.length, r.period, r.exponent_milli) == (len(runs), start, length, period, 1000 * length // period if length else None)
+        assert r.runs_sha256 == hashlib.sha256(lines.encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(brute.collapsed(w, runs).encode()).hexdigest()
+        some += bool(runs)
+    assert some > 5
+
+
+def test_spelling_variants(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in q.QUERIES["op12_spelling_variants"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute.spelling(brute.letter_words(docs))
+    assert sum(form is not None for form, *_ in got.values()) > 5
+
+
+def test_exact_topk(spark):
+    vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows(spark, "op13_exact_topk"))
+    assert got == sorted(brute.top_k(vectors, lambda v: v % 50 == 0))
