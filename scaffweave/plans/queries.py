@@ -347,10 +347,21 @@ def seq_identity(spark, sf):
 
 @_query("select qname, (p1 + p2) // 2 mid_pos from mates")
 def join_mate(spark, sf):
-    mates = al.join_mates(al.with_barcodes(st.alignments(spark, sf)))
+    mates = al.join_mates(al.mate_columns(al.with_barcodes(st.alignments(spark, sf))))
     return mates.select("qname", tags.pair_mid_pos(F.col("first.pos"), F.col("second.pos")).alias("mid_pos"))
 
 
+@_query("""select file, qname, event_id first_id, after1 second_id from (
+    select *, lag(qname) over w before, lead(qname, 1) over w next1, lead(qname, 2) over w next2, lead(event_id) over w after1 from (
+      select case when event_id % 5000 < 3000 then 'a' else 'b' end file, event_id, cast((event_id + case when event_id % 11 < 4 then event_id % 2 else 0 end) // 2 % 97 as varchar) qname from events)
+    window w as (partition by file order by event_id))
+    where qname = next1 and qname is distinct from before and qname <> next2""")
+def join_mate_runs(spark, sf):
+    """Pairs of neighbouring records where names recur, in runs of one to four records."""
+    mates = al.join_mates(st.recurring_alignments(spark, sf))
+    return mates.select("file", "qname", F.col("first.event_id").alias("first_id"), F.col("second.event_id").alias("second_id"))
+
+
 @_query("select barcode, r2 contig, (p1 + p2) // 2 mid_pos from mates where f1 in (99, 147) and f2 in (99, 147) and m1 <> 0 and m2 <> 0 and s1 >= 90 and s2 >= 90 and r1 = r2")
 def flt_pair_quality(spark, sf):
     return al.good_pairs(al.join_mates(al.mate_columns(al.with_barcodes(st.alignments(spark, sf)))), 90)
@@ -473,6 +484,44 @@ def to_si(spark, sf):
     return o.select("o_orderkey", F.regexp_extract(formatting.to_si(F.col("o_totalprice")), "([kMGT]?)$", 1).alias("unit"))
 
 
+@_query("""select o_orderkey, case when o_totalprice < 1e3 then format('{:.3g} ', o_totalprice) when o_totalprice < 1e6 then format('{:.3g} k', o_totalprice / 1e3) else format('{:.3g} M', o_totalprice / 1e6) end si,
+    case when x < 10000000 then cast(x as varchar) when x < 1e9 then format('{:.4g}e6', x / 1e6) when x < 1e12 then format('{:.4g}e9', x / 1e9) else format('{:.4g}e12', x / 1e12) end eng
+    from (select *, cast(floor(o_totalprice) as bigint) * o_orderkey x from orders)""")
+def short_numbers(spark, sf):
+    o = st.table(spark, sf, "orders")
+    return o.select("o_orderkey", formatting.to_si(F.col("o_totalprice")).alias("si"), formatting.to_eng(F.floor("o_totalprice") * F.col("o_orderkey")).alias("eng"))
+
+
+#: The 15 letters in both cases with their sets of bases, each written out, for the statement in SQL.
+_SETS = [("A", "A"), ("C", "C"), ("G", "G"), ("T", "T"), ("M", "AC"), ("R", "AG"), ("W", "AT"), ("S", "CG"), ("Y", "CT"), ("K", "GT"), ("V", "ACG"), ("H", "ACT"), ("D", "AGT"), ("B", "CGT"), ("N", "ACGT")]
+
+
+@_query(f"""with sets as (select * from (values {", ".join(f"('{k}', '{v}')" for k, v in _SETS)}) t(k, v)),
+    used as (select e.user_id, s.k, case when e.event_id % 2 = 0 then s.k else lower(s.k) end x from events e join sets s on s.k = substr('ACGTMRWSYKVHDBN', cast(e.event_id % 15 as int) + 1, 1)),
+    two as (select x a, case when user_id % 3 = 0 then lower(o.k) else o.k end b, p.v va, o.v vb from used join sets p on p.k = used.k join sets o on o.k = substr('NBDHVKYSWRMTGCA', cast(user_id % 15 as int) + 1, 1)),
+    joined as (select *, array_to_string(list_filter(['A', 'C', 'G', 'T'], lambda z: contains(va, z) and contains(vb, z)), '') i, array_to_string(list_filter(['A', 'C', 'G', 'T'], lambda z: contains(va, z) or contains(vb, z)), '') u from two),
+    named as (select a, b, coalesce(x.k, 'N') i, y.k u from joined left join sets x on x.v = i left join sets y on y.v = u),
+    cased as (select a, b, case when a = lower(a) and b = lower(b) then lower(i) else i end both_, case when a = lower(a) or b = lower(b) then lower(u) else u end either from named)
+    select a, b, both_, either, both_ in (a, b) part, count(*) n from cased group by all""")
+def ambiguity_pairs(spark, sf):
+    """Pairs of IUPAC letters in both cases that events give, with the letters of their common and joint bases."""
+    letter = lambda order, at: F.substring(F.lit(order), (at % 15).cast("int") + 1, F.lit(1))
+    a, b = letter("ACGTMRWSYKVHDBN", F.col("event_id")), letter("NBDHVKYSWRMTGCA", F.col("user_id"))
+    rows = st.table(spark, sf, "events").select(F.when(F.col("event_id") % 2 == 0, a).otherwise(F.lower(a)).alias("a"), F.when(F.col("user_id") % 3 == 0, F.lower(b)).otherwise(b).alias("b"))
+    x, y = F.col("a"), F.col("b")
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", sequence.ambiguity_and(x, y).alias("both_"), sequence.ambiguity_or(x, y).alias("either"), sequence.ambiguity_is_subset(x, y).alias("part"), "n")
+
+
+@_query("""select item_id, colours, substr(seq, 1, known) || case when known > 0 then repeat('N', length(seq) - known) else seq[1] || repeat('N', length(seq) - 1) end letters from (
+    select item_id, seq, position('N' in seq || 'N') - 1 known, array_to_string(list_transform(range(1, length(seq)), lambda i: case when substr(seq, i, 1) = 'N' or substr(seq, i + 1, 1) = 'N' then 'N'
+      else cast(xor(position(substr(seq, i, 1) in 'ACGT') - 1, position(substr(seq, i + 1, 1) in 'ACGT') - 1) as varchar) end), '') colours from (select item_id, replace(seq, ' ', 'N') seq from reads))""")
+def colour_letters(spark, sf):
+    """Sequences with N as colours, and the colours as letters again: right up to the first N, unknown from there on."""
+    reads = st.table(spark, sf, "benchmark").select("item_id", F.translate(st.bases(F.col("text")), " ", "N").alias("seq"))
+    found = reads.withColumn("colours", sequence.nucleotides_to_colours(F.col("seq")))
+    return found.select("item_id", "colours", sequence.colours_to_nucleotides(F.substring("seq", 1, 1), F.col("colours")).alias("letters"))
+
+
 @_query("select ord event_id, flag from pairs_raw where flag in (99, 147)")
 def flt_flag(spark, sf):
     return st.alignments(spark, sf).filter(tags.proper_flag(F.col("flag"))).select(F.col("ord").alias("event_id"), "flag")
@@ -577,7 +626,7 @@ def agg_read_pair_assign(spark, sf):
 
 
 @_query("""select l_returnflag letter, case l_returnflag when 'A' then 1 when 'N' then 15 else 5 end mask, case l_returnflag when 'A' then 'A' when 'N' then 'M' else 'A' end with_m,
-    case l_returnflag when 'A' then 'M' when 'N' then 'N' else 'V' end or_m, l_returnflag = 'A' is_part_of_m, count(*) n from lineitem group by all""")
+    case l_returnflag when 'A' then 'M' when 'N' then 'N' else 'V' end or_m, with_m in (l_returnflag, 'M') is_part_of_m, count(*) n from lineitem group by all""")
 def ambiguity_codes(spark, sf):
     c, m = F.col("l_returnflag"), F.lit("M")
     rows = st.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))

@@ -63,3 +63,14 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.repeat(F.lit("A"), F.lit(100)).alias("seq"), F.lit("*").alias("qual"),
         F.concat(F.lit("NM:i:"), (i % 4).cast("string"), F.lit("\tBX:Z:"), F.floor(F.col("user_id") / 3).cast("string"), F.lit("-1")).alias("tags"),
     )
+
+
+def recurring_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment rows in two files whose names come again: runs of one to four records, names of users by turns."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    run = F.floor((i + F.when(i % 11 < 4, i % 2).otherwise(0)) / 2)
+    return e.select(
+        F.when(i % 5000 < 3000, F.lit("a")).otherwise(F.lit("b")).alias("file"), (2 * i + F.when(i % 13 == 0, 1).otherwise(0)).alias("ord"), (run % 97).cast("string").alias("qname"),
+        (F.floor(F.col("value")) % 400 + 1).cast("int").alias("pos"), "event_id",
+    )

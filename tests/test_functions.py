@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from scaffweave.functions import sequence, stats, tags
+from scaffweave.functions import formatting, sequence, stats, tags
 from scaffweave.params import ScaffoldParams
 
 
@@ -74,7 +74,44 @@ def test_ambiguity(spark):
     assert one(spark, sequence.ambiguity_and(F.lit("R"), F.lit("M"))) == "A"
     assert one(spark, sequence.ambiguity_or(F.lit("A"), F.lit("G"))) == "R"
     assert one(spark, sequence.ambiguity_is_subset(F.lit("A"), F.lit("N"))) is True
-    assert one(spark, sequence.nucleotides_to_colours(F.lit("ACGT N"))) == "131.."
+    assert one(spark, sequence.nucleotides_to_colours(F.lit("ACGT N"))) == "131.N"
+
+
+def test_ambiguity_of_all_letters_in_both_cases(spark):
+    """Sets of bases, with the case rules stated anew."""
+    bases = {"A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT"}
+    letter = {frozenset(v): k for k, v in bases.items()} | {frozenset(): "N"}
+    letters = [x for k in bases for x in (k, k.lower())]
+    rows = spark.createDataFrame([(a, b) for a in letters for b in letters], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for r in rows.select("a", "b", sequence.ambiguity_and(a, b).alias("both"), sequence.ambiguity_or(a, b).alias("any"), sequence.ambiguity_is_subset(a, b).alias("part")).collect():
+        x, y = (set(bases[v.upper()]) for v in (r.a, r.b))
+        low = [v.islower() for v in (r.a, r.b)]
+        both, either = letter[frozenset(x & y)], letter[frozenset(x | y)]
+        both = both.lower() if all(low) else both
+        assert (r.both, r.any, r.part) == (both, either.lower() if any(low) else either, both in (r.a, r.b))
+
+
+def test_colours(spark):
+    for text, colours in (("ACGT", "131"), ("aNcN", "nnn"), ("TN", "N"), ("A", ""), ("", ""), ("GGGA", "002"), ("AC-T", "1..")):
+        assert one(spark, sequence.nucleotides_to_colours(F.lit(text))) == colours
+    back = lambda a, c: one(spark, sequence.colours_to_nucleotides(F.lit(a), F.lit(c)))
+    assert back("A", "131") == "ACGT" and back("t", "") == "t" and back("C", "0.01") == "CCNNN" and back("N", "01") == "NNN"
+
+
+@settings(max_examples=20, deadline=None)
+@given(hs.text("ACGT", min_size=1, max_size=40))
+def test_colours_and_back(spark, text):
+    assert one(spark, sequence.colours_to_nucleotides(F.lit(text[0]), sequence.nucleotides_to_colours(F.lit(text)))) == text
+
+
+def test_short_numbers(spark):
+    numbers = [0.0, 5.0, 999.0, 999.9, 1000.0, 1234.0, 12350.0, 123456.0, 122500.0, 123500.0, 1e6, 9.995e8, 1.5e9, 1e12, 2.5e15, -5000.0, 0.00001234, 1.015]
+    rows = spark.createDataFrame([(x,) for x in [*numbers, None]], "x double").select("x", formatting.to_si(F.col("x")).alias("si"), formatting.to_eng(F.col("x")).alias("eng"))
+    got = {r.x: (r.si, r.eng) for r in rows.collect()}
+    si = ["0 ", "5 ", "999 ", "1e+03 ", "1 k", "1.23 k", "12.3 k", "123 k", "122 k", "124 k", "1 M", "1e+03 M", "1.5 G", "1 T", "2.5e+03 T", "-5e+03 ", "1.23e-05 ", "1.01 "]
+    eng = ["0", "5", "999", "999.9", "1000", "1234", "12350", "123456", "122500", "123500", "1000000", "999.5e6", "1.5e9", "1e12", "2500e12", "-5000", "1.234e-05", "1.015"]
+    assert [got[x] for x in numbers] == list(zip(si, eng, strict=True)) and got[None] == (None, None)
 
 
 def test_params():

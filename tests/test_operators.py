@@ -42,6 +42,35 @@ def test_join_mates_is_the_state_machine(spark, seed):
     assert {r["qname"] for r in al.join_mates(rows, compat=False).collect()} >= set(state_machine(names))
 
 
+def mate_runs(rows, compat):
+    """(file, name, place of the first, place of the second) of the reader, record by record."""
+    out = []
+    for file in {r[0] for r in rows}:
+        own = sorted((o, n) for f, o, n in rows if f == file)
+        begin = 0
+        for i in range(1, len(own) + 1):
+            if i == len(own) or own[i][1] != own[begin][1]:
+                if i - begin == 2 and not (compat and i == len(own)):
+                    out.append((file, own[begin][1], own[begin][0], own[begin + 1][0]))
+                begin = i
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1 << 17])
+@pytest.mark.parametrize("compat", [True, False])
+def test_mates_are_neighbours_where_names_recur(spark, monkeypatch, stretch, compat):
+    monkeypatch.setattr(al, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    names = {"f": list("xxyyxxzze"), "g": [rng.choice("abc") for _ in range(120)], "h": list("aa"), "i": ["a"], "j": [None, None, "a", "a", "a", None, None, "b", "b"]}
+    rows = [(f, 3 * i + rng.randrange(3), n) for f, own in names.items() for i, n in enumerate(own)]
+    frame = spark.createDataFrame([(*r, r[1] * 2) for r in rows], "file string, ord long, qname string, pos long").repartition(3)
+    got = al.join_mates(frame, compat).collect()
+    assert sorted(((r.file, r.qname, r["first"].ord, r.second.ord) for r in got), key=repr) == mate_runs(rows, compat)
+    assert all(r["first"].pos == 2 * r["first"].ord for r in got)
+    assert [r.qname for r in sorted((r for r in got if r.file == "f"), key=lambda r: r["first"].ord)] == list("xyxz")
+    assert al.join_mates(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("own,k,expected", [(2.5, 1, [2]), (2.5, 2, [2, 3]), (0.0, 2, [1, 2]), (5.0, 2, [3, 4]), (3.0, 1, [3])])
 def test_nearest_points(spark, own, k, expected):
     curve = spark.createDataFrame([(i / 10, i) for i in (1, 2, 3, 4)], "jaccard double, distance int")
