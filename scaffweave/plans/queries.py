@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from ..operators import kmers as km
 from ..operators import longreads as lr
 from ..operators import pairs as pr
 from ..operators import sinks
-from ..operators.numbering import number_rows
-from ..sources.sequences import fasta_index
+from ..operators.numbering import number_rows, shared_folder
+from ..sources.sequences import fasta_index, read_fastq
 from . import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -522,6 +523,24 @@ def colour_letters(spark, sf):
     return found.select("item_id", "colours", sequence.colours_to_nucleotides(F.substring("seq", 1, 1), F.col("colours")).alias("letters"))
 
 
+def _written(spark, rows, suffix: str) -> str:
+    """The one column of rows as text files in the shared folder; their path."""
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4()}"
+    rows.write.text(path)
+    return f"{path}/*{suffix}"
+
+
+@_query("""select cast(doc_id as varchar) "name", 'BX:Z:' || doc_id % 7 || ' x' "comment", length(seq) n_bases, md5(seq) seq_md5, md5(translate(seq, 'ACGT', '@>+I')) qual_md5 from solid""")
+def scan_fastq_lines(spark, sf):
+    """Reads of several lines, whose qualities begin lines with @, > and +, written to files and read from their splits."""
+    rows = st.solid_sequences(spark, sf)
+    lines = lambda text, width: F.regexp_replace(text, "(.{%d})" % width, "$1\n")
+    head = F.concat(F.lit("@"), F.col("name"), F.lit(" BX:Z:"), F.col("doc_id") % 7, F.lit(" x"))
+    text = F.concat_ws("\n", head, lines("seq", 61), F.lit("+"), lines(F.translate("seq", "ACGT", "@>+I"), 47))
+    found = read_fastq(spark, _written(spark, rows.select(text), ".txt"))
+    return found.select("name", "comment", F.length("seq").alias("n_bases"), F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5"))
+
+
 @_query("select ord event_id, flag from pairs_raw where flag in (99, 147)")
 def flt_flag(spark, sf):
     return st.alignments(spark, sf).filter(tags.proper_flag(F.col("flag"))).select(F.col("ord").alias("event_id"), "flag")

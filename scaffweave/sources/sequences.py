@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.numbering import saved
+from .records import read_line_records
 
 RECORD = "file string, ord bigint, name string, comment string, seq string, qual string"
 #: Names of files that hold alignments, and reads.
@@ -130,12 +131,8 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """FASTQ records of four lines; the `sequences` source reads those of more."""
-    rows = read_records(spark, list(paths)).withColumns({"at": F.col("ord") % 4, "ord": F.floor(F.col("ord") / 4).cast("long")})
-    part = lambda i: F.max(F.when(F.col("at") == i, F.col("line")))
-    rows = rows.groupBy("file", "ord").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
-    head = F.substring("head", 2, 1 << 30)
-    return rows.select("file", "ord", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\S*\s+(.*)$", 1).alias("comment"), "seq", "qual")
+    """FASTQ records of any number of lines, split wherever Spark splits the files."""
+    return read_line_records(spark, list(paths))
 
 
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
