@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.sequence import canonical_kmer, is_valid_read, kmer_fraction, kmers
+from ..functions.sequence import is_valid_read, kmer_fraction
 from ..functions.tags import bx_from_comment, strip_read_num
 
 #: Letters of one block that windows are cut from, and of those that are packed at once.
@@ -26,72 +27,123 @@ for _i, _c in enumerate(b"ACGT"):
 def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool = False) -> DataFrame:
     """(keep..., kmer): a row for each window of length k; kmer is canonical, null if it holds other than ACGT.
 
-    Up to PACKED letters a k-mer is a long of two bits a letter, in the order of the letters; longer ones are
-    strings. Sequences are cut into overlapping blocks, which are dealt evenly, as they are far smaller than their
-    windows. jump: after a window that holds another letter the next one begins k further; as each window then
-    depends on the ones before, a sequence stays whole.
+    Up to PACKED letters a k-mer is a long of two bits a letter, in the order of the letters; a longer one is a struct
+    of longs p0, p1, ..., all but the first of PACKED letters. Sequences are cut into overlapping blocks, which are dealt
+    evenly, as they are far smaller than their windows. jump: after a window that holds another letter the next one
+    begins k further; as each window then depends on the ones before, a sequence stays whole.
     """
     rows = frame.select(F.col(seq).alias("__seq"), *keep).filter(F.length("__seq") >= k)
     if not jump:
         starts = F.sequence(F.lit(1), F.length("__seq") - k + 1, F.lit(BLOCK))
         parts = F.explode(F.transform(starts, lambda i: F.substring("__seq", i, F.lit(BLOCK + k - 1)))).alias("__seq")
         rows = rows.select(parts, *keep).repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        if k > PACKED:
-            return rows.select(*keep, F.explode(kmers(F.col("__seq"), k)).alias("__kmer")).select(*keep, canonical_kmer(F.col("__kmer")).alias("kmer"))
-    if k > PACKED:
-        return _long_jumps(rows, k, keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch.column(i + 1) for i in range(len(keep))]
             for row, kmer, valid in _packed(batch.column(0), k, jump):
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in own), pa.array(kmer, mask=~valid)], names=[*keep, "kmer"])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), _column(kmer, valid)], names=[*keep, "kmer"])
 
-    return rows.mapInArrow(cut, _shape(frame, keep, LongType()))
+    kind = LongType() if k <= PACKED else StructType([StructField(f"p{i}", LongType(), True) for i in range(len(_sizes(k)))])
+    own = [StructField(f.name, f.dataType, True) for f in frame.select(*keep).schema]
+    return rows.mapInArrow(cut, StructType([*own, StructField("kmer", kind, True)]))
 
 
-def _shape(frame: DataFrame, keep: list[str], kind) -> StructType:
-    return StructType([*(StructField(f.name, f.dataType, True) for f in frame.select(*keep).schema), StructField("kmer", kind, True)])
+def _column(kmer: tuple[np.ndarray, ...], valid: np.ndarray) -> pa.Array:
+    if len(kmer) == 1:
+        return pa.array(kmer[0], mask=~valid)
+    return pa.StructArray.from_arrays([pa.array(x) for x in kmer], names=[f"p{i}" for i in range(len(kmer))], mask=pa.array(~valid))
 
 
-def _packed(column, k: int, jump: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, kmer, valid) of the windows of the texts, AT_ONCE letters at a time."""
-    for i, text in enumerate(column):
-        raw = np.frombuffer(text.as_py().encode("latin-1", "replace"), np.uint8)
-        free = 0  # the first window that may begin
-        for low in range(0, len(raw) - k + 1, AT_ONCE):
-            code = _CODE[raw[low : low + AT_ONCE + k - 1]]
-            kmer, valid = pack(code, k)
-            use = np.ones(len(kmer), bool)
-            if jump:
+def _sizes(k: int) -> list[int]:
+    """Letters of the longs of a k-mer."""
+    whole = (k - 1) // PACKED
+    return [k - whole * PACKED, *[PACKED] * whole]
+
+
+def kmer_letters(kmer: Column, k: int) -> Column:
+    """The letters of a packed k-mer."""
+    part = lambda x, n: F.concat(*[F.substring(F.lit("ACGT"), F.shiftright(x, 2 * i).bitwiseAND(3).cast("int") + 1, F.lit(1)) for i in reversed(range(n))])
+    return part(kmer, k) if k <= PACKED else F.concat(*[part(kmer[f"p{i}"], n) for i, n in enumerate(_sizes(k))])
+
+
+def _letters(column) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all letters of a column's texts, one for each character, and where the rows begin and end."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if len(raw) and raw.max() >= 0x80:
+        heads = (raw & 0xC0) != 0x80
+        offsets, raw = np.concatenate([[0], np.cumsum(heads)])[offsets], raw[heads]
+    return _CODE[raw], offsets
+
+
+def _packed(column, k: int, jump: bool) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
+    """(row, kmer, valid) of the windows of the texts, about AT_ONCE at a time, over many rows together."""
+    code, offsets = _letters(column)
+    if jump:
+        for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            free = first  # the first window that may begin
+            for low in range(first, last - k + 1, AT_ONCE):
+                kmer, valid = pack(code[low : min(low + AT_ONCE + k - 1, last)], k)
+                use = np.ones(len(valid), bool)
                 free = low + _skip(use, valid, k, max(0, free - low))
-            yield np.full(int(use.sum()), i), kmer[use], valid[use]
+                yield np.full(int(use.sum()), i), tuple(x[use] for x in kmer), valid[use]
+        return
+    for low in range(0, len(code) - k + 1, AT_ONCE):
+        kmer, valid = pack(code[low : low + AT_ONCE + k - 1], k)
+        at = low + np.arange(len(valid))
+        row = np.searchsorted(offsets, at, side="right") - 1
+        use = at + k <= offsets[row + 1]  # not those that reach into the next row
+        yield row[use], tuple(x[use] for x in kmer), valid[use]
 
 
-def pack(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical k-mers of letter codes as longs, and which windows hold no other letter.
+def pack(code: np.ndarray, k: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Canonical k-mers of letter codes as longs (see kmer_rows), and which hold no other letter.
 
-    A window of n letters is two of its halves, so windows grow by doubling, and k takes the powers of two in it.
+    A window of n letters is two of its halves, so windows grow by doubling. Longer ones are put side by side; on the
+    other strand the parts are those of windows that lie as far from the end. The strands are compared part by part.
     """
     other = np.concatenate([[0], np.cumsum(code > 3)])
     n = len(code) - k + 1
+    valid = other[k:] == other[:n]
+    sizes = _sizes(k)
+    steps = _doubled(code, max(sizes))
+    strands = {size: _strands(steps, size, len(code) - size + 1) for size in set(sizes)}
+    ahead, back, smaller, same, at = [], [], np.zeros(n, bool), np.ones(n, bool), 0
+    for size in sizes:
+        f, r = strands[size][0][at : at + n], strands[size][1][k - at - size :][:n]
+        smaller |= same & (r < f)
+        same &= r == f
+        ahead.append(f)
+        back.append(r)
+        at += size
+    return tuple(np.where(smaller, r, f) for f, r in zip(ahead, back, strict=True)), valid
+
+
+def _doubled(code: np.ndarray, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both strands of the windows of 1, 2, 4, ... letters up to k."""
     base = (code & 3).astype(np.int64)
-    step = {1: (base, 3 - base)}
-    size = 1
+    steps, size = {1: (base, 3 - base)}, 1
     while 2 * size <= k:
-        f, r = step[size]
-        shift = 2 * size
-        step[2 * size] = (f[:-size] << shift | f[size:], r[size:] << shift | r[:-size])
+        f, r = steps[size]
+        steps[2 * size] = (f[:-size] << 2 * size | f[size:], r[size:] << 2 * size | r[:-size])
         size *= 2
+    return steps
+
+
+def _strands(steps: dict[int, tuple[np.ndarray, np.ndarray]], k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both strands of the n windows of k letters, from the powers of two in k."""
     forward, back, done = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-    for size in sorted(step, reverse=True):
+    for size in sorted(steps, reverse=True):
         if k & size:
-            f, r = (x[done : done + n] for x in step[size])
+            f, r = (x[done : done + n] for x in steps[size])
             forward = forward << (2 * size) | f
             back = back | r << (2 * done)
             done += size
-    return np.minimum(forward, back), other[k:] == other[:n]
+    return forward, back
 
 
 def _skip(use: np.ndarray, valid: np.ndarray, k: int, free: int) -> int:
@@ -107,30 +159,6 @@ def _skip(use: np.ndarray, valid: np.ndarray, k: int, free: int) -> int:
     return free
 
 
-def _long_jumps(rows: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """Windows too long to be packed: only where they begin is worked out in numpy, letters are cut in the JVM."""
-    shape = _shape(rows, ["__seq", *keep], LongType())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(0)):
-                code = _CODE[np.frombuffer(text.as_py().encode("latin-1", "replace"), np.uint8)]
-                other = np.concatenate([[0], np.cumsum(code > 3)])
-                valid = other[k:] == other[:-k]
-                use = np.ones(len(valid), bool)
-                _skip(use, valid, k, 0)
-                starts = np.flatnonzero(use)
-                for low in range(0, len(starts), BLOCK):
-                    part = starts[low : low + BLOCK]
-                    first, last = int(part[0]), int(part[-1]) + k
-                    texts = pa.array([text.as_py()[first:last]]).take(pa.array(np.zeros(len(part), np.int64)))
-                    own = [c.take(pa.array(np.full(len(part), i))) for c in batch.columns[1:]]
-                    yield pa.RecordBatch.from_arrays([texts, *own, pa.array(part - first + 1)], names=["__seq", *keep, "kmer"])
-
-    found = rows.mapInArrow(cut, shape)
-    return found.select(*keep, canonical_kmer(F.substring("__seq", F.col("kmer").cast("int"), F.lit(k))).alias("kmer"))
-
-
 def kmer_index(windows: DataFrame) -> DataFrame:
     """(kmer, end_idx, n, n_lowest): the end that holds a k-mer, 0 if several do; n and n_lowest count its
     occurrences, all and in the lowest end."""

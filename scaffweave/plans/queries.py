@@ -304,6 +304,16 @@ def agg_kmer_index(spark, sf):
     return km.kmer_counters(km.kmer_index(_windows(spark, sf).withColumnRenamed("doc_id", "end_idx").withColumn("end_idx", F.col("end_idx") + 1)))
 
 
+@_query("""select count(*) n_recorded, cast(sum(n - 1) as bigint) n_collisions, count(*) filter (where lo = hi) n_unique, cast(coalesce(sum(n - n_low) filter (where lo <> hi), 0) as bigint) n_removed from (
+    select kmer, min(item_id) lo, max(item_id) hi, sum(n) n, arg_min(n, item_id) n_low from (select kmer, item_id, count(*) n from
+      (select item_id, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (select item_id, substr(seq, i, 40) w from
+        (select item_id, translate(seq, ' ', '') seq, unnest(range(1, length(translate(seq, ' ', '')) - 38)) i from reads))) group by all) group by kmer)""")
+def kmer_index_of_40(spark, sf):
+    """Counters of an index of 40-mers, which two longs hold."""
+    reads = st.table(spark, sf, "benchmark").select((F.col("item_id") + 1).alias("end_idx"), F.translate(st.bases(F.col("text")), " ", "").alias("seq"))
+    return km.kmer_counters(km.kmer_index(km.kmer_rows(reads, "seq", 40, ["end_idx"])))
+
+
 @_query("""select item_id, end_idx, cnt from (
     select item_id, end_idx, cnt, total, row_number() over (partition by item_id order by cnt desc, end_idx) k from (
       select r.item_id, x.doc_id + 1 end_idx, count(*) cnt from reads_canon r join (select kmer, min(doc_id) doc_id from canon where kmer is not null group by kmer having min(doc_id) = max(doc_id)) x using (kmer) group by all)

@@ -253,9 +253,9 @@ def jumping(text, k):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 5, 12, 31, 33])
+@pytest.mark.parametrize("k", [1, 5, 12, 31, 32, 33, 47, 62, 63, 95])
 def test_kmer_rows_equal_brute_force(spark, monkeypatch, k):
-    """All windows and jumping ones, packed and as strings, over blocks, long breaks, small letters and other letters."""
+    """All windows and jumping ones, in one long and in two, over blocks, long breaks, small letters and other letters."""
     monkeypatch.setattr(km, "BLOCK", 40)
     rng = random.Random(k)
     texts = ["".join(rng.choice("ACGTacgtN" if i % 2 else "ACGT") for _ in range(rng.randrange(0, 200))) for i in range(12)]
@@ -263,7 +263,14 @@ def test_kmer_rows_equal_brute_force(spark, monkeypatch, k):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, seq string")
 
     def shown(x):
-        return x if x is None or isinstance(x, str) else "".join("ACGT"[x >> 2 * i & 3] for i in reversed(range(k)))
+        if x is None or isinstance(x, str):
+            return x
+        if k > km.PACKED:
+            return "".join(letters(v, k - km.PACKED * (len(x) - 1) if i == 0 else km.PACKED) for i, v in enumerate(x))
+        return letters(x, k)
+
+    def letters(x, n):
+        return "".join("ACGT"[x >> 2 * i & 3] for i in reversed(range(n)))
 
     for jump in (False, True):
         got = {}
@@ -286,6 +293,20 @@ def test_packing_over_blocks(monkeypatch):
         assert valid == [w is not None for w in want]
 
 
+@pytest.mark.parametrize("k", [12, 40])
+def test_index_of_long_kmers(spark, k):
+    """Letters of packed k-mers, and a read that is placed by them on the end that it was cut from."""
+    rng = random.Random(k)
+    ends = [(i + 1, "".join(rng.choice("ACGT") for _ in range(300))) for i in range(4)]
+    frame = spark.createDataFrame(ends, "end_idx long, seq string")
+    rows = km.kmer_rows(frame, "seq", k, ["end_idx"])
+    got = {r.text for r in rows.select(km.kmer_letters(F.col("kmer"), k).alias("text")).collect()}
+    assert got == {jumping(t[j : j + k], k)[0] for _, t in ends for j in range(301 - k)}
+    reads = spark.createDataFrame([(7, ends[2][1][50:200]), (8, "N" * 100), (9, ends[0][1][:60] + ends[1][1][:99])], "read long, seq string")
+    best = km.best_contig(km.kmer_rows(reads, "seq", k, ["read"]), km.kmer_index(rows), 0.1, ["read"])
+    assert {(r.read, r.end_idx, r.cnt) for r in best.collect()} == {(7, 3, 151 - k), (9, 2, 100 - k)}
+
+
 def test_fasta_index_over_many_ranges(spark):
     rng = random.Random(6)
     rows = [(f, i, f"c{i}", rng.randrange(1, 50)) for f in ("a", "b") for i in range(40)]
