@@ -38,14 +38,16 @@ BUILDS = 3
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors in double precision; none for null, empty, zero or non-finite ones."""
     for batch in batches:
-        out = []
-        for v in batch.column(1).to_pylist():
-            x = None if v is None or not len(v) or any(c is None for c in v) else np.asarray(v, np.float64)
-            if x is not None and np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
+        column = batch.column(1)
+        values = column.values.to_numpy(zero_copy_only=False)  # null components are not numbers there
+        bounds, nulls, out = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False), []
+        for i in range(batch.num_rows):
+            x = values[bounds[i] : bounds[i + 1]]
+            if nulls[i] or not len(x) or not np.isfinite(x).all() or not (top := np.abs(x).max()) > 0:
+                out.append(None)
+            else:
                 x = x / top
                 out.append((x / np.linalg.norm(x)).tobytes())
-            else:
-                out.append(None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec", "unit"])
 
 
@@ -238,10 +240,10 @@ def _audit(sample: np.ndarray, ids: np.ndarray, cosine: float):
     return audit
 
 
-def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, report: dict | None = None) -> DataFrame:
     """One row per vector: key, n_links, component_id, kept.
 
-    Equal unit vectors are one class with its smallest key. NN-descent gives each class a list of near
+    Equal unit vectors are one class, which has a number of its own and its smallest key. NN-descent gives each class a list of near
     ones; pairs at the threshold are edges. A list that is full of edges is saturated, and its vector may
     have more: so lists are enlarged to the whole component of edges, and the vectors with full lists look for
     neighbours in other components. The vectors of a component are compared in double precision in cells of
@@ -250,17 +252,19 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     threshold, the links of the final components.
     An audit counts the linked classes of a sample of linked vectors by brute force; if less than RECALL of
     them were found, the graph is built again with twice the lists and tables, and the edges of all count.
-    If BUILDS graphs fail, all vectors of that length are compared, in the same cells.
+    If BUILDS graphs fail, all vectors of that length are compared, in the same cells. `report` gets the last recall
+    by length, None where no vector that was looked at is linked, so that nothing could be measured.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, nor do those
-    of different lengths with each other. Repeated rows are vectors of their own. A null key gives a row
-    with no component. An empty table gives no rows; other columns are ignored.
+    of different lengths with each other. Repeated rows are vectors of their own, and so are different vectors with one
+    key. A vector with a null key counts like others; its component is the smallest key that links reach, null if they
+    reach none, and kept is null. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     n = partitions(spark)
     rows = checkpoint(vectors.select(F.col(key).cast("long").alias("vec"), F.col(embedding).cast("array<double>")).mapInArrow(_unit, "vec long, unit binary"))
-    classes = rows.filter("unit is not null and vec is not null").groupBy("unit").agg(F.min("vec").alias("rep"), F.count("*").alias("n"))
-    classes = checkpoint(classes.groupBy("rep").agg(F.max_by("unit", "n").alias("unit"), F.max("n").alias("n")))
+    classes = rows.filter("unit is not null").groupBy("unit").agg(F.min("vec").alias("key"), F.count("*").alias("n"))
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
     lengths = [r[0] for r in classes.select(F.octet_length("unit").alias("size")).distinct().collect()]
     groups, whole, wanted = None, [], [(size, NEIGHBOURS, TABLES, 0) for size in lengths]
     result = None
@@ -275,13 +279,18 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
             if seed:  # components of more than one graph
                 groups = connected_components(groups).toDF("a", "b")
         result = checkpoint(_linked(groups, classes, cosine, n, whole))
-        wanted = [(size, 2 * k, 2 * tables, seed + 1) for size, k, tables, seed in wanted if seed < BUILDS and recall(result, classes, size, cosine) < RECALL]
+        share = {size: recall(result, classes, size, cosine) for size, _, _, seed in wanted if seed < BUILDS}
+        if report is not None:
+            report.update(share)
+        wanted = [(size, 2 * k, 2 * tables, seed + 1) for size, k, tables, seed in wanted if share.get(size) is not None and share[size] < RECALL]
     if result is None:
         result = spark.createDataFrame([], "rep long, links long, pairs long, component long")
-    found = classes.select("unit", F.col("rep"), "n").join(result, "rep", "left")
+    # the smallest key of a component; classes without a key have none to give
+    names = result.join(classes.select("rep", "key"), "rep").groupBy("component").agg(F.min("key").alias("least"))
+    found = classes.join(result, "rep", "left").join(names, "component", "left").select("unit", "key", "n", "links", "least")
     return (
         rows.join(found, "unit", "left")
-        .withColumn("component_id", F.coalesce("component", "rep", "vec"))
+        .withColumn("component_id", F.coalesce("least", "key", "vec"))
         .select(F.col("vec").alias(key), F.coalesce(F.coalesce("links", F.lit(0)) + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec") == F.col("component_id")).alias("kept"))
     )
 
@@ -310,21 +319,32 @@ def _linked(groups: DataFrame, classes: DataFrame, cosine: float, n: int, whole:
     return links.join(comps, "rep", "left")
 
 
-def recall(result: DataFrame, classes: DataFrame, size: int, cosine: float = COSINE) -> float:
+def recall(result: DataFrame, classes: DataFrame, size: int, cosine: float = COSINE) -> float | None:
     """The mean share of its linked classes, found by comparison with all, that the result has for a linked vector.
 
-    Vectors are looked through in the order of a hash until AUDIT linked ones are seen, ASKED at most. 1 if none is.
+    Vectors are looked through in the order of a hash until AUDIT linked ones are seen, ASKED at most; if these are too
+    few, vectors that the result links are asked too. None if no vector asked is linked: then recall is unmeasured.
     """
-    own = classes.filter(F.octet_length("unit") == size)
-    sample = own.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(ASKED).select("rep", "unit").collect()
+    own = classes.filter(F.octet_length("unit") == size).select("rep", "unit", F.xxhash64(F.lit("audit"), "rep").alias("at"))
+    sample = own.orderBy("at", "rep").limit(ASKED).collect()
+    linked, found = _share(result, own, sample, cosine, AUDIT)
+    if linked < AUDIT and len(sample) == ASKED:
+        others = own.filter(F.col("at") > sample[-1].at).join(result.filter("pairs > 0").select("rep"), "rep", "left_semi")
+        more = _share(result, own, others.orderBy("at", "rep").limit(AUDIT - linked).collect(), cosine, AUDIT)
+        linked, found = linked + more[0], found + more[1]
+    return found / linked if linked else None
+
+
+def _share(result: DataFrame, own: DataFrame, sample: list, cosine: float, enough: int) -> tuple[int, float]:
+    """How many of the sample are linked, until there are enough, and the sum of the shares that the result has of their links."""
     linked, found = 0, 0.0
     for low in range(0, len(sample), ASKED_AT_ONCE):
         part = sample[low : low + ASKED_AT_ONCE]
-        ids = np.array([r[0] for r in part], np.int64)
-        units = np.frombuffer(b"".join(bytes(r[1]) for r in part), np.float64).reshape(len(part), -1)
+        ids = np.array([r.rep for r in part], np.int64)
+        units = np.frombuffer(b"".join(bytes(r.unit) for r in part), np.float64).reshape(len(part), -1)
         true = own.select("rep", "unit").mapInArrow(_audit(units, ids, cosine), "rep long, true_pairs long").groupBy("rep").agg(F.sum("true_pairs").alias("true_pairs"))
         both = true.filter("true_pairs > 0").join(result, "rep", "left").agg(F.count("*"), F.sum(F.coalesce("pairs", F.lit(0)) / F.col("true_pairs"))).first()
         linked, found = linked + both[0], found + (both[1] or 0.0)
-        if linked >= AUDIT:
+        if linked >= enough:
             break
-    return found / linked if linked else 1.0
+    return linked, found

@@ -574,6 +574,45 @@ def test_audit_counts_small_groups_beside_a_hot_one(spark):
     assert embeddings.recall(spark.createDataFrame([(i, 1, 1, i // 2 * 2) for i in range(40)], hot.schema), classes, 128) == 1
 
 
+def test_embeddings_count_null_and_repeated_keys(spark):
+    """A null key is a vector like others; different vectors with one key both keep their links."""
+    rng = np.random.default_rng(8)
+    x = unit_rows(rng.standard_normal((6, 16)))
+    near = unit_rows(x[2:3] + 0.02 * unit_rows(rng.standard_normal((1, 16))))[0]
+    rows = [(1, x[0]), (None, x[0]), (None, x[0]), (None, x[1]), (None, x[1]), (9, x[2]), (9, x[3]), (4, near), (None, 2 * near), (7, x[3]), (None, None)]
+    frame = spark.createDataFrame([(k, None if v is None else [float(c) for c in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in embeddings.embedding_links(frame).collect())
+    want = [(1, 2, 1, True), *[(-1, 2, 1, None)] * 2, *[(-1, 1, -1, None)] * 2, (9, 2, 4, False), (9, 1, 7, False), (4, 2, 4, True), (-1, 2, 4, None), (7, 1, 7, True), (-1, 0, -1, None)]
+    assert got == sorted(want, key=lambda r: r[:3])
+
+
+def test_recall_is_told_and_never_assumed(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ASKED", 64)
+    rng = np.random.default_rng(9)
+    x = unit_rows(rng.standard_normal((900, 24)))
+    frame = lambda v: spark.createDataFrame([(i, [float(c) for c in u]) for i, u in enumerate(v)], "vec_id long, embedding array<double>")
+    report = {}
+    assert all(r.n_links == 0 for r in embeddings.embedding_links(frame(x), report=report).collect()) and report == {192: None}
+    x[1] = unit_rows(x[:1] + 0.05 * unit_rows(rng.standard_normal((1, 24))))[0]  # one pair, which few of those asked would be in
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(frame(x), report=report).collect()}
+    assert got == brute_links(x) and report == {192: 1.0}
+
+
+def test_planted_pairs_through_the_registered_query(spark, tmp_path):
+    from scaffweave.llm.queries import QUERIES
+
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((1200, 32))
+    for i in range(0, 120, 3):
+        x[i + 1] = x[i] + 0.25 * rng.random() * rng.standard_normal(32)
+        x[i + 2] = x[i + 1] + 0.2 * rng.random() * rng.standard_normal(32)
+    x[400:460] = x[399] + 0.15 * rng.standard_normal((60, 32))
+    x[500:700] = x[499]
+    spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op6_embedding_dedup"](spark, str(tmp_path)).collect()}
+    assert got == brute_links(unit_rows(x.astype(np.float32).astype(np.float64)))
+
+
 def test_embeddings_are_compared_whole_if_graphs_fail(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL", 200)
     monkeypatch.setattr(embeddings, "_edges", lambda vectors, *_: vectors.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
