@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     """docs with n_words, n_removed, kept_sha256, and with_text kept_text (the text itself if nothing goes).
 
     A word goes if a run of 50 words that covers it also starts in a document with a smaller key. Documents
-    are dealt into chunks of about 8 MB by a hash of their key. (1) Every chunk sends its rolling runs of 25
+    are dealt into chunks of about 8 MB by a hash of key and text, so a key of very many rows is not one chunk. (1) Every chunk sends its rolling runs of 25
     words, one entry for each different run, to buckets of hash ranges, with a mark on the reference blocks
     (runs at multiples of 25); (2) a bucket tells each chunk which of its runs equal a reference block and
     stand in two documents; (3) chunks extend these hits to all windows of 50 words around them and send
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     buckets = max(shuffles, -(-size // (6 * BUCKET_WORDS)))
     last = F.lit(2**63 - 1)
     columns = [*kept, *([] if text in kept else [text])]
-    placed = docs.select(*columns, F.coalesce(F.col(key), last).alias("__key"), F.pmod(F.xxhash64(F.lit("chunk"), key), F.lit(chunks)).alias("chunk"))
+    placed = docs.select(*columns, F.coalesce(F.col(key), last).alias("__key"), F.pmod(F.xxhash64(F.lit("chunk"), key, text), F.lit(chunks)).alias("chunk"))
     placed = placed.repartition(shuffles, "chunk")
     probes = placed.groupBy("chunk").applyInArrow(_probe(text, buckets), "bucket long, chunk long, keys binary")
     hits = probes.groupBy("bucket").applyInArrow(_match, "chunk long, keys binary")
