@@ -54,21 +54,27 @@ def sample_by_hash(frame: DataFrame, key: str, bound: int, seed: int = 17) -> Da
     return frame.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**31)) < share)
 
 
-#: Rows of one key and bytes of one text that a model learns from, at most; see learning_texts.
+#: What a model learns from, at most: texts of one key, characters of one text (its first ones), bytes of all texts.
 KEY_ROWS = 4
-LEARNED = 1 << 16
+LEARNED = 1 << 20
+LEARN_BYTES = 1 << 27
 
 
 def learning_texts(docs: DataFrame, chosen: DataFrame, key: str, text: str, bound: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels of the chosen (key, y), in the order of key and text: what a model on the driver learns from.
 
-    Bounded in rows and bytes: of a key's different texts the KEY_ROWS first by hash; texts of more than LEARNED
-    bytes are left out. bound * KEY_ROWS * LEARNED is the most that can arrive.
+    Bounded in rows and bytes: of a key's different texts the KEY_ROWS first by hash, of a text its first LEARNED
+    characters, and of all these, in the order of a hash, as many as LEARN_BYTES hold. So long texts
+    teach like others, only fewer of them.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen.select(F.col(key).alias("k"), "y")), "k")
-    rows = rows.filter(F.col("t").isNotNull() & (F.octet_length("t") <= LEARNED)).groupBy("k", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y"))
-    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("h"))).filter(F.col("n") <= KEY_ROWS)
-    got = sorted(((r.k, r.t, int(r.y)) for r in few.select("k", "t", "y").collect()), key=lambda r: r[:2])
+    rows = rows.filter(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    rows = rows.groupBy("k", "h").agg(F.first(F.substring("t", 1, LEARNED)).alias("t"), F.max("y").alias("y"))
+    few = checkpoint(rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("h"))).filter(F.col("n") <= KEY_ROWS))
+    bytes_so_far = F.sum(F.col("size")).over(Window.orderBy("at", "k", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = few.select("k", "h", F.xxhash64("k", "h", F.lit("learn")).alias("at"), F.octet_length("t").cast("long").alias("size"))  # bound * KEY_ROWS rows
+    kept = few.join(F.broadcast(sizes.withColumn("total", bytes_so_far).filter(F.col("total") <= LEARN_BYTES).select("k", "h")), ["k", "h"])
+    got = sorted(((r.k, r.t, int(r.y)) for r in kept.select("k", "t", "y").collect()), key=lambda r: r[:2])
     return [r[1] for r in got], np.array([r[2] for r in got], np.int64)
 
 

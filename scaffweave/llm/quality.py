@@ -119,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key:
     """A model from at most about `bound` labelled documents that are not held out; an even prior if there are none.
 
     Of rows that repeat a key or a text, each different (label, text) counts once, and of one key's at most
-    KEY_ROWS; longer texts than LEARNED bytes teach nothing. So what reaches the driver is bounded in bytes.
+    KEY_ROWS, with their first LEARNED characters, and not more than LEARN_BYTES in all.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(key, F.col(label).alias("y"))
     chosen = sample_by_hash(known.groupBy(key).agg(F.max("y").alias("y")), key, bound)

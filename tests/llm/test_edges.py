@@ -389,7 +389,55 @@ def test_learning_texts_are_bounded(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     chosen = spark.createDataFrame([(i, 1) for i in range(1, 5)], "doc_id long, y int")
     texts, y = common.learning_texts(table, chosen, "doc_id", "text", 10)
-    assert len(texts) == common.KEY_ROWS + 1 == len(y) and texts[-1] == "a"
+    assert len(texts) == common.KEY_ROWS + 2 == len(y) and texts[-2:] == ["a", "b" * 70_000]
+
+
+def test_long_texts_teach_too(spark, monkeypatch):
+    """A corpus of long texts gives as many of them as the bytes allow, each by its first characters."""
+    monkeypatch.setattr(common, "LEARNED", 1000)
+    monkeypatch.setattr(common, "LEARN_BYTES", 20_500)
+    table = spark.createDataFrame([(i, f"{i} " * 9000) for i in range(100)], "doc_id long, text string")
+    chosen = table.selectExpr("doc_id", "cast(doc_id % 2 as int) y")
+    texts, y = common.learning_texts(table, chosen, "doc_id", "text", 100)
+    assert len(texts) == 20 and all(len(t) == 1000 for t in texts)
+    assert [int(t.split()[0]) % 2 for t in texts] == y.tolist() and 0 < y.sum() < 20
+
+
+def test_a_third_of_null_keys_is_dealt_like_others(spark):
+    """Buckets of op8 and chunks of op1 where a third of all ids are null; results stay the same."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) doc_id", "concat('t ', id) text")
+    sized = docs.select("doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    counts = [r["count"] for r in sized.groupBy(sharding.slot_bucket(F.col("doc_id"), F.col("size"), F.col("crc"), 16)).count().collect()]
+    assert len(counts) == 16 and max(counts) < 2 * np.median(counts)
+    slots = {}
+    for r in sharding.assign_shards(docs, 5).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"n{i} {passage} {i}") for i in range(30)] + [(5, f"five {passage}"), (9, passage)]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([*[(None, 62, 60)] * 30, (5, 61, 0), (9, 60, 60)], key=str)
+
+
+def test_shards_by_a_second_implementation_of_the_hash(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def score(shard, key, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), 42)
+        if key is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        return -weight / math.log(((h >> 11) + 0.5) / 2**53)
+
+    def best(key, weights):
+        return max((score(i, key, w), i) for i, w in enumerate(weights))[1]
+
+    docs = spark.range(-50, 250).selectExpr("if(id = 0, null, id * 1234567) doc_id", "'x' text")
+    for weights in ([1.0] * 24, [1.0, 2.0, 0.5]):
+        for r in sharding.assign_shards(docs, len(weights), weights).collect():
+            assert (r.shard, r.grown_shard) == (best(r.doc_id, weights), best(r.doc_id, [*weights, sum(weights) / len(weights)]))
 
 
 def quality_features(text):
