@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -24,8 +24,9 @@ for _i, _c in enumerate(b"ACGT"):
     _CODE[[_c, _c + 32]] = _i
 
 
-def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool = False) -> DataFrame:
+def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool = False, place: bool = False) -> DataFrame:
     """(keep..., kmer): a row for each window of length k; kmer is canonical, null if it holds other than ACGT.
+    With place (not where windows jump) also `place`, the letter from 0 that the window begins with.
 
     Up to PACKED letters a k-mer is a long of two bits a letter, in the order of the letters; a longer one is a struct
     of longs p0, p1, ..., all but the first of PACKED letters. Sequences are cut into overlapping blocks, which are dealt
@@ -35,18 +36,25 @@ def kmer_rows(frame: DataFrame, seq: str, k: int, keep: list[str], jump: bool =
     rows = frame.select(F.col(seq).alias("__seq"), *keep).filter(F.length("__seq") >= k)
     if not jump:
         starts = F.sequence(F.lit(1), F.length("__seq") - k + 1, F.lit(BLOCK))
-        parts = F.explode(F.transform(starts, lambda i: F.substring("__seq", i, F.lit(BLOCK + k - 1)))).alias("__seq")
-        rows = rows.select(parts, *keep).repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = F.explode(F.transform(starts, lambda i: F.struct(F.substring("__seq", i, F.lit(BLOCK + k - 1)).alias("__seq"), (i - 1).cast("long").alias("__from"))))
+        rows = rows.select(parts.alias("__part"), *keep).select("__part.__seq", *keep, *(["__part.__from"] if place else []))
+        rows = rows.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = batch.columns[1 : 1 + len(keep)]
+            begin = batch.column(1 + len(keep)).to_numpy().copy() if place else None
             for row, kmer, valid in _packed(batch.column(0), k, jump):
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), _column(kmer, valid)], names=[*keep, "kmer"])
+                columns = [*(c.take(at) for c in own), _column(kmer, valid)]
+                if place:
+                    columns.append(pa.array(begin[row] + np.arange(len(row)) - np.searchsorted(row, row)))
+                    begin += np.bincount(row, minlength=len(begin))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "kmer", *["place"] * place])
 
     kind = LongType() if k <= PACKED else StructType([StructField(f"p{i}", LongType(), True) for i in range(len(_sizes(k)))])
     own = [StructField(f.name, f.dataType, True) for f in frame.select(*keep).schema]
-    return rows.mapInArrow(cut, StructType([*own, StructField("kmer", kind, True)]))
+    return rows.mapInArrow(cut, StructType([*own, StructField("kmer", kind, True), *[StructField("place", LongType(), True)] * place]))
 
 
 def _column(kmer: tuple[np.ndarray, ...], valid: np.ndarray) -> pa.Array:
@@ -228,3 +236,25 @@ def kmer_end_counts(pairs: DataFrame, mult: DataFrame, index: DataFrame, ends: D
     agreed = best.groupBy("file", "pair", "barcode").agg(F.count("*").alias("mates"), F.min("end_idx").alias("low"), F.max("end_idx").alias("high")).filter("mates = 2 and low = high")
     placed = agreed.select("barcode", F.col("low").alias("end_idx")).join(ends.select("end_idx", "contig", "is_head"), "end_idx")
     return placed.groupBy("barcode", "contig", "is_head").agg(F.count("*").alias("n"))
+
+
+def streak_scores(windows: DataFrame, index: DataFrame, read: list[str], k: int) -> DataFrame:
+    """(read..., n_windows, n_hits, n_streaks, longest, score, share): how well runs of an index's k-mers cover a read.
+
+    `windows` has a row for each window (kmer_rows with place). A streak is a run of neighbouring windows that the index
+    holds, whatever their ends; its first window counts a half and every further one 1. (A formula that adds
+    1 - 1 / (2 n) for the n-th, but divides whole numbers, gives just that.) All windows are looked at: there is no early
+    accept or reject, and none is passed over after a streak. longest is in letters, share is score by
+    window. Reads with no windows have no row.
+    """
+    known = windows.join(index.select("kmer", F.lit(1).alias("hit")), "kmer", "left").select(*read, "place", "hit")
+    streaks = Window.partitionBy(*read).orderBy("place")
+    began = F.when(F.col("hit").isNotNull() & F.lag("hit").over(streaks).isNull(), 1).otherwise(0)
+    placed = known.withColumn("__new", began).withColumn("__streak", F.sum("__new").over(streaks.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = placed.groupBy(*read, F.when(F.col("hit").isNotNull(), F.col("__streak")).alias("__streak")).agg(F.count("*").alias("__n"))
+    hit = F.col("__streak").isNotNull()
+    out = runs.groupBy(*read).agg(
+        F.sum("__n").alias("n_windows"), F.coalesce(F.sum(F.when(hit, F.col("__n"))), F.lit(0)).alias("n_hits"), F.count("__streak").alias("n_streaks"),
+        F.coalesce(F.max(F.when(hit, F.col("__n") + k - 1)), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.when(hit, F.col("__n") - 0.5)), F.lit(0)).cast("double").alias("score"),
+    )
+    return out.withColumn("share", F.col("score") / F.col("n_windows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,19 @@ def number_rows(frame: DataFrame, order: list[str], name: str = "idx", start: in
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     numbered = ranged.withColumn("__place", place).join(begins, "__range")
     return numbered.withColumn(name, (F.col("__begin") + F.col("__place") - 1 + start).cast("long")).drop("__range", "__place", "__begin")
+
+
+def sums_before(frame: DataFrame, value: Column, by: list[str], order: list[str], name: str) -> DataFrame:
+    """frame with `name`: the sum of `value` over the rows before, in the order of the columns, for each `by`.
+
+    Rows are dealt by ranges of the order and summed within each range; each range begins with the sum of the ranges
+    before, so no value of `by` is one task.
+    """
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(frame.withColumn("__value", value).repartitionByRange(n, *by, *order).withColumn("__range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "__range").agg(F.sum("__value").alias("__sum"))
+    begins = totals.withColumn("__begin", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    within = F.sum("__value").over(Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("__within", F.coalesce(within, F.lit(0))).join(begins, [*by, "__range"])
+    return placed.withColumn(name, F.col("__begin") + F.col("__within")).drop("__value", "__range", "__within", "__begin")

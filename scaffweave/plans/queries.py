@@ -19,6 +19,7 @@ from ..operators import longreads as lr
 from ..operators import pairs as pr
 from ..operators import sinks
 from ..operators.numbering import number_rows, shared_folder
+from ..sources import offsets
 from ..sources.sequences import fasta_index, read_fastq
 from . import standins as st
 
@@ -304,6 +305,42 @@ def agg_kmer_index(spark, sf):
     return km.kmer_counters(km.kmer_index(_windows(spark, sf).withColumnRenamed("doc_id", "end_idx").withColumn("end_idx", F.col("end_idx") + 1)))
 
 
+def _fasta_lines(spark, sf):
+    """The documents as lines of FASTA, a header and a sequence each."""
+    rows = st.solid_sequences(spark, sf)
+    two = F.array(F.struct((2 * F.col("doc_id")).alias("ord"), F.concat(F.lit(">"), F.col("name"), F.lit(" c")).alias("line")), F.struct((2 * F.col("doc_id") + 1).alias("ord"), F.col("seq").alias("line")))
+    return rows.select("file", F.explode(two).alias("l")).select("file", "l.ord", "l.line").withColumn("ord", F.col("ord").cast("long"))
+
+
+_FAI = "select doc_id, length(seq) size, sum(length(seq) + 5 + length(cast(doc_id as varchar))) over (order by doc_id) - length(seq) - 1 off from solid"
+
+
+@_query(f"select row_number() over (order by doc_id) - 1 ord, concat_ws(chr(9), doc_id, size, cast(off as bigint), size, size + 1) as value from ({_FAI})")
+def fasta_index_text(spark, sf):
+    return offsets.fai_lines(offsets.offset_index(_fasta_lines(spark, sf))).select("ord", "value")
+
+
+@_query(f"""select event_id, case when o - off < size then cast(doc_id as varchar) end contig_id, case when o - off < size then cast(o - off as bigint) end as position
+    from (select event_id, event_id * 7919 % 3000017 o from events) e asof left join ({_FAI}) i on e.o >= i.off""")
+def fasta_locate(spark, sf):
+    """Offsets that events give, as sequences and places in them."""
+    asked = st.table(spark, sf, "events").select("event_id", F.lit("documents").alias("file"), (F.col("event_id") * 7919 % 3000017).alias("offset"))
+    return offsets.locate(offsets.offset_index(_fasta_lines(spark, sf)), asked).select("event_id", "contig_id", "position")
+
+
+@_query("""select item_id, n_windows, coalesce(n_hits, 0) n_hits, coalesce(n_streaks, 0) n_streaks, coalesce(longest, 0) longest, coalesce(score, 0.0) score, coalesce(score, 0.0) / n_windows share
+    from (select item_id, cast(sum(n) as bigint) n_windows from (select item_id, greatest(length(seq) - 11, 0) n from reads) group by all having n_windows > 0)
+    left join (select item_id, cast(sum(n) as bigint) n_hits, count(*) n_streaks, max(n) + 11 longest, cast(sum(n - 0.5) as double) score from (select item_id, count(*) n from (
+      select item_id, i, i - row_number() over (partition by item_id order by i) g from (select r.item_id, r.i from
+        (select item_id, i, case when position(' ' in w) = 0 then least(w, reverse(translate(w, 'ACGT', 'TGCA'))) end kmer from (select item_id, i, substr(seq, i, 12) w from (select item_id, seq, unnest(range(1, length(seq) - 10)) i from reads))) r
+        join (select distinct kmer from canon where kmer is not null) x using (kmer))) group by item_id, g) group by item_id) using (item_id)""")
+def streak_score(spark, sf):
+    """How runs of the documents' 12-mers cover the benchmark's sequences."""
+    index = km.kmer_index(_windows(spark, sf).withColumn("end_idx", F.col("doc_id") + 1))
+    reads = st.table(spark, sf, "benchmark").select("item_id", st.bases(F.col("text")).alias("seq"))
+    return km.streak_scores(km.kmer_rows(reads, "seq", 12, ["item_id"], place=True), index, ["item_id"], 12)
+
+
 @_query("""select count(*) n_recorded, cast(sum(n - 1) as bigint) n_collisions, count(*) filter (where lo = hi) n_unique, cast(coalesce(sum(n - n_low) filter (where lo <> hi), 0) as bigint) n_removed from (
     select kmer, min(item_id) lo, max(item_id) hi, sum(n) n, arg_min(n, item_id) n_low from (select kmer, item_id, count(*) n from
       (select item_id, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) kmer from (select item_id, substr(seq, i, 40) w from
