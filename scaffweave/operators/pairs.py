@@ -82,10 +82,11 @@ def mirrored(frame: DataFrame, swap: dict[str, tuple[Column, Column]], same: lis
     return frame.select(*same, F.explode(rows).alias("__m")).select(*[f"__m.{name}" for name in swap], *same)
 
 
-def pair_table(pairs: DataFrame, imap: DataFrame, min_reads: int, all_barcodes: int) -> DataFrame:
+def pair_table(pairs: DataFrame, imap: DataFrame, min_reads: int, all_barcodes: int | DataFrame) -> DataFrame:
     """Rows for a hypergeometric test: u, v (with strands), best, shared, u_barcodes, v_barcodes, all_barcodes.
 
-    Two mirrored rows for each orientation with shared barcodes.
+    Two mirrored rows for each orientation with shared barcodes. all_barcodes is a number, or a relation of one row
+    and column with it, so that no action is needed while the plan is built.
     """
     ends = barcodes_per_end(imap, min_reads)
     side = lambda c: ends.select(F.col("contig").alias(c), F.col("is_head").alias(f"{c}_head"), F.col("barcodes").alias(f"{c}_barcodes"))
@@ -93,7 +94,10 @@ def pair_table(pairs: DataFrame, imap: DataFrame, min_reads: int, all_barcodes:
     rows = rows.join(side("u"), ["u", "u_head"], "left").join(side("v"), ["v", "v_head"], "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("u_barcodes", "v_barcodes")})
     rows = rows.withColumn("best", F.when(F.col("shared") == F.col("most"), F.lit("T")).otherwise(F.lit("F")))
-    rows = rows.withColumn("all_barcodes", F.lit(all_barcodes).cast("long"))
+    if isinstance(all_barcodes, DataFrame):
+        rows = rows.join(F.broadcast(all_barcodes.toDF("all_barcodes").withColumn("all_barcodes", F.col("all_barcodes").cast("long"))))
+    else:
+        rows = rows.withColumn("all_barcodes", F.lit(all_barcodes).cast("long"))
     u, v, o = F.col("u"), F.col("v"), F.col("orientation")
     flip = lambda c: F.translate(c, "+-", "-+")
     us, vs = sense_sign(o, True), sense_sign(o, False)

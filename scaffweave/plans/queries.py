@@ -19,8 +19,9 @@ from ..operators import longreads as lr
 from ..operators import pairs as pr
 from ..operators import sinks
 from ..operators.numbering import number_rows, shared_folder
+from ..operators.onefile import write_table
 from ..sources import offsets
-from ..sources.sequences import fasta_index, read_fastq
+from ..sources.sequences import fasta_index, read_fastq, read_records
 from . import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +232,7 @@ def graph_numbering(spark, sf):
     return gr.vertices(_edges(spark, sf))
 
 
-@_query("""select u || us u, v || vs v, best, shared, ub u_barcodes, vb v_barcodes, all_barcodes from (
+_PAIR_TSV = """select u || us u, v || vs v, best, shared, ub u_barcodes, vb v_barcodes, all_barcodes from (
     select p.u, p.v, us, vs, best, shared, coalesce(a.barcodes, 0) ub, coalesce(b.barcodes, 0) vb from (select u, v, o.orientation, o.shared, case when o.shared = greatest(hh, ht, th, tt) then 'T' else 'F' end best,
         case when o.orientation < 2 then '-' else '+' end us, case when o.orientation % 2 = 1 then '-' else '+' end vs from pairs, unnest([{'orientation': 0, 'shared': hh}, {'orientation': 1, 'shared': ht}, {'orientation': 2, 'shared': th}, {'orientation': 3, 'shared': tt}]) t(o)) p
     left join per_end a on a.contig = p.u and a.is_head = (p.orientation < 2) left join per_end b on b.contig = p.v and b.is_head = (p.orientation % 2 = 0) where shared > 0
@@ -239,13 +240,26 @@ def graph_numbering(spark, sf):
     select p.v, p.u, translate(vs, '+-', '-+'), translate(us, '+-', '-+'), best, shared, coalesce(b.barcodes, 0), coalesce(a.barcodes, 0) from (select u, v, o.orientation, o.shared, case when o.shared = greatest(hh, ht, th, tt) then 'T' else 'F' end best,
         case when o.orientation < 2 then '-' else '+' end us, case when o.orientation % 2 = 1 then '-' else '+' end vs from pairs, unnest([{'orientation': 0, 'shared': hh}, {'orientation': 1, 'shared': ht}, {'orientation': 2, 'shared': th}, {'orientation': 3, 'shared': tt}]) t(o)) p
     left join per_end a on a.contig = p.u and a.is_head = (p.orientation < 2) left join per_end b on b.contig = p.v and b.is_head = (p.orientation % 2 = 0) where shared > 0)
-    cross join (select count(*) all_barcodes from mult where mult between 550 and 650)""")
+    cross join (select count(*) all_barcodes from mult where mult between 550 and 650)"""
+
+
+@_query(_PAIR_TSV)
 def pair_tsv(spark, sf):
     imap = _imap(spark, sf)
-    total = pr.count_barcodes(imap, st.multiplicity(spark, sf), st.LOW, st.HIGH).first()["all_filtered"]
+    total = pr.count_barcodes(imap, st.multiplicity(spark, sf), st.LOW, st.HIGH).select("all_filtered")
     return pr.pair_table(_pairs(spark, sf), imap, st.MIN_READS, total)
 
 
+@_query(f"""select cast(row_number() over (order by part, u, v, best, line) - 1 as bigint) ord, line from (
+    select 0 part, '' u, '' v, '' best, concat_ws(chr(9), 'U', 'V', 'Best_orientation', 'Shared_barcodes', 'U_barcodes', 'V_barcodes', 'All_barcodes') line
+    union all select 1, u, v, best, concat_ws(chr(9), u, v, best, shared, u_barcodes, v_barcodes, all_barcodes) from ({_PAIR_TSV}))""")
+def sink_main_one_file(spark, sf):
+    """The table of links of pairs, written as one ordered file and read back line by line."""
+    path = f"{shared_folder(spark)}/main-{uuid.uuid4()}.tsv"
+    write_table(sinks.main_table(pair_tsv(spark, sf)), path, ["U", "V", "Best_orientation"])
+    return read_records(spark, [path]).select("ord", "line")
+
+
 @_query("select contig, is_head, barcodes from per_end")
 def agg_barcodes_per_end(spark, sf):
     return pr.barcodes_per_end(_imap(spark, sf), st.MIN_READS)

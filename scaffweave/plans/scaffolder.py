@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import bx_from_comment
 from ..operators import alignments as al
+from ..operators import checkpoint as ck
 from ..operators import contigs as ct
 from ..operators import distance as ds
 from ..operators import graph as gr
 from ..operators import kmers as km
 from ..operators import pairs as pr
 from ..operators import sinks
+from ..operators.onefile import write_one_file, write_table
 from ..params import ScaffoldParams
 from ..sources import sequences as sq
 
@@ -96,8 +98,7 @@ class Scaffolder:
         counts = pr.count_barcodes(result.imap, result.mult, p.min_mult, p.max_mult)
         sinks.write_lines(sinks.gv_lines(result.edges, "dist" if p.dist_est else None), f"{p.base_name}_original.gv")
         sinks.write_lines(sinks.dist_gv_lines(result.digraph, result.lengths), p.dist_graph_name)
-        total = counts.first()["all_filtered"]
-        sinks.write_tsv(sinks.main_table(pr.pair_table(result.pairs, result.imap, p.min_reads, total)), p.tsv_name, ["U", "V"])
+        sinks.write_tsv(sinks.main_table(pr.pair_table(result.pairs, result.imap, p.min_reads, counts.select("all_filtered"))), p.tsv_name, ["U", "V"])
         if p.output_pair:
             sinks.write_tsv(result.pairs, f"{p.base_name}_pair.tsv", ["u", "v"], header=False)
         if p.barcode_counts:
@@ -107,3 +108,21 @@ class Scaffolder:
             sinks.write_tsv(ds.distance_table(result.edges, result.stats), p.dist_tsv, ["contig1", "contig2"])
         if p.dist_est and p.samples_tsv:
             sinks.write_tsv(result.samples, p.samples_tsv, ["contig_id"])
+
+    def write_tables(self, result: ScaffoldResult, numbers: DataFrame | None = None) -> None:
+        """The tables that other programs read, each as one ordered file: links of pairs, checkpoint rows, barcode
+        counts in JSON, and for a run over long reads their multiplicities and parameters, if `extra` holds them
+        (`bx_mult`, `params`). numbers has (contig, number); by default contigs are named by their numbers."""
+        p = self.params
+        counts = pr.count_barcodes(result.imap, result.mult, p.min_mult, p.max_mult)
+        main = sinks.main_table(pr.pair_table(result.pairs, result.imap, p.min_reads, counts.select("all_filtered")))
+        write_table(main, p.tsv_name, ["U", "V", "Best_orientation"])
+        if numbers is None:
+            numbers = result.lengths.select("contig", F.col("contig").cast("long").alias("number"))
+        rows = ck.checkpoint_rows(result.edges, numbers, "dist" if p.dist_est else None)
+        write_table(rows, f"{p.base_name}.tigpair_checkpoint.tsv", ["category", "node_a", "node_b"], header=False)
+        write_one_file(sinks.barcode_stats_json(counts, p.min_mult, p.max_mult), f"{p.base_name}_stats.json", ["value"])
+        if "bx_mult" in result.extra:
+            write_table(result.extra["bx_mult"], f"{p.base_name}_bx_mult.tsv", ["barcode"], header=False)
+        if "params" in result.extra:
+            write_one_file(sinks.param_lines(*result.extra["params"]), f"{p.base_name}_params.tsv", ["value"])
