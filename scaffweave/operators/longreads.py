@@ -2,36 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.sequence import reverse_complement
 from .numbering import number_rows
 
 
 def long_enough(reads: DataFrame, cut: int, min_length: int = 0) -> DataFrame:
-    return reads.filter((F.length("seq") >= 2 * cut) & (F.length("seq") >= min_length))
+    return reads.filter(F.length("seq") >= max(2 * cut, min_length))
+
+
+#: Letters of the mates that are handed on at once.
+AT_ONCE = 1 << 23
+
+
+def _pieces(n: int, cut: int) -> tuple[list[int], list[int], list[int]]:
+    """Where the first and second mates of a read of n letters begin, and their sizes."""
+    whole, rest = divmod(n, 2 * cut)
+    first, size = [i * 2 * cut for i in range(whole)], [cut] * whole
+    second = [x + cut for x in first]
+    if rest:
+        size.append(min(cut, rest))
+        first.append(n - rest)
+        second.append(n - size[-1])
+    return first, second, size
 
 
 def cut_long_reads(reads: DataFrame, cut: int, min_length: int = 0, barcode: str = "barcode", fasta: bool = False) -> DataFrame:
     """(name, barcode, read_num, fwd, rev, fwd_qual, rev_qual): a pair for every 2 * cut letters of a read,
-    and one for the rest at its end (whose mates overlap if the rest is no longer than a mate)."""
-    step = 2 * cut
-    rows = long_enough(reads, cut, min_length).withColumn("__len", F.length("seq"))
-    rows = rows.withColumn("qual", F.coalesce(F.nullif(F.col("qual"), F.lit("")), F.repeat(F.lit("#"), F.col("__len"))) if "qual" in reads.columns else F.repeat(F.lit("#"), F.col("__len")))
-    whole, rest = F.floor(F.col("__len") / step).cast("int"), (F.col("__len") % step).cast("int")
-    number = F.explode(F.sequence(F.lit(0), whole - F.when(rest == 0, 1).otherwise(0)))
-    rows = rows.withColumns({"__whole": whole, "__rest": rest}).withColumn("read_num", number)
-    at_end = F.col("read_num") == F.col("__whole")
-    start = F.when(at_end, F.col("__len") - F.col("__rest")).otherwise(F.col("read_num") * step) + 1
-    size = F.when(at_end, F.least(F.lit(cut), F.col("__rest"))).otherwise(F.lit(cut))
-    second = F.when(at_end, F.col("__len") - F.col("__size") + 1).otherwise(F.col("__start") + cut)
-    rows = rows.withColumns({"__start": start, "__size": size}).withColumn("__second", second)
-    part = lambda c, at: F.substring(F.col(c), F.col(at), F.col("__size"))
-    out = [F.col(c) for c in ("name", barcode) if c in rows.columns]
-    out += [F.col("read_num"), part("seq", "__start").alias("fwd"), reverse_complement(part("seq", "__second")).alias("rev")]
+    and one for the rest at its end (whose mates overlap if the rest is no longer than a mate).
+
+    Mates are cut out of the read where it lies, in time that grows with its length alone."""
+    kept = [c for c in ("name", barcode) if c in reads.columns]
+    least = max(2 * cut, min_length)
+    texts = ["seq", *["qual"] * ("qual" in reads.columns and not fasta)]
+    mates = [f"{t}_{m}" for t in texts for m in ("first", "second")]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, number, cuts, held = [], [], [[] for _ in mates], 0
+            for i in range(batch.num_rows):
+                own = [batch.column(t)[i].as_py() for t in texts]
+                # told here, as a filter below would work the sequence out anew where it is an expression
+                own[0] = own[0] or ""
+                first, second, size = _pieces(len(own[0]), cut) if len(own[0]) >= least else ([], [], [])
+                for t, text in enumerate(own):
+                    for out, starts in ((cuts[2 * t], first), (cuts[2 * t + 1], second)):
+                        out.extend([text[a : a + z] for a, z in zip(starts, size, strict=True)] if text else [None] * len(size))
+                row.extend([i] * len(size))
+                number.extend(range(len(size)))
+                held += len(own[0])
+                if held >= AT_ONCE or i == batch.num_rows - 1:
+                    at = pa.array(row, pa.int64())
+                    columns = [*(c.take(at) for c in batch.columns[len(texts) :]), pa.array(number, pa.int32()), *(pa.array(c, pa.string()) for c in cuts)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*kept, "read_num", *mates])
+                    row, number, cuts, held = [], [], [[] for _ in mates], 0
+
+    own = [StructField(f.name, f.dataType, True) for f in reads.select(*kept).schema]
+    shape = StructType([*own, StructField("read_num", IntegerType(), True), *[StructField(m, StringType(), True) for m in mates]])
+    rows = reads.select(*texts, *kept).mapInArrow(pieces, shape)
+    out = [*kept, "read_num", F.col("seq_first").alias("fwd"), reverse_complement(F.col("seq_second")).alias("rev")]
     if not fasta:
-        out += [part("qual", "__start").alias("fwd_qual"), F.reverse(part("qual", "__second")).alias("rev_qual")]
+        qual = lambda m: F.coalesce(F.col(f"qual_{m}") if "qual" in texts else F.lit(None), F.repeat(F.lit("#"), F.length(f"seq_{m}")))
+        out += [qual("first").alias("fwd_qual"), F.reverse(qual("second")).alias("rev_qual")]
     return rows.select(*out)
 
 

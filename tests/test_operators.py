@@ -144,6 +144,38 @@ def test_long_read_cutter(spark):
     assert text[0] == "@a_f0 BX:Z:1" and len(text) == 8
 
 
+def test_long_read_cutter_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(lr, "AT_ONCE", 300)
+    rng = random.Random(8)
+    reads = [(i, "".join(rng.choice("ACGTN") for _ in range(n)), rng.choice([None, "", "".join(rng.choice("IJ#") for _ in range(n))])) for i, n in enumerate([0, 19, 20, 21, 25, 39, 40, 41, 55, 60, 400, 1999])]
+    flip = str.maketrans("ACGTN", "TGCAN")
+    want = []
+    for i, s, q in reads:
+        q = q or "#" * len(s)
+        for k in range(-(-len(s) // 20) if len(s) >= 20 else 0):
+            rest = len(s) - 20 * k
+            z = min(10, rest)
+            at = 20 * k + 10 if rest >= 20 else len(s) - z
+            want.append((i, k, s[20 * k :][:z], s[at:][:z].translate(flip)[::-1], q[20 * k :][:z], q[at:][:z][::-1]))
+    frame = spark.createDataFrame(reads, "barcode long, seq string, qual string")
+    got = [(r.barcode, r.read_num, r.fwd, r.rev, r.fwd_qual, r.rev_qual) for r in lr.cut_long_reads(frame, 10).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_cutting_grows_with_the_length_of_a_read(spark):
+    """One read of 20 million letters is cut as fast as many short ones, but for a small factor."""
+    import time
+
+    def took(length, n):
+        rows = spark.range(n).select(F.col("id").alias("barcode"), F.repeat(F.lit("ACGTTGCAAC"), length // 10).alias("seq")).repartition(1)
+        began = time.time()
+        assert lr.cut_long_reads(rows, 250, fasta=True).agg(F.sum(F.length("fwd"))).first()[0] == n * length // 2
+        return time.time() - began
+
+    took(100_000, 20)
+    assert took(20_000_000, 1) < 5 * took(100_000, 200) + 2
+
+
 def test_sources(spark, tmp_path):
     fa = tmp_path / "c.fa"
     fa.write_text(">c1 first one\nACGT\nAC\n>c2\n" + "A" * 600 + "\n>c3 x>y\nACGN\n")
