@@ -63,9 +63,9 @@ def to_digraph(edges: DataFrame, gap: int = 100, distance: str | None = None, co
 
 
 def better_estimates(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Of parallel estimates (d, e, n) the one with most pairs, then the smallest error."""
-    best = F.max(F.struct("n", (-F.col("e")).alias("minus_e"), "d")).alias("b")
-    return edges.groupBy(*keys).agg(best).select(*keys, F.col("b.d").alias("d"), (-F.col("b.minus_e")).alias("e"), F.col("b.n").alias("n"))
+    """Parallel estimates (d, e, n) as one: that with the least error, then the largest distance; all pairs together."""
+    best = F.max(F.struct((-F.col("e")).alias("minus_e"), "d")).alias("b")
+    return edges.groupBy(*keys).agg(best, F.sum("n").alias("n")).select(*keys, F.col("b.d").alias("d"), (-F.col("b.minus_e")).alias("e"), "n")
 
 
 def merged_estimates(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,3 +82,40 @@ SIGMAS = 3
 def allowed_error(e: Column, extra: float = 0.0) -> Column:
     """How far a distance with the standard deviation e may lie from its estimate; extra is allowed to all."""
     return F.ceil(SIGMAS * e + F.lit(float(extra))).cast("long")
+
+
+def properties(text: Column) -> Column:
+    """(length, coverage) of a contig as a struct, from `l=10 C=5`, `C=5, l=10` or `10 5`; null for other text, and
+    coverage null where only l is told."""
+    labelled = r"^\s*l\s*=\s*(\d+)(?:[\s,]+C\s*=\s*(\d+))?\s*$"
+    turned, bare = r"^\s*C=\s*(\d+)\s*,\s*l\s*=\s*(\d+)\s*$", r"^\s*(\d+)\s+(\d+)\s*$"
+    at = lambda form, i: F.regexp_extract(text, form, i).try_cast("long")
+    pair = lambda form, length, coverage: F.when(text.rlike(form), F.struct(at(form, length).alias("length"), at(form, coverage).alias("coverage")))
+    return F.coalesce(pair(labelled, 1, 2), pair(turned, 2, 1), pair(bare, 1, 2))
+
+
+def edge_weight(d: Column, target_length: Column) -> Column:
+    """What a step along an edge adds to a path: its distance and the length of the contig it leads to; raises below 0."""
+    weight = d + target_length
+    return F.when(weight >= 0, weight).when(weight < 0, F.raise_error(F.concat(F.lit("an edge of weight "), weight.cast("string"))))
+
+
+def path_properties(paths: DataFrame, contigs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path_id, n, length, coverage) of paths (path_id, place, contig, strand), places from 0 without gaps.
+
+    A path is as long as its contigs and the distances of the edges (src, src_strand, dst, dst_strand, d) between
+    neighbours together; its coverage is that of its contigs (contig, length, coverage). A step without an edge, or to a
+    contig that is not known, raises. Steps meet their edges by the four columns and are summed up for each path.
+    """
+    nodes = paths.join(contigs.select("contig", "length", "coverage"), "contig", "left")
+    on = ["path_id", "place"]
+    to = nodes.select("path_id", (F.col("place") - 1).alias("place"), F.col("contig").alias("dst"), F.col("strand").alias("dst_strand"), F.col("length").alias("dst_length"))
+    steps = nodes.select(*on, F.col("contig").alias("src"), F.col("strand").alias("src_strand")).join(to, on)
+    found = steps.join(edges.select("src", "src_strand", "dst", "dst_strand", "d").withColumn("__known", F.lit(True)), ["src", "src_strand", "dst", "dst_strand"], "left")
+    name = F.concat("src", "src_strand", F.lit(" -> "), "dst", "dst_strand")
+    d = F.when(F.col("__known"), F.col("d")).otherwise(F.raise_error(F.concat(F.lit("no edge "), name)).cast("int"))
+    known = lambda c, n: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("no contig "), F.col(n))).cast("long"))
+    grown = found.select("path_id", edge_weight(d, known("dst_length", "dst")).alias("length"))
+    begins = nodes.filter("place = 0").select("path_id", known("length", "contig").alias("length"))
+    lengths = begins.unionByName(grown).groupBy("path_id").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    return lengths.join(nodes.groupBy("path_id").agg(F.sum("coverage").alias("coverage")), "path_id").select("path_id", "n", "length", "coverage")

@@ -49,3 +49,20 @@ def sums_before(frame: DataFrame, value: Column, by: list[str], order: list[str]
     within = F.sum("__value").over(Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     placed = ranged.withColumn("__within", F.coalesce(within, F.lit(0))).join(begins, [*by, "__range"])
     return placed.withColumn(name, F.col("__begin") + F.col("__within")).drop("__value", "__range", "__within", "__begin")
+
+
+def last_up_to(frame: DataFrame, values: dict[str, Column], by: list[str], order: list[str]) -> DataFrame:
+    """frame with a column for each of `values`: its last value that is not null in this row or one before, in the order
+    of the columns (which differ from row to row), for each `by`.
+
+    Rows are dealt by ranges of the order; each range begins with the last values of the ranges before.
+    """
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = {f"__own_{i}": v for i, v in enumerate(values.values())}
+    ranged = saved(frame.withColumns(own).repartitionByRange(n, *by, *order).withColumn("__range", F.spark_partition_id()))
+    lasts = ranged.groupBy(*by, "__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__last{c}") for c in own])
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lasts.select(*by, "__range", *[F.last(f"__last{c}", ignorenulls=True).over(earlier).alias(f"__begin{c}") for c in own])
+    within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumns({f"__within{c}": F.last(c, ignorenulls=True).over(within) for c in own}).join(begins, [*by, "__range"])
+    return placed.select(*frame.columns, *[F.coalesce(f"__within{c}", f"__begin{c}").alias(name) for c, name in zip(own, values, strict=True)])

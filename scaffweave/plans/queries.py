@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formatting, sequence, stats, tags
@@ -19,8 +19,8 @@ from ..operators import longreads as lr
 from ..operators import pairs as pr
 from ..operators import sinks
 from ..operators.numbering import number_rows, shared_folder
-from ..operators.onefile import write_table
-from ..sources import offsets
+from ..operators.onefile import write_one_file, write_table
+from ..sources import dot, offsets
 from ..sources.sequences import fasta_index, read_fastq, read_records
 from . import standins as st
 
@@ -515,7 +515,7 @@ def edge_merge(spark, sf):
     return _estimates(spark, sf, gr.merged_estimates).withColumns({"e": F.round("e", 9), "d": F.col("d").cast("double")})
 
 
-@_query("select src_, dst_, d, e, n from (select *, row_number() over (partition by src_, dst_ order by n desc, e, d desc) k from est_rows) where k = 1")
+@_query("select src_, dst_, d, e, total n from (select *, row_number() over (partition by src_, dst_ order by e, d desc) k, cast(sum(n) over (partition by src_, dst_) as bigint) total from est_rows) where k = 1")
 def edge_better(spark, sf):
     return _estimates(spark, sf, gr.better_estimates)
 
@@ -761,3 +761,52 @@ def sink_params(spark, sf):
 @_query("select src_, dst_, cast(max(ceil(3 * e + 6)) as bigint) allowed from est_rows group by all")
 def allowed_error(spark, sf):
     return _estimates(spark, sf, lambda rows, keys: rows.groupBy(*keys).agg(F.max(gr.allowed_error(F.col("e"), 6)).alias("allowed")))
+
+
+@_query("""select src, dst, d, e, cast(total as bigint) n from (select *, row_number() over (partition by src, dst order by e, d desc) r, sum(n) over (partition by src, dst) total from (
+    select src, dst, case when own then v when d0 is null then 1 - 25 else d0 end d, case when own then cast(x as double) when d0 is null then 0 else e0 end e, case when own then u when d0 is null then 0 else n0 end n from (
+      select src, unnest(dsts) dst, own, v, x, u, d0, e0, n0 from (
+        select (user_id % 40) || '+' src, case when event_id % 10 = 8 then [(event_id % 23) || '-', (event_id % 23 + 30) || '+'] else [(event_id % 23) || '-'] end dsts, event_id % 10 in (0, 1, 2, 9) own, event_id % 10 s,
+          cast(floor(value) as int) % 100 - 20 v, event_id % 3 + 1 x, user_id % 10 u, last_value(case when s = 3 then v end ignore nulls) over w d0,
+          last_value(case when s = 3 then cast(x as double) end ignore nulls) over w e0, last_value(case when s = 3 then u end ignore nulls) over w n0
+        from events window w as (order by event_id)) where s <> 3))) where r = 1""")
+def scan_dot(spark, sf):
+    """A graph of events whose defaults change all along the file, written as one ordered file and read back."""
+    i, user = F.col("event_id"), F.col("user_id")
+    settings = F.concat(F.lit("[d="), F.floor("value") % 100 - 20, F.lit(" e="), F.format_string("%.1f", (i % 3 + 1).cast("double")), F.lit(" n="), user % 10, F.lit("]"))
+    src, dst = F.concat(F.lit('"'), user % 40, F.lit('+"')), F.concat(F.lit('"'), i % 23, F.lit('-"'))
+    edge = F.concat(src, F.lit(" -> "), dst)
+    text = F.when(i % 10 == 3, F.concat(F.lit("edge "), settings)).when((i % 10).between(4, 7), edge)
+    text = text.when(i % 10 == 8, F.concat(src, F.lit(" -> { "), dst, F.lit(' "'), i % 23 + 30, F.lit('+" }'))).otherwise(F.concat(edge, F.lit(" "), settings))
+    ends = spark.createDataFrame([(0, 0, "digraph events {"), (0, 1, "graph [k=25]"), (2, 0, "}")], "part int, place long, value string")
+    lines = st.table(spark, sf, "events").select(F.lit(1).alias("part"), i.alias("place"), text.alias("value")).unionByName(ends)
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4()}.dot"
+    write_one_file(lines, path, ["part", "place"])
+    return dot.read_dot(spark, path)[1].drop("file")
+
+
+@_query("""select contig_id, reverse, cast(row_number() over (partition by contig_id, reverse order by target || strand || ',100,' || n || ',100.0') - 1 as int) place, target, strand target_strand, 100 d, n, 100.0::double e
+    from (select u contig_id, orientation < 2 reverse, v target, case when orientation % 2 = 1 then '-' else '+' end strand, weight n from edges
+      union all select v, orientation % 2 = 0, u, case when orientation < 2 then '+' else '-' end, weight from edges)""")
+def estimate_record(spark, sf):
+    """Distances of the graph as a line of estimates for each contig, written and read back."""
+    rows = gr.to_digraph(_edges(spark, sf)).select(
+        F.col("src").alias("contig_id"), (F.col("src_strand") == "-").alias("reverse"), F.lit(0).alias("place"), F.col("dst").alias("target"), F.col("dst_strand").alias("target_strand"), "d", "n", "e"
+    )
+    found = dot.read_estimates(spark, _written(spark, dot.estimate_lines(rows).select("value"), ".txt"))
+    return found.drop("file", "ord")
+
+
+@_query("""select l_orderkey path_id, count(*) n, cast(sum(100 + contig) + sum(coalesce(-(contig + last) % 50, 0)) as bigint) length, cast(sum(contig * 3) as bigint) coverage from (
+    select *, lag(contig) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) last from (select *, l_partkey % 97 contig from lineitem)) group by l_orderkey""")
+def contig_props(spark, sf):
+    """Orders as paths over parts: the length and coverage of the paths along the edges between neighbouring parts, whose
+    properties are read from text."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = st.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path_id"), (F.row_number().over(by) - 1).alias("place"), (F.col("l_partkey") % 97).alias("number"), F.lag(F.col("l_partkey") % 97).over(by).alias("last"))
+    paths = lines.select("path_id", "place", F.col("number").cast("string").alias("contig"), F.lit("+").alias("strand"))
+    text = F.concat(F.lit("l="), F.col("number") + 100, F.lit(" C="), F.col("number") * 3)
+    contigs = lines.select("number").distinct().select(F.col("number").cast("string").alias("contig"), gr.properties(text).alias("p")).select("contig", "p.*")
+    steps = lines.filter("last is not null").select("last", "number").distinct()
+    edges = steps.select(F.col("last").cast("string").alias("src"), F.lit("+").alias("src_strand"), F.col("number").cast("string").alias("dst"), F.lit("+").alias("dst_strand"), (-((F.col("last") + F.col("number")) % 50)).cast("int").alias("d"))
+    return gr.path_properties(paths, contigs, edges)
