@@ -21,6 +21,7 @@ from ..operators import sinks
 from ..operators.numbering import number_rows, shared_folder
 from ..operators.onefile import write_one_file, write_table
 from ..sources import dot, offsets
+from ..sources.rich import read_rich
 from ..sources.sequences import fasta_index, read_fastq, read_records
 from . import standins as st
 
@@ -810,3 +811,30 @@ def contig_props(spark, sf):
     steps = lines.filter("last is not null").select("last", "number").distinct()
     edges = steps.select(F.col("last").cast("string").alias("src"), F.lit("+").alias("src_strand"), F.col("number").cast("string").alias("dst"), F.lit("+").alias("dst_strand"), (-((F.col("last") + F.col("number")) % 50)).cast("int").alias("d"))
     return gr.path_properties(paths, contigs, edges)
+
+
+@_query("""select name, comment, anchor, substr(s, low, size) seq, substr(q, low, size) qual from (select *, case when lead_ = 32 then 1 else lead_ + 1 end low, case when lead_ = 32 then 1 else 32 - lead_ - trail end size from (
+    select *, 32 - length(ltrim(bad, '0')) lead_, 32 - length(rtrim(bad, '0')) trail from (select name, comment, null::varchar anchor, case when kind = 0 and back then reverse(translate(base, 'ACGT', 'TGCA')) else base end s,
+      case when kind = 0 and back then reverse(translate(h, '0123456789abcdef', '!"#$%&()*+,-./01')) else translate(h, '0123456789abcdef', '!"#$%&()*+,-./01') end q,
+      case when kind = 0 and back then reverse(b) else b end bad from (
+        select event_id % 3 kind, user_id % 2 = 0 back, md5('q' || event_id) h, translate(md5(cast(event_id as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT') base, translate(h, '0123456789abcdef', '0000000000000111') b,
+          case when kind = 0 then 'e' || event_id || '/' || (event_id % 2 + 1) when kind = 1 then 'm:1:' || event_id || ':5:6/' || (event_id % 2 + 1) else 'm:' || event_id || ':3:4:5#AC/2' end name,
+          case when kind = 2 then '3:N:0:' else (event_id % 2 + 1) || ':N:0:' end comment
+        from events where user_id % 5 <> 0 and not (event_id % 3 = 0 and user_id % 7 = 0)))))""")
+def scan_fasta_rich(spark, sf):
+    """Reads made of all events as alignment, qseq and export lines of one file, by the reader of all formats: rejected and
+    secondary ones left out, turned ones turned back, cut to their good part, qualities written from 33."""
+    i, user = F.col("event_id"), F.col("user_id")
+    seq = F.translate(F.md5(i.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    codes = F.md5(F.concat(F.lit("q"), i.cast("string")))
+    from_33, from_64 = (F.translate(codes, "0123456789abcdef", "".join(chr(base + x) for x in (*range(6), *range(7, 17)))) for base in (33, 64))
+    tab = lambda *x: F.concat_ws("\t", *[v if not isinstance(v, str) else F.lit(v) for v in x])
+    fails = user % 5 == 0
+    flag = F.when(i % 2 == 0, 0x41).otherwise(0x81) + F.when(user % 2 == 0, 0x10).otherwise(0) + F.when(user % 7 == 0, 0x100).otherwise(0) + F.when(fails, 0x200).otherwise(0)
+    aligned = tab(F.concat(F.lit("e"), i), flag.cast("string"), "c", "1", "60", "32M", "=", "1", "0", seq, from_33, "NM:i:0")
+    qseq = tab("m", "1", "", i.cast("string"), "5", "6", "0", (i % 2 + 1).cast("string"), seq, from_64, F.when(fails, "0").otherwise("1"))
+    export = tab("m", i.cast("string"), "3", "4", "5", "", "AC", "3", seq, from_64, *["x"] * 11, F.when(fails, "N").otherwise("Y"))
+    text = F.when(i % 3 == 0, aligned).when(i % 3 == 1, qseq).otherwise(export)
+    path = f"{shared_folder(spark)}/reads-{uuid.uuid4()}.sam"
+    st.table(spark, sf, "events").select(text).write.text(path)
+    return read_rich(spark, path, quality=14, convert_quality=True).drop("file", "ord")
