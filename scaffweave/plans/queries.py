@@ -23,7 +23,9 @@ from ..operators.onefile import write_one_file, write_table
 from ..sources import dot, offsets
 from ..sources.rich import read_rich
 from ..sources.sequences import fasta_index, read_fastq, read_records
+from ..params import ScaffoldParams
 from . import standins as st
+from .scaffolder import Scaffolder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -838,3 +840,15 @@ def scan_fasta_rich(spark, sf):
     path = f"{shared_folder(spark)}/reads-{uuid.uuid4()}.sam"
     st.table(spark, sf, "events").select(text).write.text(path)
     return read_rich(spark, path, quality=14, convert_quality=True).drop("file", "ord")
+
+
+@_query("""select cast(r.k as varchar) barcode, cast(c.k as varchar) contig, is_head, count(*) n from mate_best a join mate_best b on a.doc_id = b.doc_id and a.read_num = b.read_num and a.mate = 1 and b.mate = 2 and a.end_idx = b.end_idx
+    join end_rows e on e.end_idx = a.end_idx join (select doc_id, row_number() over (order by doc_id) k from solid where seq is not null) r on r.doc_id = a.doc_id
+    join (select doc_id, row_number() over (order by doc_id) k from solid where seq is not null) c on c.doc_id = e.contig group by all""")
+def long_read_run(spark, sf):
+    """All sequences written as one FASTA file that is both the draft and the long reads of a whole run; the counts of its
+    barcodes on ends of contigs."""
+    path = f"{shared_folder(spark)}/long-{uuid.uuid4()}.fa"
+    write_one_file(st.solid_sequences(spark, sf).select("ord", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")), path, ["ord"])
+    params = ScaffoldParams(file=path, inputs=(path,), kmer_mode=True, k_value=20, end_length=300, min_size=500)
+    return Scaffolder(params).run_long(spark, cut=60, min_length=0).imap

@@ -14,6 +14,7 @@ from ..operators import contigs as ct
 from ..operators import distance as ds
 from ..operators import graph as gr
 from ..operators import kmers as km
+from ..operators import longreads as lr
 from ..operators import pairs as pr
 from ..operators import sinks
 from ..operators.onefile import write_one_file, write_table
@@ -74,6 +75,32 @@ class Scaffolder:
         imap = km.kmer_end_counts(km.read_pairs(reads), mult, index, ends, p.k_value, p.j_index)
         return self.from_counts(imap, mult, ct.contig_lengths(contigs.filter(F.col("length") >= p.min_size)))
 
+    def run_long(self, spark: SparkSession, cut: int = 250, min_length: int = 2000, genome_size: int = 0, span_share: float = 0.25, percentile: float = 50) -> ScaffoldResult:
+        """A run over long reads by k-mers: contigs are named by their numbers, every read of min_length letters or more is a
+        barcode (its place in all files, from 1) and is cut into pairs, which are placed on the ends of contigs.
+
+        `extra` holds `contigs` as renamed, `bx_mult`, and `params`: the span (if genome_size is told) and the percentile
+        of read lengths as one-row frames. All of it is lazy, but for numbered rows.
+        """
+        p = self.params
+        if not p.kmer_mode:
+            raise ValueError("long reads are placed by k-mers; for the other mode cut them and align the pairs")
+        inputs = [*p.inputs, *(sq.read_fof(p.fof_name) if p.fof_name else [])]
+        if not inputs:
+            raise ValueError("there are no inputs")
+        contigs = ct.rename_contigs(sq.read_contigs(spark, p.file))
+        reads = lr.long_read_barcodes(sq.read_sequences(spark, *inputs)).withColumn("barcode", F.col("barcode").cast("string"))
+        cuts = lr.cut_long_reads(reads, cut, min_length, fasta=True)
+        pairs = cuts.select(F.lit("").alias("file"), F.struct("barcode", "read_num").alias("pair"), "barcode", F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
+        mult = lr.pseudo_multiplicity(reads, cut, min_length).withColumnRenamed("n", "mult")
+        ends = ct.contig_ends(contigs, p.min_size, p.end_length)
+        index = km.kmer_index(km.kmer_rows(ends, "end_seq", p.k_value, ["end_idx"], jump=True))
+        imap = km.kmer_end_counts(pairs, mult, index, ends, p.k_value, p.j_index)
+        result = self.from_counts(imap, mult, ct.contig_lengths(contigs.filter(F.col("length") >= p.min_size)))
+        spans = [lr.span(reads, genome_size, span_share)] if genome_size else []
+        result.extra.update(contigs=contigs, bx_mult=mult, params=[*spans, lr.length_percentile(reads, percentile)])
+        return result
+
     def from_counts(self, imap: DataFrame, mult: DataFrame, lengths: DataFrame) -> ScaffoldResult:
         p = self.params
         imap, mult = imap.persist(), mult.persist()  # pairs, distances and tables all read them
