@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,18 @@ def swapped_quantile(ordered: Column, q: float) -> Column:
     before, after = F.floor(place).cast("int"), F.ceil(place).cast("int")
     weight = place - before
     return weight * F.element_at(ordered, before + 1) + (1 - weight) * F.element_at(ordered, after + 1)
+
+
+def grouped_quantile(rows: DataFrame, by: list[str], value: str, q: float, name: str = "q") -> DataFrame:
+    """(by..., name): the swapped_quantile of the values of each group that are not null; groups of nulls alone are left out.
+
+    Values are counted before they meet, so a group is a window over its different values, never a list of its rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*by)
+    up_to = F.sum("__n").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = counts.withColumns({"__up": up_to, "__place": (F.sum("__n").over(group) - 1) * F.lit(float(q))})
+    at = lambda place: F.min(F.when(F.col("__up") > place, F.col("__v")))
+    found = counted.groupBy(*by).agg(at(F.floor("__place")).alias("__a"), at(F.ceil("__place")).alias("__b"), F.max("__place").alias("__place"))
+    weight = F.col("__place") - F.floor("__place")
+    return found.select(*by, (weight * F.col("__a") + (1 - weight) * F.col("__b")).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import sense_sign
 from ..functions.stats import swapped_quantile
-from .numbering import number_rows
+from .numbering import number_rows, saved
 from .pairs import heads_and_tails, mirrored
 
 
@@ -59,6 +59,8 @@ def pair_stats(imap: DataFrame, lengths: DataFrame, end_length: int, min_reads:
     )
 
 
+#: What names a pair of ends.
+PAIR = ["u", "v", "orientation"]
 #: Cells that scores from 0 to 1 are dealt into to find their place on the curve.
 CELLS = 1000
 
@@ -82,43 +84,67 @@ def _place_on_curve(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> Data
     return found.select("row.*", F.coalesce("seen", "carried", F.lit(0)).cast("long").alias("range"))
 
 
-def nearest_points(stats: DataFrame, curve: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
-    """For each row with a union, its own_jaccard and the k points of the curve with the nearest scores.
+def _scored(stats: DataFrame) -> DataFrame:
+    """stats with their score `own`. Their scores are looked up and joined back, so they are saved: the join of barcodes
+    with themselves that they come from runs once."""
+    return saved(stats.withColumn("own", F.when(F.col("barcodes_union") > 0, F.col("barcodes_intersect") / F.col("barcodes_union"))))
+
+
+def _points_by_score(rows: DataFrame, curve: DataFrame, k: int) -> DataFrame:
+    """(own, points): the k points of the curve nearest to each different score of rows, the nearest first.
 
     Of two points equally far the higher score is nearer (the lower one if k is 1). The curve is cut into
     ranges of k points; the k nearest of a score lie in its own range or one of its two neighbours, so a
-    row meets 3 k points, never the whole curve.
+    score meets 3 k points, never the whole curve. However many rows have a score, it is looked up once.
     """
-    keys = keys or ["u", "v", "orientation"]
-    rows = stats.filter("barcodes_union > 0").withColumn("own", F.col("barcodes_intersect") / F.col("barcodes_union"))
     ranked = number_rows(curve.select("jaccard", "distance"), ["jaccard"], "rank").withColumn("range", F.floor(F.col("rank") / k).cast("long"))
-    # many rows have the same score (0 where no barcode is shared): each score is looked up once
-    scores = rows.select("own").distinct()
-    placed = rows.select(*keys, "own").join(_place_on_curve(scores, ranked, []), "own")
+    placed = _place_on_curve(rows.select("own").filter("own is not null").distinct(), ranked, [])
     near = placed.withColumn("range", F.explode(F.sequence(F.col("range") - 1, F.col("range") + 1)))
     met = near.join(ranked.drop("rank"), "range")
-    nearest = Window.partitionBy(*keys).orderBy(F.abs(F.col("jaccard") - F.col("own")), F.asc("jaccard") if k == 1 else F.desc("jaccard"))
-    return met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k).select(*keys, F.col("own").alias("own_jaccard"), "jaccard", "distance")
+    point = F.struct(F.abs(F.col("jaccard") - F.col("own")).alias("far"), (F.col("jaccard") if k == 1 else -F.col("jaccard")).alias("tie"), "jaccard", "distance")
+    return met.groupBy("own").agg(F.slice(F.sort_array(F.collect_list(point)), 1, k).alias("points"))
 
 
-def estimate_distances(near: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(min_dist, dist, max_dist, jaccard) of each pair from the distances of its nearest points."""
-    keys = keys or ["u", "v", "orientation"]
-    grouped = near.groupBy(*keys).agg(F.sort_array(F.collect_list("distance")).alias("d"), F.max("own_jaccard").alias("jaccard"))
-    return grouped.select(
-        *keys, F.floor(swapped_quantile(F.col("d"), 0.01)).cast("int").alias("min_dist"),
+def nearest_points(stats: DataFrame, curve: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """For each row with a union, its own_jaccard and the k points of the curve with the nearest scores."""
+    keys = keys or PAIR
+    rows = _scored(stats.select(*keys, "barcodes_union", "barcodes_intersect"))
+    found = rows.join(_points_by_score(rows, curve, k), "own").select(*keys, F.col("own").alias("own_jaccard"), F.explode("points").alias("point"))
+    return found.select(*keys, "own_jaccard", "point.jaccard", "point.distance")
+
+
+def with_distances(rows: DataFrame, curve: DataFrame, k: int) -> DataFrame:
+    """rows (with barcodes_union and barcodes_intersect) and min_dist, dist, max_dist from the distances of the k nearest
+    points of the curve, and jaccard; nulls where there is no union. Each different score is estimated once."""
+    scored = _scored(rows)
+    d = F.array_sort(F.transform("points", lambda x: x["distance"]))
+    by_score = _points_by_score(scored, curve, k).select("own", d.alias("d")).select(
+        "own", F.floor(swapped_quantile(F.col("d"), 0.01)).cast("int").alias("min_dist"),
         F.floor(swapped_quantile(F.col("d"), 0.5) + 0.5).cast("int").alias("dist"),
-        F.ceil(swapped_quantile(F.col("d"), 0.99)).cast("int").alias("max_dist"), "jaccard",
+        F.ceil(swapped_quantile(F.col("d"), 0.99)).cast("int").alias("max_dist"),
+        F.col("own").alias("jaccard"),
     )
+    return scored.join(by_score, "own", "left").drop("own")
+
+
+def estimate_distances(stats: DataFrame, curve: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """(min_dist, dist, max_dist, jaccard) of each pair that has a union, if the curve has any point."""
+    found = with_distances(stats.filter("barcodes_union > 0"), curve, k).filter("jaccard is not null")
+    return found.select(*(keys or PAIR), "min_dist", "dist", "max_dist", "jaccard")
+
+
+def edges_with_statistics(edges: DataFrame, stats: DataFrame, curve: DataFrame, k: int) -> DataFrame:
+    """Edges with the statistics of their pairs and their distances, nulls where there are none."""
+    return with_distances(edges.join(stats, PAIR, "left"), curve, k)
 
 
-def edges_with_distances(edges: DataFrame, estimates: DataFrame) -> DataFrame:
-    return edges.join(estimates, ["u", "v", "orientation"], "left")
+def edges_with_distances(edges: DataFrame, stats: DataFrame, curve: DataFrame, k: int) -> DataFrame:
+    return edges_with_statistics(edges, stats, curve, k).select(*edges.columns, "min_dist", "dist", "max_dist", "jaccard")
 
 
-def distance_table(edges: DataFrame, stats: DataFrame) -> DataFrame:
-    """Two mirrored rows for each edge that has statistics; NA where nothing is estimated."""
-    rows = edges.join(stats, ["u", "v", "orientation"])
+def distance_table(edges: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Two mirrored rows for each edge that has statistics (its own, or those of stats); NA where nothing is estimated."""
+    rows = edges.join(stats, PAIR) if stats is not None else edges.filter("barcodes1 is not null")
     u, v, o = F.col("u"), F.col("v"), F.col("orientation")
     flip = lambda c: F.translate(c, "+-", "-+")
     us, vs = sense_sign(o, True), sense_sign(o, False)

@@ -151,8 +151,16 @@ def _stats(spark, sf):
     return ds.pair_stats(_ranged(spark, sf), st.lengths(spark, sf), st.END, st.MIN_READS)
 
 
+def _curve(spark, sf):
+    return ds.jaccard_curve(_samples(spark, sf))
+
+
 def _near(spark, sf):
-    return ds.nearest_points(_stats(spark, sf), ds.jaccard_curve(_samples(spark, sf)), 5)
+    return ds.nearest_points(_stats(spark, sf), _curve(spark, sf), 5)
+
+
+def _placed_edges(spark, sf):
+    return ds.edges_with_distances(_edges(spark, sf), _stats(spark, sf), _curve(spark, sf), 5)
 
 
 def _brand_numbers(spark, sf):
@@ -295,20 +303,19 @@ def join_nearest(spark, sf):
 
 @_query("select u, v, orientation, min_dist, dist, max_dist, round(jaccard, 9) jaccard from est")
 def agg_estimate_dist(spark, sf):
-    return ds.estimate_distances(_near(spark, sf)).withColumn("jaccard", F.round("jaccard", 9))
+    return ds.estimate_distances(_stats(spark, sf), _curve(spark, sf), 5).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @_query("select u, v, e.orientation, weight, min_dist, dist, max_dist, round(jaccard, 9) jaccard from edges e left join est using (u, v, orientation)")
 def graph_edge_dist(spark, sf):
-    return ds.edges_with_distances(_edges(spark, sf), ds.estimate_distances(_near(spark, sf))).select("u", "v", "orientation", "weight", "min_dist", "dist", "max_dist", F.round("jaccard", 9).alias("jaccard"))
+    return _placed_edges(spark, sf).select("u", "v", "orientation", "weight", "min_dist", "dist", "max_dist", F.round("jaccard", 9).alias("jaccard"))
 
 
 @_query("""select contig1, contig2, coalesce(cast(min_dist as varchar), 'NA') min_dist, coalesce(cast(dist as varchar), 'NA') dist, coalesce(cast(max_dist as varchar), 'NA') max_dist, barcodes1, barcodes2, barcodes_union, barcodes_intersect from (
     select u || case when orientation < 2 then '-' else '+' end contig1, v || case when orientation % 2 = 1 then '-' else '+' end contig2, min_dist, dist, max_dist, barcodes1, barcodes2, barcodes_union, barcodes_intersect from edges e join stats s using (u, v, orientation) left join est using (u, v, orientation)
     union all select v || case when orientation % 2 = 1 then '+' else '-' end, u || case when orientation < 2 then '+' else '-' end, min_dist, dist, max_dist, barcodes2, barcodes1, barcodes_union, barcodes_intersect from edges e join stats s using (u, v, orientation) left join est using (u, v, orientation))""")
 def sink_dist_tsv(spark, sf):
-    stats_ = _stats(spark, sf)
-    return ds.distance_table(ds.edges_with_distances(_edges(spark, sf), ds.estimate_distances(_near(spark, sf))), stats_)
+    return ds.distance_table(ds.edges_with_statistics(_edges(spark, sf), _stats(spark, sf), _curve(spark, sf), 5))
 
 
 @_query("select doc_id, count(*) n_windows, count(kmer) n_valid, count(distinct kmer) n_distinct from canon group by doc_id")
@@ -490,8 +497,7 @@ def lr_dist(spark, sf):
       weight links, cast(weight * coalesce(dist, 100) as bigint) gap
     from edges e left join est using (u, v, orientation) join brands x on x.contig = e.u join brands y on y.contig = e.v)""")
 def ck_rows(spark, sf):
-    edges = ds.edges_with_distances(_edges(spark, sf), ds.estimate_distances(_near(spark, sf)))
-    return ck.checkpoint_rows(edges, _brand_numbers(spark, sf), "dist")
+    return ck.checkpoint_rows(_placed_edges(spark, sf), _brand_numbers(spark, sf), "dist")
 
 
 
@@ -662,8 +668,7 @@ def sense_sign(spark, sf):
 @_query("""select contig, round((0.3 * last - floor(0.3 * last)) * d[cast(floor(0.3 * last) as int) + 1] + (1 - (0.3 * last - floor(0.3 * last))) * d[cast(ceil(0.3 * last) as int) + 1], 6) q
     from (select contig, list_sort(list(head)) d, len(d) - 1 last from ht group by contig)""")
 def agg_quantile(spark, sf):
-    rows = pr.heads_and_tails(_imap(spark, sf)).groupBy("contig").agg(F.sort_array(F.collect_list("head")).alias("d"))
-    return rows.select("contig", F.round(stats.swapped_quantile(F.col("d"), 0.3), 6).alias("q"))
+    return stats.grouped_quantile(pr.heads_and_tails(_imap(spark, sf)), ["contig"], "head", 0.3).withColumn("q", F.round("q", 6))
 
 
 @_query("select u, v, 2 * mx - (mx + sec) > 1.6448536269514722 * sqrt(mx + sec) ok from best")
@@ -677,7 +682,7 @@ def _event_reads(spark, sf):
     e, i = st.table(spark, sf, "events"), F.col("event_id")
     name = F.concat(F.lit("r"), F.floor(i / 2).cast("string"), F.lit("/"), (i % 2 + 1).cast("string"))
     comment = F.concat(F.lit("BX:Z:"), (F.col("user_id") % 3).cast("string"), F.lit("-1 x"))
-    return e.select(F.lit("f").alias("file"), i.alias("ord"), name.alias("name"), comment.alias("comment"), F.lit("ACGT").alias("seq"))
+    return e.select(F.lit("f").alias("file"), i.alias("ord"), name.alias("name"), comment.alias("comment"), F.translate((i * 7919).cast("string"), "0123456789", "ACGTACGTNC").alias("seq"))
 
 
 @_query("""select cast(sum(n) as bigint) n_reads, count(*) filter (where n = 2) n_pairs, count(*) filter (where n <> 2) n_single, 0 n_other_name, count(*) filter (where n = 2 and x <> y) n_other_barcode,
@@ -689,9 +694,9 @@ def log_stats(spark, sf):
     return km.read_counters(reads, known)
 
 
-@_query("""select a.event_id // 2 pair, a.user_id % 3 || '-1' barcode from events a join events b on b.event_id = a.event_id + 1 and a.event_id % 2 = 0 where a.user_id % 3 = b.user_id % 3""")
+@_query("""select a.event_id // 2 pair, a.user_id % 3 || '-1' barcode, translate(cast(a.event_id * 7919 as varchar), '0123456789', 'ACGTACGTNC') seq1, translate(cast(b.event_id * 7919 as varchar), '0123456789', 'ACGTACGTNC') seq2 from events a join events b on b.event_id = a.event_id + 1 and a.event_id % 2 = 0 where a.user_id % 3 = b.user_id % 3""")
 def scan_fastq_pairs(spark, sf):
-    return km.read_pairs(_event_reads(spark, sf)).select("pair", "barcode")
+    return km.read_pairs(_event_reads(spark, sf)).select("pair", "barcode", "seq1", "seq2")
 
 
 @_query("""select cast(a.doc_id % 7 as varchar) barcode, cast(contig as varchar) contig, is_head, count(*) n from mate_best a join mate_best b on a.doc_id = b.doc_id and a.read_num = b.read_num and a.mate = 1 and b.mate = 2 and a.end_idx = b.end_idx
@@ -738,7 +743,7 @@ def kmer_fraction(spark, sf):
 
 @_query("select u, v, orientation, jaccard, distance from (select u, v, orientation, round(jaccard, 9) jaccard, distance, row_number() over (partition by u, v, orientation order by abs(jaccard - own), jaccard) k from (select *, barcodes_intersect / barcodes_union own from stats where barcodes_union > 0) cross join curve) where k = 1")
 def topk_nearest(spark, sf):
-    near = ds.nearest_points(_stats(spark, sf), ds.jaccard_curve(_samples(spark, sf)), 1)
+    near = ds.nearest_points(_stats(spark, sf), _curve(spark, sf), 1)
     return near.select("u", "v", "orientation", F.round("jaccard", 9).alias("jaccard"), "distance")
 
 

@@ -112,9 +112,7 @@ class Scaffolder:
         if p.dist_est:
             samples = ds.distance_samples(ranged, lengths, p.end_length, p.min_reads)
             stats = ds.pair_stats(ranged, lengths, p.end_length, p.min_reads)
-            own = stats.join(edges.select("u", "v", "orientation"), ["u", "v", "orientation"], "left_semi")
-            near = ds.nearest_points(own, ds.jaccard_curve(samples), p.dist_bin_size)
-            edges = ds.edges_with_distances(edges, ds.estimate_distances(near))
+            edges = ds.edges_with_distances(edges, stats, ds.jaccard_curve(samples), p.dist_bin_size)
             column = "dist" if p.dist_mode == "median" else "max_dist"
         edges = gr.remove_high_degree(edges, p.max_degree)
         return ScaffoldResult(imap, mult, lengths, pairs, edges, gr.to_digraph(edges, p.gap, column), samples, stats)

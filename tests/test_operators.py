@@ -1,8 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from scaffweave.functions.stats import grouped_quantile, swapped_quantile
 from scaffweave.operators import alignments as al
 from scaffweave.operators import checkpoint as ck
 from scaffweave.operators import contigs as ct
@@ -91,6 +93,40 @@ def test_nearest_points_equal_brute_force(spark):
         assert found[v] == set(sorted(points, key=lambda p: (abs(p - x / n), -p))[:7])
 
 
+def test_distances_equal_brute_force_where_one_score_has_most_rows(spark):
+    rng = random.Random(9)
+    points = sorted({rng.randrange(1, 1000) / 1000 for _ in range(40)})
+    curve = spark.createDataFrame([(p, rng.randrange(5000)) for p in points], "jaccard double, distance int")
+    at = {r.jaccard: r.distance for r in curve.collect()}
+    asked = [("a", str(i), i % 4, 0 if i % 3 else rng.randrange(1001), 0 if i % 17 == 0 else 1000) for i in range(120)]
+    rows = spark.createDataFrame(asked, "u string, v string, orientation int, barcodes_intersect int, barcodes_union int")
+    k, expected = 6, {}
+    for _, v, _, x, n in asked:
+        if n:
+            d = sorted(at[p] for p in sorted(points, key=lambda p: (abs(p - x / n), -p))[:k])
+            low, mid, high = (s * d[math.floor(q * 5)] + (1 - s) * d[math.ceil(q * 5)] for q in (0.01, 0.5, 0.99) for s in [q * 5 - math.floor(q * 5)])
+            expected[v] = (math.floor(low), math.floor(mid + 0.5), math.ceil(high), x / n)
+    fields = ("min_dist", "dist", "max_dist", "jaccard")
+    assert {r.v: tuple(r[f] for f in fields) for r in ds.estimate_distances(rows, curve, k).collect()} == expected
+    edges = spark.createDataFrame([(*r[:3], 1) for r in asked] + [("x", "y", 0, 2), ("x", None, 1, 3)], EDGES)
+    found = ds.edges_with_distances(edges, rows, curve, k).collect()
+    assert len(found) == 122
+    assert {r.v: tuple(r[f] for f in fields) for r in found if r.jaccard is not None} == expected
+    bare = ds.edges_with_distances(edges, rows, curve.limit(0), k).collect()
+    assert len(bare) == 122 and all(r.dist is None for r in bare)
+    assert ds.estimate_distances(rows, curve.limit(0), k).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.01, 0.3, 0.5, 1.0])
+def test_quantiles_of_groups_equal_those_of_lists(spark, q):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.randrange(6)) for _ in range(90)] + [("d", 7), ("e", None), ("f", 2), ("f", None), (None, 1), (None, 4)]
+    frame = spark.createDataFrame(rows, "k string, x long")
+    got = {r.k: r.q for r in grouped_quantile(frame, ["k"], "x", q).collect()}
+    lists = frame.filter("x is not null").groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("d"))
+    assert got == {r.k: pytest.approx(r.q) for r in lists.select("k", swapped_quantile(F.col("d"), q).alias("q")).collect()}
+
+
 def test_digraph_of_the_long_read_demo(spark):
     edges = spark.createDataFrame([("1", "2", 3, 5), ("2", "3", 1, 4)], EDGES)
     got = {(r.src + r.src_strand, r.dst + r.dst_strand, r.d, r.n) for r in gr.to_digraph(edges, 100).collect()}
