@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -131,34 +132,40 @@ class FMIndex:
 
 
 def phrases_of(items: list[tuple]) -> tuple:
-    """Windows of the benchmark items: word symbols, the windows with their items, in numpy."""
+    """Windows of the benchmark items, all in numpy: the vocabulary, a row of word symbols for each different window
+    (right-aligned, 0 before a short one), its length, the items of window w at owners[begins[w] : begins[w + 1]], the ids
+    of the items, and the length of the shortest window."""
     column = pa.array([text for _, text in items], pa.large_string())
     raw, offsets = text_buffer(column)
     starts, ends, first = find_words(raw, offsets, ALNUM)
     hashes = word_hashes(raw, starts, ends, _VALUES)
     vocabulary = np.unique(hashes)
-    symbols = np.searchsorted(vocabulary, hashes) + 1
-    owners: dict[tuple, set] = defaultdict(set)
-    for i in range(len(items)):
-        words = symbols[first[i] : first[i + 1]].tolist()
-        for k in range(max(1, len(words) - WINDOW + 1) if words else 0):
-            owners[tuple(words[k : k + WINDOW])].add(i)
-    windows = list(owners)
-    lengths = np.array([len(w) for w in windows], np.int64)
-    rows = np.zeros((len(windows), WINDOW), np.int64)
-    for i, w in enumerate(windows):
-        rows[i, WINDOW - len(w) :] = w
+    symbols = (np.searchsorted(vocabulary, hashes) + 1).astype(np.int32)
+    counts = np.diff(first)
+    windows = np.where(counts > 0, np.maximum(1, counts - WINDOW + 1), 0)
+    owner = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+    begin = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    size = np.minimum(counts[owner], WINDOW)
+    rows = np.zeros((len(owner), WINDOW), np.int32)
+    for i in range(WINDOW):  # the i-th word from the right
+        held = size > i
+        rows[held, WINDOW - 1 - i] = symbols[begin[held] + size[held] - 1 - i]
+    rows, which = np.unique(rows, axis=0, return_inverse=True)
+    owned = np.unique(which.reshape(-1).astype(np.int64) * max(1, len(items)) + owner)
+    begins = np.searchsorted(owned, np.arange(len(rows) + 1) * max(1, len(items)))
+    lengths = (rows > 0).sum(axis=1)
     shortest = int(lengths.min()) if len(lengths) else 0
-    return vocabulary, rows, lengths, [sorted(owners[w]) for w in windows], [str(k) for k, _ in items], shortest
+    return vocabulary, rows, lengths, (begins, (owned % max(1, len(items))).astype(np.int32)), [str(k) for k, _ in items], shortest
 
 
 def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: tuple):
-    """Word places of one shard, which words are hit, and (row, item) pairs.
+    """Word places of one shard, which words are hit, and different pairs of row and item.
 
     Words that no phrase holds cannot be in an occurrence, so each stretch of them is one break in the
-    indexed text; stretches of known words shorter than the shortest phrase are left out likewise.
+    indexed text; stretches of known words shorter than the shortest phrase are left out likewise. Phrases with a word
+    that the indexed text lacks cannot occur in it and are not searched.
     """
-    vocabulary, rows, lengths, owners, _, shortest = phrases
+    vocabulary, rows, lengths, (begins, owners), ids, shortest = phrases
     parts, seen = [], 0
     begin = []
     for lo, hi in runs(offsets):
@@ -174,7 +181,7 @@ def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: tuple):
     first = np.append(np.concatenate(begin) if begin else np.zeros(0, np.int64), seen)
     n = len(symbols)
     diff = np.zeros(n + 1, np.int64)
-    pairs: set[tuple[int, int]] = set()
+    pairs = np.zeros((0, 2), np.int64)
     if n and len(rows):
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (symbols[1:] == 0) | (symbols[:-1] == 0)])
@@ -190,13 +197,21 @@ def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: tuple):
             place = np.zeros(len(text), np.int64)
             text[target], place[target] = symbols[kept], kept
             index = FMIndex(text, len(vocabulary))
-            low, high = index.search(rows, lengths)
+            held = np.zeros(len(vocabulary) + 1, bool)
+            held[0], held[text] = True, True
+            asked = np.flatnonzero(held[rows].all(axis=1))
+            low, high = index.search(rows[asked].astype(np.int64), lengths[asked])
             phrase, position = index.locate(low, high)
+            phrase = asked[phrase]
             at = place[position]
             np.add.at(diff, at, 1)
             np.add.at(diff, at + lengths[phrase], -1)
-            for d, p in set(zip(doc[at].tolist(), phrase.tolist(), strict=True)):
-                pairs.update((d, item) for item in owners[p])
+            found = np.unique(doc[at] * np.int64(len(rows)) + phrase)
+            d, p = found // len(rows), found % len(rows)
+            many = begins[p + 1] - begins[p]
+            item = owners[np.repeat(begins[p], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+            both = np.unique(np.repeat(d, many) * np.int64(len(ids)) + item)
+            pairs = np.stack([both // len(ids), both % len(ids)], axis=1)
     hit = np.cumsum(diff[:-1]) > 0
     return starts, ends, first, hit, pairs
 
@@ -239,60 +254,86 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
     symbols get an FM-index (suffix order, wavelet matrix of the transform, sampled suffix positions), all
     windows are searched backwards at once, and their occurrences merge into the spans that clean_text
     lacks. Texts stay where they are read: no shuffle. A benchmark of more than PHRASE_BYTES takes as many
-    passes, each of which holds one block of it. Null texts and benchmark texts have no words; items
-    with no words never occur; repeated rows are judged alike; repeated item ids count as one item; an
+    passes, each of which holds one block of it: texts are saved once, a pass gives the rows that it hits and a bit for
+    each of their words, and these meet the texts at the end. Null texts and benchmark texts have no words; items
+    with a null id are left out; items with no words never occur; repeated rows are judged alike; repeated item ids count as one item; an
     empty table gives no rows. Columns of docs named like these results are replaced.
     """
-    new = ("n_words", "n_hit", "items", "clean_text", "__hit")
+    new = ("n_words", "n_hit", "items", "clean_text", "__row", "__hit", "__items")
     kept = [c for c in docs.columns if c not in new]
     frame, context = docs.select(*kept), docs.sparkSession.sparkContext
-    part = with_fields(frame, "__hit binary, items array<string>")
     shape = with_fields(frame, "n_words long, n_hit long, items array<string>, clean_text string")
     blocks = _blocks(benchmark, item, benchmark_text)
-    block, begun = next(blocks), False
-    while block is not None:
-        after = next(blocks, None)
-        sent = context.broadcast(phrases_of(block))
-        frame = frame.mapInArrow(_search(sent, text, kept, begun, after is None), shape if after is None else part)
-        if after is not None:
-            frame = checkpoint(frame)  # the next pass holds its own block alone
-            sent.unpersist()
-        block, begun = after, True
-    return frame
+    block = next(blocks)
+    after = next(blocks, None)
+    if after is None:
+        return frame.mapInArrow(_search(context.broadcast(phrases_of(block)), text, kept), shape)
+    numbered = checkpoint(frame.withColumn("__row", F.monotonically_increasing_id()))
+    passes = []
+    for own in chain([block, after], blocks):
+        sent = context.broadcast(phrases_of(own))
+        passes.append(checkpoint(numbered.select("__row", text).mapInArrow(_hits(sent, text), "__row long, __hit binary, __items array<string>")))
+        sent.unpersist()  # the next pass holds its own block alone
+    merged = reduce(DataFrame.unionByName, passes).groupBy("__row").agg(F.collect_list("__hit").alias("__hit"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+    return numbered.join(merged, "__row", "left").select(*kept, "__hit", "__items").mapInArrow(_merge(text, kept), shape)
+
+
+def _hits(sent: Broadcast, text: str):
+    """One of several passes: (__row, __hit, __items) of the rows that it hits, a bit for each word."""
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in shards(batches, text):
+            _, _, first, hit, pairs = search_shard(raw, offsets, sent.value)
+            rows, at = np.unique(pairs[:, 0], return_index=True)
+            items = [[sent.value[4][i] for i in own] for own in np.split(pairs[:, 1], at[1:])] if len(rows) else []
+            bits = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() for d in rows]
+            columns = [batch.column("__row").take(pa.array(rows, pa.int64())), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__row", "__hit", "__items"])
+
+    return search
+
+
+def _merge(text: str, kept: list[str]):
+    """What several passes found, together, in the texts: a word is hit if one of them hits it."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in shards(batches, text):
+            starts, ends, first = find_words(raw, offsets, ALNUM)
+            hit = np.zeros(len(starts), bool)
+            for d, own in enumerate(batch.column("__hit").to_pylist()):
+                for bits in own or ():
+                    hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(first[d + 1] - first[d])).astype(bool)
+            found = [sorted(x or ()) for x in batch.column("__items").to_pylist()]
+            yield _counted(batch, raw, offsets, starts, ends, first, hit, found, text, kept)
+
+    return merge
 
-def _search(sent: Broadcast, text: str, kept: list[str], begun: bool, last: bool):
-    """One pass: adds its hits to those of the passes before; the last one counts and cuts them."""
+
+def _search(sent: Broadcast, text: str, kept: list[str]):
+    """The only pass: counts its hits and cuts them out."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in shards(batches, text):
             starts, ends, first, hit, pairs = search_shard(raw, offsets, sent.value)
             found = [set() for _ in range(batch.num_rows)]
-            for d, i in pairs:
+            for d, i in pairs.tolist():
                 found[d].add(sent.value[4][i])
-            if begun:
-                own = zip(batch.column("__hit").to_pylist(), np.diff(first).tolist(), strict=True)
-                hit = hit | np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in own]).astype(bool)
-                for d, items in enumerate(batch.column("items").to_pylist()):
-                    found[d].update(items)
-            items = pa.array([sorted(f) for f in found], pa.list_(pa.string()))
-            held = [batch.column(c) for c in kept]
-            if not last:
-                bits = pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*held, bits, items], names=[*kept, "__hit", "items"])
-                continue
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = sums[first[1:]] - sums[first[:-1]]
-            texts = batch.column(text).to_pylist()
-            for d in np.flatnonzero(n_hit):
-                a, b = first[d], first[d + 1]
-                whole = raw[offsets[d] : offsets[d + 1]].tobytes()
-                texts[d] = without_spans(whole, starts[a:b] - offsets[d], ends[a:b] - offsets[d], hit[a:b])
-            columns = [*held, pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "n_hit", "items", "clean_text"])
+            yield _counted(batch, raw, offsets, starts, ends, first, hit, [sorted(x) for x in found], text, kept)
 
     return search
 
 
+def _counted(batch, raw, offsets, starts, ends, first, hit, found, text, kept) -> pa.RecordBatch:
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = sums[first[1:]] - sums[first[:-1]]
+    texts = batch.column(text).to_pylist()
+    for d in np.flatnonzero(n_hit):
+        a, b = first[d], first[d + 1]
+        whole = raw[offsets[d] : offsets[d + 1]].tobytes()
+        texts[d] = without_spans(whole, starts[a:b] - offsets[d], ends[a:b] - offsets[d], hit[a:b])
+    columns = [*(batch.column(c) for c in kept), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "n_hit", "items", "clean_text"])
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

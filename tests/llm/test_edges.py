@@ -503,6 +503,35 @@ def test_contamination_in_passes(spark, odd, docs, monkeypatch):
     assert {r.doc_id: (r.n_hit, len(r["items"])) for r in found} == {d: t[1:3] for d, t in truth.items()}
 
 
+def test_passes_give_what_one_pass_gives(spark, odd, docs, monkeypatch):
+    items = [(i % 7, " ".join(NEAR.split()[i : i + 5 + i])) for i in range(0, 40, 2)] + [(8, LINE), (9, "one"), (10, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    wide = odd.withColumns({c: F.lit("own") for c in ("n_hit", "__row", "__hit", "__items")})
+
+    def found():
+        return sorted((tuple(r) for r in decontam.find_contamination(wide, benchmark).collect()), key=repr)
+
+    one = found()
+    monkeypatch.setattr(decontam, "PHRASE_BYTES", 64)
+    assert found() == one
+    assert decontam.find_contamination(wide.limit(0), benchmark).count() == 0
+
+
+def test_windows_of_a_benchmark():
+    rng = np.random.default_rng(3)
+    items = [(f"i{i}", " ".join(rng.choice(["a", "b", "c"], rng.integers(0, 25)))) for i in range(60)] + [("i0", "a b"), ("z", None)]
+    vocabulary, rows, lengths, (begins, owners), ids, shortest = decontam.phrases_of(items)
+    letters = {int(np.searchsorted(vocabulary, h)) + 1: w for w in "abc" for h in [decontam.phrases_of([("x", w)])[0][0]]}
+    truth = {}
+    for i, (_, text) in enumerate(items):
+        own = (text or "").split()
+        for k in range(max(1, len(own) - 9) if own else 0):
+            truth.setdefault(tuple(own[k : k + 10]), set()).add(i)
+    got = {tuple(letters[s] for s in row[10 - n :].tolist()): set(owners[a:b].tolist()) for row, n, a, b in zip(rows, lengths, begins[:-1], begins[1:], strict=True)}
+    assert got == truth and len(rows) == len(truth)
+    assert ids == [k for k, _ in items] and shortest == min(map(len, truth))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fm_index(seed):
     rng = np.random.default_rng(seed)
