@@ -37,9 +37,9 @@ def contig_ends(contigs: DataFrame, min_size: int, end_length: int, order: list[
 
 
 def validate_header(header: DataFrame, lengths: DataFrame) -> None:
-    """Raises if an alignment header names an unknown contig or another length."""
+    """Raises if an alignment header names an unknown contig, or another length or none."""
     known = lengths.select(F.col("contig").alias("contig_id"), F.col("length").alias("known"))
-    bad = header.join(known, "contig_id", "left").filter("known is null or known <> length").limit(1).collect()
+    bad = header.join(known, "contig_id", "left").filter("known is null or not known <=> length").limit(1).collect()
     if bad:
         row = bad[0]
         raise ValueError(f"unexpected sequence {row['contig_id']} of length {row['length']} (known: {row['known']})")

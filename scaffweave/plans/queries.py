@@ -20,9 +20,9 @@ from ..operators import pairs as pr
 from ..operators import sinks
 from ..operators.numbering import number_rows, shared_folder
 from ..operators.onefile import write_one_file, write_table
-from ..sources import dot, offsets
+from ..sources import dot, graphs, offsets
 from ..sources.rich import read_rich
-from ..sources.sequences import fasta_index, read_fastq, read_records
+from ..sources.sequences import fasta_index, interleave, read_alignments, read_contigs, read_fastq, read_multiplicity, read_records, read_sam_header, read_sequences
 from ..params import ScaffoldParams
 from . import standins as st
 from .scaffolder import Scaffolder
@@ -857,3 +857,97 @@ def long_read_run(spark, sf):
     write_one_file(st.solid_sequences(spark, sf).select("ord", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")), path, ["ord"])
     params = ScaffoldParams(file=path, inputs=(path,), kmer_mode=True, k_value=20, end_length=300, min_size=500)
     return Scaffolder(params).run_long(spark, cut=60, min_length=0).imap
+
+
+def _new_path(spark, name: str) -> str:
+    stem, _, end = name.rpartition(".")
+    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4()}.{end}"
+
+
+def _alignment_files(spark, sf) -> list[str]:
+    """All alignment rows in two text files with a header each: thousands of events by turns."""
+    rows = st.alignments(spark, sf)
+    columns = [F.col(c).cast("string") for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags")]
+    head = spark.createDataFrame([(-4 + i, f"@SQ\tSN:c{i}\tLN:400") for i in range(3)] + [(-1, "@PG\tID:x")], "ord long, value string")
+    paths = []
+    for name, own in (("a", F.col("ord") % 2000 < 1000), ("b", F.col("ord") % 2000 >= 1000)):
+        paths.append(_new_path(spark, f"{name}.sam"))
+        write_one_file(head.unionByName(rows.filter(own).select("ord", F.concat_ws("\t", *columns).alias("value"))), paths[-1], ["ord"])
+    return paths
+
+
+@_query("""select part, cast(3 + row_number() over (partition by part order by ord) as bigint) ord, qname, flag, rname, pos, mapq, ord % 10 || 'S' || (100 - ord % 10) || 'M' cigar, 100 n_bases, 'NM:i:' || ord % 4 || chr(9) || 'BX:Z:' || barcode tags
+    from (select *, case when ord % 2000 < 1000 then 'a' else 'b' end part from pairs_raw)""")
+def scan_sam(spark, sf):
+    """All alignment rows, written to two files and read back in the order of each."""
+    rows = read_alignments(spark, *_alignment_files(spark, sf))
+    return rows.select(F.regexp_extract("file", r"/([ab])-[^/]*$", 1).alias("part"), "ord", "qname", "flag", "rname", "pos", "mapq", "cigar", F.length("seq").alias("n_bases"), "tags")
+
+
+@_query("""select barcode, contig, mid_pos <= 150 is_head, count(*) n from (select barcode, r2 contig, (p1 + p2) // 2 mid_pos from (
+    select *, max(last) over (partition by part) part_last from (select part, qname, count(*) n, max(ord) last, min_by(flag, ord) f1, max_by(flag, ord) f2, min_by(mapq, ord) m1, max_by(mapq, ord) m2, min_by(si, ord) s1, max_by(si, ord) s2,
+      min_by(rname, ord) r1, max_by(rname, ord) r2, max_by(barcode, ord) barcode, min_by(pos, ord) p1, max_by(pos, ord) p2 from (select *, case when ord % 2000 < 1000 then 'a' else 'b' end part from pairs_raw) group by part, qname))
+    where n = 2 and last < part_last and f1 in (99, 147) and f2 in (99, 147) and m1 <> 0 and m2 <> 0 and s1 >= 90 and s2 >= 90 and r1 = r2) where mid_pos <= 150 or mid_pos > 250 group by all""")
+def scan_multi_file(spark, sf):
+    """A whole run over two alignment files that a third one lists, with lengths from their headers; mates lie within one file."""
+    listed = _new_path(spark, "inputs.txt")
+    paths = spark.createDataFrame(list(enumerate(_alignment_files(spark, sf))), "ord long, value string")
+    write_one_file(paths, listed, ["ord"])
+    return Scaffolder(ScaffoldParams(fof_name=listed, seq_id=90, min_size=100, end_length=150)).run(spark).imap
+
+
+@_query("select contig contig_id, length from lens")
+def scan_sam_sq(spark, sf):
+    """Lengths of contigs as the header of an alignment file, read back and held against them."""
+    lengths = st.lengths(spark, sf)
+    path = _new_path(spark, "header.sam")
+    write_one_file(lengths.select("contig", F.concat(F.lit("@SQ\tM5:x\tSN:"), "contig", F.lit("\tLN:"), "length", F.lit("\tUR:y")).alias("value")), path, ["contig"])
+    header = read_sam_header(spark, path)
+    ct.validate_header(header, lengths)
+    return header.drop("file")
+
+
+@_query("select barcode, cast(mult as int) mult from mult")
+def scan_barcode_mult(spark, sf):
+    """Barcodes and how often they come, as a table in which each is listed twice: the last row counts."""
+    path = _new_path(spark, "mult.csv")
+    twice = st.multiplicity(spark, sf).select("barcode", F.posexplode(F.array(F.lit(1).cast("long"), "mult")))
+    write_one_file(twice.select("pos", "barcode", F.concat_ws(",", "barcode", F.col("col").cast("string")).alias("value")), path, ["pos", "barcode"])
+    return read_multiplicity(spark, path)
+
+
+@_query("select u, v, orientation, weight from edges")
+def scan_gv(spark, sf):
+    """The scaffold graph, written and read back."""
+    nodes, edges = graphs.read_gv(spark, _written(spark, sinks.gv_lines(_edges(spark, sf)).select("value"), ".txt"))
+    return graphs.gv_edges(nodes, edges).drop("dist")
+
+
+def _fasta_file(spark, rows, width: int) -> str:
+    path = _new_path(spark, "draft.fa")
+    lines = F.regexp_replace("seq", "(.{%d})" % width, "$1\n")
+    write_one_file(rows.select("ord", F.concat(F.lit(">"), "name", F.lit(" x\n"), lines).alias("value")), path, ["ord"])
+    return path
+
+
+@_query("select cast(doc_id as varchar) contig, length(seq) length from solid where seq is not null")
+def scan_fasta_lengths(spark, sf):
+    """Lengths of all sequences, read from a FASTA file with lines of 70 letters."""
+    return ct.contig_lengths(read_contigs(spark, _fasta_file(spark, st.solid_sequences(spark, sf), 70)))
+
+
+@_query("""select row_number() over (order by r, file_no) - 1 place, file_no, "name", seq_md5 from (select cast(doc_id % 2 as int) file_no, row_number() over (partition by doc_id % 2 order by doc_id) r, cast(doc_id as varchar) "name", md5(seq) seq_md5 from solid where seq is not null)""")
+def fasta_interleave(spark, sf):
+    """Sequences of two FASTA files taken in turn."""
+    rows = st.solid_sequences(spark, sf)
+    files = [read_sequences(spark, _fasta_file(spark, rows.filter(F.col("doc_id") % 2 == i), 80)) for i in (0, 1)]
+    return interleave(*files).select("place", "file_no", "name", F.md5("seq").alias("seq_md5"))
+
+
+@_query("""select doc_id, read_num, translate(substr(seq, s, size), 'ACGT', '@>+I') fwd_qual, reverse(translate(substr(seq, case when read_num = whole then length(seq) - size + 1 else s + 250 end, size), 'ACGT', '@>+I')) rev_qual from (
+    select *, case when read_num = whole then length(seq) - rest else read_num * 500 end + 1 s, case when read_num = whole then least(250, rest) else 250 end size from (
+      select doc_id, seq, length(seq) // 500 whole, length(seq) % 500 rest, unnest(range(0, length(seq) // 500 + case when length(seq) % 500 = 0 then 0 else 1 end)) read_num from solid where length(seq) >= 500))""")
+def lr_qual(spark, sf):
+    """The qualities of the mates that all sequences are cut into; the second mate's are turned."""
+    reads = st.solid_sequences(spark, sf).withColumns({"barcode": F.col("doc_id"), "qual": F.translate("seq", "ACGT", "@>+I")})
+    return lr.cut_long_reads(reads, 250).select(F.col("barcode").alias("doc_id"), F.col("read_num").cast("long").alias("read_num"), "fwd_qual", "rev_qual")

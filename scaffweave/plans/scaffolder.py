@@ -43,7 +43,7 @@ class Scaffolder:
 
     def run(self, spark: SparkSession) -> ScaffoldResult:
         p = self.params
-        inputs = [*p.inputs, *(sq.read_fof(p.fof_name) if p.fof_name else [])]
+        inputs = [*p.inputs, *(sq.read_fof(spark, p.fof_name) if p.fof_name else [])]
         if not inputs:
             raise ValueError("there are no inputs")
         kind = sq.detect_format(inputs)
@@ -85,7 +85,7 @@ class Scaffolder:
         p = self.params
         if not p.kmer_mode:
             raise ValueError("long reads are placed by k-mers; for the other mode cut them and align the pairs")
-        inputs = [*p.inputs, *(sq.read_fof(p.fof_name) if p.fof_name else [])]
+        inputs = [*p.inputs, *(sq.read_fof(spark, p.fof_name) if p.fof_name else [])]
         if not inputs:
             raise ValueError("there are no inputs")
         contigs = ct.rename_contigs(sq.read_contigs(spark, p.file))

@@ -7,12 +7,13 @@ import glob
 import gzip
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.numbering import saved
+from ..operators.numbering import number_rows, saved
 from .records import read_line_records
 
 RECORD = "file string, ord bigint, name string, comment string, seq string, qual string"
@@ -175,10 +176,10 @@ def read_multiplicity(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("barcode <> '' and mult is not null").groupBy("barcode").agg(F.max_by("mult", "ord").alias("mult"))
 
 
-def read_fof(path: str) -> list[str]:
-    """Paths listed one a line."""
-    with open(path) as f:
-        names = [x.strip() for x in f if x.strip()]
+def read_fof(spark: SparkSession, path: str) -> list[str]:
+    """Paths listed one a line, in a file wherever Spark reads files; in their order."""
+    lines = read_records(spark, [path]).select("ord", F.trim("line").alias("line")).filter("line <> ''")
+    names = [r["line"] for r in sorted(lines.collect(), key=lambda r: r["ord"])]
     if not names:
         raise ValueError(f"{path} lists no files")
     return names
@@ -193,11 +194,9 @@ def detect_format(paths: list[str]) -> str:
 
 
 def interleave(*frames: DataFrame) -> DataFrame:
-    """Records of several files taken in turn: place by place, file by file."""
-    out = frames[0].withColumn("file_no", F.lit(0))
-    for i, f in enumerate(frames[1:], 1):
-        out = out.unionByName(f.withColumn("file_no", F.lit(i)))
-    return out.orderBy("ord", "file_no")
+    """Records of several files taken in turn, place by place, file by file; `place` is where each comes, from 0."""
+    numbered = [number_rows(f, ["ord"], "record").withColumn("file_no", F.lit(i)) for i, f in enumerate(frames)]
+    return number_rows(reduce(DataFrame.unionByName, numbered), ["record", "file_no"], "place").drop("record")
 
 
 def fasta_index(contigs: DataFrame, line: int = 60) -> DataFrame:

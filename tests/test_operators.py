@@ -411,3 +411,31 @@ def test_parameters_are_appended(spark, tmp_path):
     sinks.append_params(sinks.param_lines(one_row), path)
     sinks.append_params(sinks.param_lines(spark.createDataFrame([(1200,)], "read_p90 long")), path)
     assert sorted(r.value for r in spark.read.text(path).collect()) == ["read_p90\t1200", "span\t7"]
+
+
+@pytest.mark.parametrize("rows,bad", [([("a", 5)], None), ([], None), ([("a", 5), ("c", 1)], "c"), ([("b", 9)], "b"), ([("a", None)], "a")])
+def test_a_header_is_held_against_the_draft(spark, rows, bad):
+    lengths = spark.createDataFrame([("a", 5), ("b", 8)], "contig string, length int")
+    header = spark.createDataFrame([("f", *r) for r in rows], "file string, contig_id string, length int")
+    if bad is None:
+        ct.validate_header(header, lengths)
+    else:
+        with pytest.raises(ValueError, match=f"unexpected sequence {bad} "):
+            ct.validate_header(header, lengths)
+
+
+def test_listed_inputs(spark, tmp_path):
+    listed, none = tmp_path / "inputs.txt", tmp_path / "none.txt"
+    listed.write_text("b.sam\n\n  a.sam \nc.sam")
+    none.write_text("\n")
+    assert sq.read_fof(spark, str(listed)) == ["b.sam", "a.sam", "c.sam"]
+    with pytest.raises(ValueError, match="lists no files"):
+        sq.read_fof(spark, str(none))
+
+
+def test_interleaved_files_of_different_lengths(spark):
+    shape = "file string, ord long, name string"
+    one = spark.createDataFrame([("x", 5 * i, f"x{i}") for i in range(4)], shape).repartition(3)
+    two = spark.createDataFrame([("y", i, f"y{i}") for i in range(2)], shape)
+    got = sorted((r.place, r.name) for r in sq.interleave(one, two, two.limit(0)).collect())
+    assert got == list(enumerate(["x0", "y0", "x1", "y1", "x2", "x3"]))
