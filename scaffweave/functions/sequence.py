@@ -36,7 +36,7 @@ def is_valid_contig(seq: Column) -> Column:
 
 def is_valid_read(seq: Column, most_n: float = 0.02) -> Column:
     """Only A, C, G, T and N, and of N no more than the share; an empty read is valid."""
-    n = F.length(seq) - F.length(F.translate(F.upper(seq), "N", ""))
+    n = F.length(seq) - F.length(F.replace(F.upper(seq), F.lit("N"), F.lit("")))
     return seq.rlike("(?i)^[ACGTN]*$") & (n <= F.length(seq) * most_n)
 
 

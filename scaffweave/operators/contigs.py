@@ -28,11 +28,14 @@ def rename_contigs(contigs: DataFrame, order: list[str] | None = None) -> DataFr
 
 def contig_ends(contigs: DataFrame, min_size: int, end_length: int, order: list[str] | None = None) -> DataFrame:
     """(end_idx, contig, is_head, end_seq) of contigs that are long enough; the i-th has ends 2i-1 and 2i."""
-    kept = number_rows(contigs.filter(F.length("seq") >= min_size), order or ["file", "ord"], "place", start=1)
+    order = order or ["file", "ord"]
     cut = end_cutoff(F.length("seq"), end_length)
-    head = F.struct((F.col("place") * 2 - 1).alias("end_idx"), F.lit(True).alias("is_head"), F.substring("seq", F.lit(1), cut).alias("end_seq"))
-    tail = F.struct((F.col("place") * 2).alias("end_idx"), F.lit(False).alias("is_head"), F.right("seq", cut).alias("end_seq"))
-    rows = kept.select(F.col("contig_id").alias("contig"), F.explode(F.array(head, tail)).alias("end"))
+    # cut before they are numbered, so that no more than the ends is dealt
+    ends = contigs.filter(F.length("seq") >= min_size).select(*order, F.col("contig_id").alias("__contig"), F.substring("seq", F.lit(1), cut).alias("__head"), F.right("seq", cut).alias("__tail"))
+    kept = number_rows(ends, order, "place", start=1)
+    head = F.struct((F.col("place") * 2 - 1).alias("end_idx"), F.lit(True).alias("is_head"), F.col("__head").alias("end_seq"))
+    tail = F.struct((F.col("place") * 2).alias("end_idx"), F.lit(False).alias("is_head"), F.col("__tail").alias("end_seq"))
+    rows = kept.select(F.col("__contig").alias("contig"), F.explode(F.array(head, tail)).alias("end"))
     return rows.select("end.end_idx", "contig", "end.is_head", "end.end_seq")
 
 

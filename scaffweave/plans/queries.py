@@ -705,12 +705,11 @@ def agg_read_pair_assign(spark, sf):
     """Pairs cut from all sequences, assigned to the ends of all of them by 20-mers."""
     seqs = st.solid_sequences(spark, sf)
     ends = ct.contig_ends(seqs.withColumnRenamed("name", "contig_id"), 500, 300)
-    index = km.kmer_index(km.kmer_rows(ends, "end_seq", 20, ["end_idx"], jump=True))
     barcode = (F.col("doc_id") % 7).cast("string")
     cuts = lr.cut_long_reads(seqs.withColumn("barcode", F.col("doc_id")), 60, fasta=True)
     pairs = cuts.select(F.lit("f").alias("file"), F.struct("barcode", "read_num").alias("pair"), (F.col("barcode") % 7).cast("string").alias("barcode"), F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
     mult = seqs.groupBy(barcode.alias("barcode")).agg(F.count("*").alias("mult"))
-    return km.kmer_end_counts(pairs, mult, index, ends, 20, 0.55)
+    return km.kmer_end_counts(pairs, mult, ends, 20, 0.55)
 
 
 @_query("""select l_returnflag letter, case l_returnflag when 'A' then 1 when 'N' then 15 else 5 end mask, case l_returnflag when 'A' then 'A' when 'N' then 'M' else 'A' end with_m,

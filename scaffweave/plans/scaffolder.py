@@ -71,8 +71,7 @@ class Scaffolder:
         reads = sq.read_sequences(spark, *inputs)
         mult = sq.read_multiplicity(spark, p.multfile) if p.multfile else pr.barcode_multiplicity(reads.select(bx_from_comment(F.col("comment")).alias("barcode")))
         ends = ct.contig_ends(contigs, p.min_size, p.end_length)
-        index = km.kmer_index(km.kmer_rows(ends, "end_seq", p.k_value, ["end_idx"], jump=True))
-        imap = km.kmer_end_counts(km.read_pairs(reads), mult, index, ends, p.k_value, p.j_index)
+        imap = km.kmer_end_counts(km.read_pairs(reads), mult, ends, p.k_value, p.j_index)
         return self.from_counts(imap, mult, ct.contig_lengths(contigs.filter(F.col("length") >= p.min_size)))
 
     def run_long(self, spark: SparkSession, cut: int = 250, min_length: int = 2000, genome_size: int = 0, span_share: float = 0.25, percentile: float = 50) -> ScaffoldResult:
@@ -94,8 +93,7 @@ class Scaffolder:
         pairs = cuts.select(F.lit("").alias("file"), F.struct("barcode", "read_num").alias("pair"), "barcode", F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
         mult = lr.pseudo_multiplicity(reads, cut, min_length).withColumnRenamed("n", "mult")
         ends = ct.contig_ends(contigs, p.min_size, p.end_length)
-        index = km.kmer_index(km.kmer_rows(ends, "end_seq", p.k_value, ["end_idx"], jump=True))
-        imap = km.kmer_end_counts(pairs, mult, index, ends, p.k_value, p.j_index)
+        imap = km.kmer_end_counts(pairs, mult, ends, p.k_value, p.j_index)
         result = self.from_counts(imap, mult, ct.contig_lengths(contigs.filter(F.col("length") >= p.min_size)))
         spans = [lr.span(reads, genome_size, span_share)] if genome_size else []
         result.extra.update(contigs=contigs, bx_mult=mult, params=[*spans, lr.length_percentile(reads, percentile)])

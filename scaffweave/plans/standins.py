@@ -48,7 +48,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def solid_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequences(spark, sf_dir)
-    return rows.withColumn("seq", F.translate("seq", " ", ""))
+    return rows.withColumn("seq", F.replace("seq", F.lit(" "), F.lit("")))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -439,3 +439,48 @@ def test_interleaved_files_of_different_lengths(spark):
     two = spark.createDataFrame([("y", i, f"y{i}") for i in range(2)], shape)
     got = sorted((r.place, r.name) for r in sq.interleave(one, two, two.limit(0)).collect())
     assert got == list(enumerate(["x0", "y0", "x1", "y1", "x2", "x3"]))
+
+
+@pytest.mark.parametrize("k", [5, 12, 20, 33])
+def test_windows_are_compared_as_stretches(spark, monkeypatch, k):
+    """Hits of stretches equal those of the index of single windows, on Spark and in small portions: other letters, copies of
+    ends and reads, other strands, runs of one letter."""
+    import pyarrow as pa
+
+    rng = random.Random(k)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    texts = [letters(150) for _ in range(6)] + [letters(120, "ACGTacgtN") for _ in range(3)] + ["A" * 90 + letters(30), "AC" * 60, letters(k - 1), "", None, "é" * 30 + letters(60)]
+    texts += [texts[0], texts[0][40:] + texts[1][:60], texts[2].translate(str.maketrans("ACGT", "TGCA"))[::-1][:90]]
+    own = [t[i : i + 70] for t in texts if t for i in range(0, max(1, len(t) - 40), 25)] + ["N" * 40, None, "A" * 200]
+    own += [t.translate(str.maketrans("ACGT", "TGCA"))[::-1] for t in own[:20]]
+    ends = spark.createDataFrame(list(enumerate(texts, 1)), "end_idx long, end_seq string")
+    reads = spark.createDataFrame([(i, None if i % 5 == 0 else f"b{i % 3}", t) for i, t in enumerate(own)], "id long, b string, seq string")
+    index = km.kmer_index(km.kmer_rows(ends, "end_seq", k, ["end_idx"], jump=True)).filter("end_idx <> 0")
+    rows = km.kmer_rows(reads, "seq", k, ["id", "b"]).join(index.select("kmer", "end_idx"), "kmer").groupBy("id", "b", "end_idx").agg(F.count("*").alias("cnt"))
+    want = {tuple(r) for r in rows.collect()}
+    got = km.end_hits(ends, reads, "seq", k, ["id", "b"]).groupBy("id", "b", "end_idx").agg(F.sum("cnt").alias("cnt"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+    for name, x in (("PLACES", 3), ("DEALT", 40), ("COMPARED", 60), ("MERGED", 50), ("AT_ONCE", 97)):
+        monkeypatch.setattr(km, name, x)
+    dealt = []
+    for side, frame in ((0, ends.select("end_seq", "end_idx")), (1, reads.select("seq", "id", "b"))):
+        dealt += [r for batch in km._deal(k, side == 0, side)(iter(frame.toArrow().to_batches())) for r in batch.to_pylist()]
+    dealt.sort(key=lambda r: (r["place"], r["side"]))
+    few = pa.RecordBatch.from_pylist(dealt, schema=pa.schema([("place", pa.int32()), ("side", pa.int32()), ("size", pa.int32()), ("data", pa.binary())]))
+    counts = {}
+    for batch in km._compare(k)(few.slice(i, 7) for i in range(0, few.num_rows, 7)):
+        for r in batch.to_pylist():
+            key = r["id"], r["b"], r["end_idx"]
+            counts[key] = counts.get(key, 0) + r["cnt"]
+    assert {(*key, n) for key, n in counts.items()} == want and len({r["place"] for r in dealt}) <= 3
+
+
+def test_windows_dealt_are_few_bytes_each():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = pa.array(["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(20000)])
+    rows = pa.RecordBatch.from_arrays([text, pa.array(range(20000))], names=["__seq", "id"])
+    size = sum(len(x) for batch in km._deal(20, False, 1)(iter([rows])) for x in batch.column(3).to_pylist())
+    assert size < 4 * 41 * 20000  # a row a window has its k-mer of 8 bytes alone
