@@ -14,6 +14,9 @@ these lead to the same few states, so the function of n is a short list of steps
 one after another, which tells the state that each split is entered in. (3) Splits count their records, and the
 counts before a split are where its numbers begin. (4) Splits cut out their records; only those that lie
 across splits are put together by a shuffle.
+
+A task looks at no more than a portion of a split's lines at once. What holds for splits holds for any stretch of lines, so
+in (1) every portion has a table of its own, and (3) and (4) carry the state from one portion to the next.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +34,10 @@ from ..operators.numbering import saved
 
 SEEK, SEQ, QUAL = 0, 1, 2
 _AT, _MORE, _PLUS = 64, 62, 43
+#: Lines and letters of one portion (a batch that Spark hands over more at most).
+PORTION_LINES, PORTION_LETTERS = 1 << 17, 1 << 23
 _STEP = "array<struct<upto: long, kind: int, value: long>>"
-_SUMMARY = f"fid long, block long, total long, seek struct<kind: int, value: long>, seq_by int, seq struct<kind: int, value: long>, steps {_STEP}, plus_total long, plus_steps {_STEP}"
+_SUMMARY = f"fid long, block long, portion long, total long, seek struct<kind: int, value: long>, seq_by int, seq struct<kind: int, value: long>, steps {_STEP}, plus_total long, plus_steps {_STEP}"
 
 
 class Lines:
@@ -88,6 +94,23 @@ class Lines:
             return stop, end, self.head_from(end)
         return stop, stop, self.head_from(stop)
 
+    def left(self, kind: int, value: int, own: np.ndarray) -> tuple[int, int]:
+        """The state after the last line, from the one that the lines are entered in and the records that begin here."""
+        if len(own):
+            return int(self.open_kind[own[-1]]), int(self.open_value[own[-1]])
+        if kind == SEEK:
+            return SEEK, 0
+        line = 0
+        if kind == SEQ:
+            line = int(self.breaks[0]) if len(self.breaks) else self.n
+            if line == self.n:
+                return SEQ, value + int(self.letters[-1])
+            value += int(self.letters[line])
+            line += 1  # it begins with +, else a record would begin here
+        if self.qual_end(line, value) > self.n:
+            return QUAL, value - int(self.letters[-1] - self.letters[line])
+        return SEEK, 0
+
     def chain(self, head: int) -> np.ndarray:
         """The records from a head on, as places in `heads`."""
         out, follower, n = [], self.follower.tolist(), len(self.heads)
@@ -140,29 +163,37 @@ def apply(split: dict, kind: int, value: int) -> tuple[int, int]:
 
 
 def _enter(splits: pd.DataFrame) -> pd.DataFrame:
-    """The state that each split of a file is entered in."""
+    """The state that each split of a file is entered in, from the tables of its portions."""
     kind, value, out = SEEK, 0, []
-    for split in splits.sort_values("block").to_dict("records"):
-        out.append((split["fid"], split["block"], kind, value))
+    for split in splits.sort_values(["block", "portion"]).to_dict("records"):
+        if split["portion"] == 0:
+            out.append((split["fid"], split["block"], kind, value))
         kind, value = apply(split, kind, value)
     return pd.DataFrame(out, columns=["fid", "block", "kind", "value"])
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each split; batches hold the splits of a task one after another, with all lines in order."""
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each split in portions, numbered from 0; batches hold the splits of a task one after another, with all
+    lines in order, and their columns begin with fid, block, first, marked, size."""
     held: list[pa.RecordBatch] = []
+    split, number, lines, letters = None, 0, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         fid, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         cuts = [0, *(np.flatnonzero((fid[1:] != fid[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (fid[low], block[low]):
-                yield pa.Table.from_batches(held)
-                held = []
+            if (fid[low], block[low]) != split:
+                if held:
+                    yield number, pa.Table.from_batches(held)
+                held, split, number, lines, letters = [], (fid[low], block[low]), 0, 0, 0
             held.append(batch.slice(low, high - low))
+            lines, letters = lines + high - low, letters + pc.sum(held[-1].column(4)).as_py()
+            if lines >= PORTION_LINES or letters >= PORTION_LETTERS:
+                yield number, pa.Table.from_batches(held)
+                held, number, lines, letters = [], number + 1, 0, 0
     if held:
-        yield pa.Table.from_batches(held)
+        yield number, pa.Table.from_batches(held)
 
 
 def _numbers(table: pa.Table) -> Lines:
@@ -170,46 +201,55 @@ def _numbers(table: pa.Table) -> Lines:
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _by_split(batches):
-        row = {"fid": table.column("fid")[0].as_py(), "block": table.column("block")[0].as_py()} | summary(_numbers(table))
+    for number, table in _portions(batches):
+        row = {"fid": table.column("fid")[0].as_py(), "block": table.column("block")[0].as_py(), "portion": number} | summary(_numbers(table))
         yield pa.RecordBatch.from_pylist([row], schema=_SUMMARY_TYPE)
 
 
 _STATE = pa.struct([("kind", pa.int32()), ("value", pa.int64())])
 _STEPS = pa.list_(pa.struct([("upto", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
 _SUMMARY_TYPE = pa.schema(
-    [("fid", pa.int64()), ("block", pa.int64()), ("total", pa.int64()), ("seek", _STATE), ("seq_by", pa.int32()), ("seq", _STATE), ("steps", _STEPS), ("plus_total", pa.int64()), ("plus_steps", _STEPS)]
+    [("fid", pa.int64()), ("block", pa.int64()), ("portion", pa.int64()), ("total", pa.int64()), ("seek", _STATE), ("seq_by", pa.int32()), ("seq", _STATE), ("steps", _STEPS), ("plus_total", pa.int64()), ("plus_steps", _STEPS)]
 )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _by_split(batches):
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Lines, int, tuple[int, int], np.ndarray]]:
+    """Portions with their lines, number, the state that they are entered in and the records that begin in them."""
+    for number, table in _portions(batches):
         lines = _numbers(table)
-        *_, head = lines.entered(table.column("kind")[0].as_py(), table.column("value")[0].as_py())
-        yield pa.RecordBatch.from_pylist([{"fid": table.column("fid")[0].as_py(), "block": table.column("block")[0].as_py(), "n": len(lines.chain(head))}])
+        if number == 0:
+            state = table.column("kind")[0].as_py(), table.column("value")[0].as_py()
+        own = lines.chain(lines.entered(*state)[2])
+        yield table, lines, number, state, own
+        state = lines.left(*state, own)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table, lines, _, _, own in _entered(batches):
+        yield pa.RecordBatch.from_pylist([{"fid": table.column("fid")[0].as_py(), "block": table.column("block")[0].as_py(), "n": len(own)}])
 
 
 def _gathered(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """For each range of lines their text without the line ends; ranges ascend."""
+    """For each range of lines their text without the line ends; ranges ascend and don't overlap."""
     low, high = offsets[begin], offsets[np.maximum(begin, end)]
-    use = np.zeros(len(data) + 1, np.int32)
-    np.add.at(use, low, 1)
-    np.add.at(use, high, -1)
+    some = high > low  # what is empty may lie anywhere
+    turns = np.diff(np.concatenate([[0], np.stack([low[some], high[some]], 1).ravel(), [len(data)]]))
+    use = np.repeat(np.arange(len(turns)) % 2 == 1, turns)
     bounds = np.concatenate([[0], np.cumsum(high - low)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(data[np.cumsum(use[:-1]) > 0])).cast(pa.string())
+    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(data[use])).cast(pa.string())
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records that begin in a split, and first what of one begun before lies in it (with a null head)."""
-    for table in _by_split(batches):
-        lines = _numbers(table)
-        fid, block, kind, value, start = (table.column(c)[0].as_py() for c in ("fid", "block", "kind", "value", "start"))
+    """The records that begin in a portion of a split, and first what of one begun before lies in it (with a null head)."""
+    for table, lines, number, (kind, value), own in _entered(batches):
+        fid, block = (table.column(c)[0].as_py() for c in ("fid", "block"))
+        start = table.column("start")[0].as_py() if number == 0 else start + begun
+        begun = len(own)
         text = pa.concat_arrays(table.column("line").chunks).cast(pa.large_string())
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + lines.n + 1]
         data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if text.buffers()[2] else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        seq_lines, done, head = lines.entered(kind, value)
-        own = lines.chain(head)
+        seq_lines, done, _ = lines.entered(kind, value)
         heads, seq_end, end = lines.heads[own], lines.seq_end[own], np.minimum(lines.end[own], lines.n)
         has_qual, is_open = lines.has_qual[own], lines.open_kind[own] != SEEK
         names = text.take(pa.array(heads)).cast(pa.string())
@@ -223,10 +263,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq_begin, seq_end = np.append(0, seq_begin), np.append(seq_lines, seq_end)
             qual_begin, end = np.append(begin, qual_begin), np.append(min(done, lines.n) if plus else begin, end)
         qual = _gathered(data, offsets, qual_begin, np.where(has_qual, end, qual_begin))
-        qual = pa.array(qual.to_pylist(), mask=~has_qual) if not has_qual.all() else qual
-        columns = [pa.array(np.full(len(ords), fid)), pa.array(np.full(len(ords), block)), pa.array(ords), pa.array(is_open), names, _gathered(data, offsets, seq_begin, seq_end), qual]
+        qual = pc.if_else(pa.array(has_qual), qual, pa.scalar(None, pa.string()))
+        columns = [pa.array(np.full(len(ords), fid)), pa.array(np.full(len(ords), block)), pa.array(np.full(len(ords), number)), pa.array(ords), pa.array(is_open), names, _gathered(data, offsets, seq_begin, seq_end), qual]
         for low in range(0, len(ords), 1 << 14):
-            yield pa.RecordBatch.from_arrays([c.slice(low, 1 << 14) for c in columns], names=["fid", "block", "ord", "open", "head", "seq", "qual"])
+            yield pa.RecordBatch.from_arrays([c.slice(low, 1 << 14) for c in columns], names=["fid", "block", "portion", "ord", "open", "head", "seq", "qual"])
 
 
 def read_line_records(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -244,16 +284,16 @@ def read_line_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file")).withColumn("fid", F.xxhash64("file"))
     entered = saved(lines.select(*numbers).mapInArrow(_summarise, _SUMMARY).groupBy("fid").applyInPandas(_enter, "fid long, block long, kind int, value long"))
     known = lambda frame, splits: frame.join(F.broadcast(splits), ["fid", "block"])  # noqa: E731  one small row a split
-    counts = known(lines.select(*numbers), entered).mapInArrow(_count, "fid long, block long, n long")
+    counts = known(lines.select(*numbers), entered).mapInArrow(_count, "fid long, block long, n long").groupBy("fid", "block").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begins = saved(entered.join(counts, ["fid", "block"]).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
-    cut = known(lines, begins).select(*numbers, "kind", "value", "start", "line").mapInArrow(_cut, "fid long, block long, ord long, open boolean, head string, seq string, qual string")
+    cut = known(lines, begins).select(*numbers, "kind", "value", "start", "line").mapInArrow(_cut, "fid long, block long, portion long, ord long, open boolean, head string, seq string, qual string")
     return _whole(cut).join(F.broadcast(files), "fid").select("file", "ord", *_head(), "seq", "qual")
 
 
 def _whole(cut: DataFrame) -> DataFrame:
     """Records, with those in pieces put together; the lengths of sequence and quality are compared."""
-    pieces = cut.filter("open").groupBy("fid", "ord").agg(F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("block", "seq", "qual"))).alias("parts"), F.max(F.col("qual").isNotNull()).alias("has"))
+    pieces = cut.filter("open").groupBy("fid", "ord").agg(F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("block", "portion", "seq", "qual"))).alias("parts"), F.max(F.col("qual").isNotNull()).alias("has"))
     joined: Callable = lambda name: F.array_join(F.transform("parts", lambda p: F.coalesce(p[name], F.lit(""))), "")
     together = pieces.select("fid", "ord", "head", joined("seq").alias("seq"), F.when(F.col("has"), joined("qual")).alias("qual"))
     rows = cut.filter("not open").select("fid", "ord", "head", "seq", "qual").unionByName(together)

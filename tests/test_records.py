@@ -115,3 +115,30 @@ def test_reads_of_several_lines_pass_the_usual_reader(spark, tmp_path):
     (tmp_path / "x.fastq").write_text("@a/1 BX:Z:A-1\nAC\nGT\n+\nII\n@I\n@a/2 BX:Z:A-1\nGGG\n+\n+>@\n")
     got = sorted(tuple(r) for r in sq.read_sequences(spark, str(tmp_path / "x.fastq")).drop("file").collect())
     assert got == [(0, "a/1", "BX:Z:A-1", "ACGT", "II@I"), (1, "a/2", "BX:Z:A-1", "GGG", "+>@")]
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 11])
+def test_a_split_is_read_in_portions(monkeypatch, lines):
+    """One split, in portions of few lines: the tables of portions lead to the state after it, and pieces of records, put
+    together by portion, are those of the whole text."""
+    import pyarrow as pa
+
+    for seed in range(25):
+        text = some_text(seed).split("\n")[:-1]
+        columns = [[0] * len(text), [0] * len(text), [ord(x[0]) if x else 0 for x in text], ["@" in x or ">" in x for x in text], [len(x) for x in text]]
+        rows = pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array([0] * len(text)) for _ in range(3)), pa.array(text)], names=["fid", "block", "first", "marked", "size", "kind", "value", "start", "line"])
+        batches = [rows.slice(i, 2) for i in range(0, len(text), 2)]
+        monkeypatch.setattr(rc, "PORTION_LINES", lines)
+        state = rc.SEEK, 0
+        for batch, (_, own_lines, _, entered, own) in zip(rc._summarise(iter(batches)), rc._entered(iter(batches)), strict=True):
+            assert entered == state
+            state = rc.apply(batch.to_pylist()[0], *state)
+            assert own_lines.left(*entered, own) == state and own_lines.n <= lines + 1
+        assert state == rc.apply(rc.summary(numbers(text)), rc.SEEK, 0)
+        records = {}
+        for r in [r for batch in rc._cut(iter(batches)) for r in batch.to_pylist()]:
+            head, seq, qual = records.get(r["ord"], (None, "", None))
+            records[r["ord"]] = head or r["head"], seq + r["seq"], qual if r["qual"] is None else (qual or "") + r["qual"]
+        want = plain_reader("\n".join(text) + "\n")
+        assert [records[i][1:] for i in range(len(records))] == [w[2:] for w in want]
+        assert sum(b.to_pylist()[0]["n"] for b in rc._count(iter(batches))) == len(want)
