@@ -9,11 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .numbering import sums_before
+from .numbering import saved
 
 
 @dataclass
@@ -22,9 +22,9 @@ class _Wrote(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Writes each line at its own place of a file beside the target; the commit gives it the target's name.
+    """Writes lines (number, begin, value) to a file beside the target; the commit gives it the target's name.
 
-    A line is always written at the same place, so tasks that run twice do no harm.
+    A range of lines, numbered one after another, begins at a place of the file and lies there in one piece. A line is always written at the same place, so tasks that run twice do no harm.
     """
 
     def __init__(self, options: dict):
@@ -35,15 +35,21 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         size, file = 0, os.open(self.part, os.O_WRONLY | os.O_CREAT, 0o644)
+        begin, after, place = -1, 0, 0
         try:
             for batch in iterator:
-                at = batch.column(0).to_numpy()
-                lines = [x.encode() + b"\n" for x in batch.column(1).to_pylist()]
-                ends = at + np.array([len(x) for x in lines], np.int64)
-                cuts = [0, *(np.flatnonzero(at[1:] != ends[:-1]) + 1).tolist(), len(lines)]
+                number, begins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                lines = [x.encode() + b"\n" for x in batch.column(2).to_pylist()]
+                cuts = [0, *(np.flatnonzero(begins[1:] != begins[:-1]) + 1).tolist(), len(lines)]
                 for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                     if low < high:
-                        data, place = memoryview(b"".join(lines[low:high])), int(at[low])
+                        if begins[low] != begin:
+                            begin = place = int(begins[low])
+                            after = int(number[low])
+                        if (number[low:high] != np.arange(after, after + high - low)).any():
+                            raise OSError("lines do not come in their order")
+                        after += high - low
+                        data = memoryview(b"".join(lines[low:high]))
                         size += len(data)
                         while data:  # a call may write a part only
                             done = os.pwrite(file, data, place)
@@ -68,7 +74,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class OneFile(DataSource):
-    """df.write.format("one_file"): columns (at, value), see write_one_file."""
+    """df.write.format("one_file"): columns (number, begin, value), see write_one_file."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,17 +87,23 @@ class OneFile(DataSource):
 def write_one_file(lines: DataFrame, path: str, order: list[str]) -> None:
     """The column `value` of lines as one text file in the order of the columns (and of value, where these are equal).
 
-    The bytes of the lines before tell each line its place, summed up over ranges, so every task writes its own stretch
-    of the file and no text meets in one task or the driver. The path must lie in a file system that all tasks mount. An
+    Lines are dealt by ranges of the order, and the bytes of the ranges before tell each where it begins. So every task writes
+    its own stretch of the file, text moves once, and none meets in one task or the driver. The path must lie in a file system that all tasks mount. An
     older file is replaced once all is written. Null lines are left out.
     """
     spark = lines.sparkSession
     spark.dataSource.register(OneFile)
     order = list(dict.fromkeys([*order, "value"]))
-    size = (F.octet_length("value") + 1).cast("long")
-    placed = sums_before(lines.filter("value is not null").select(*order), size, [], order, "at")
-    total = placed.agg(F.coalesce(F.max(F.col("at") + size), F.lit(0))).first()[0]
-    placed.select("at", "value").write.format("one_file").mode("append").option("run", uuid.uuid4().hex).option("size", total).save(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = lines.filter("value is not null").select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = saved(ranged.select(F.monotonically_increasing_id().alias("number"), "value"))
+    in_range = F.shiftright("number", 33)  # of a number the rest counts the lines of its range
+    sizes = ranged.groupBy(in_range.alias("range")).agg(F.sum(F.octet_length("value").cast("long") + 1).alias("size"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = saved(sizes.withColumn("begin", F.coalesce(F.sum("size").over(earlier), F.lit(0))))  # a small row a range
+    total = begins.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    placed = ranged.join(F.broadcast(begins), in_range == F.col("range"))
+    placed.select("number", "begin", "value").write.format("one_file").mode("append").option("run", uuid.uuid4().hex).option("size", total).save(path)
 
 
 def table_lines(frame: DataFrame, order: list[str], header: bool = True) -> tuple[DataFrame, list[str]]:

@@ -122,12 +122,14 @@ def read_records(spark: SparkSession, paths: list[str], separator: str | None =
 
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     """FASTA records, split where a line begins with >."""
-    rows = read_records(spark, list(paths), "\n>").withColumn("line", F.regexp_replace("line", r"\A>|\r", ""))
+    line = F.when(F.col("line").startswith(">"), F.substring("line", F.lit(2), F.length("line"))).otherwise(F.col("line"))
+    rows = read_records(spark, list(paths), "\n>").withColumn("line", F.replace(line, F.lit("\r"), F.lit("")))
     rows = rows.filter("trim(line) <> ''")
-    head, body = F.substring_index("line", "\n", 1), F.regexp_extract("line", r"(?s)\A[^\n]*\n?(.*)", 1)
+    head = F.substring_index("line", "\n", 1)
+    body = F.replace(F.substring("line", F.length(head) + 2, F.length("line")), F.lit("\n"), F.lit(""))
     return rows.select(
         "file", "ord", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\S*\s+(.*)$", 1).alias("comment"),
-        F.regexp_replace(body, r"\s", "").alias("seq"), F.lit(None).cast("string").alias("qual"),
+        F.when(body.rlike(r"\s"), F.regexp_replace(body, r"\s", "")).otherwise(body).alias("seq"), F.lit(None).cast("string").alias("qual"),
     )
 
 
@@ -194,9 +196,21 @@ def detect_format(paths: list[str]) -> str:
 
 
 def interleave(*frames: DataFrame) -> DataFrame:
-    """Records of several files taken in turn, place by place, file by file; `place` is where each comes, from 0."""
-    numbered = [number_rows(f, ["ord"], "record").withColumn("file_no", F.lit(i)) for i, f in enumerate(frames)]
-    return number_rows(reduce(DataFrame.unionByName, numbered), ["record", "file_no"], "place").drop("record")
+    """Records of several files taken in turn, place by place, file by file; `place` is where each comes, from 0.
+
+    Records are numbered once. Before the r-th of a file come r of every other file, or all where it has fewer, and the
+    r-th of the files before it; so the counts of the files tell the place, and no record moves again.
+    """
+    numbered = [number_rows(f, ["ord"], "record") for f in frames]
+    counts = [f.agg(F.count("*").alias(f"__n{i}")) for i, f in enumerate(numbered)]
+    sizes = F.broadcast(reduce(DataFrame.crossJoin, counts))
+
+    def placed(frame: DataFrame, i: int) -> DataFrame:
+        before = [F.least(F.col("record") + (1 if j < i else 0), F.col(f"__n{j}")) for j in range(len(frames)) if j != i]
+        place = sum(before, F.col("record")).cast("long").alias("place")
+        return frame.crossJoin(sizes).select(*frames[i].columns, F.lit(i).alias("file_no"), place)
+
+    return reduce(DataFrame.unionByName, [placed(f, i) for i, f in enumerate(numbered)])
 
 
 def fasta_index(contigs: DataFrame, line: int = 60) -> DataFrame:

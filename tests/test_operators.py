@@ -484,3 +484,21 @@ def test_windows_dealt_are_few_bytes_each():
     rows = pa.RecordBatch.from_arrays([text, pa.array(range(20000))], names=["__seq", "id"])
     size = sum(len(x) for batch in km._deal(20, False, 1)(iter([rows])) for x in batch.column(3).to_pylist())
     assert size < 4 * 41 * 20000  # a row a window has its k-mer of 8 bytes alone
+
+
+def test_interleaving_moves_records_once(spark):
+    """Places are told from counts: three files of several lengths in one pass of each, gaps in their numbers."""
+    shape = "file string, ord long, name string"
+    sizes = (7, 0, 12, 4)
+    frames = [spark.createDataFrame([(f"f{k}", 3 * i + k, f"{k}-{i}") for i in range(n)], shape).repartition(5) for k, n in enumerate(sizes)]
+    out = sq.interleave(*frames)
+    want = [f"{k}-{i}" for i in range(max(sizes)) for k, n in enumerate(sizes) if i < n]
+    assert [(r.place, r.name) for r in sorted(out.collect(), key=lambda r: r.place)] == list(enumerate(want))
+    # records stay where they were numbered: only counts are joined to them
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fasta_of_odd_lines(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(b">a b c\r\nAC GT\r\n\r\nGG\n>\n>b\n>c\td\nA\tC\x0bG\n\nT>T\n>\xc3\xa9 x\nNN")
+    got = sorted((r.ord, r.name, r.comment, r.seq) for r in sq.read_fasta(spark, str(tmp_path / "x.fa")).collect())
+    assert [x[1:] for x in got] == [("a", "b c", "ACGTGG"), ("b", "", ""), ("c", "d", "ACGT>T"), ("é", "x", "NN")]
