@@ -502,3 +502,13 @@ def test_fasta_of_odd_lines(spark, tmp_path):
     (tmp_path / "x.fa").write_bytes(b">a b c\r\nAC GT\r\n\r\nGG\n>\n>b\n>c\td\nA\tC\x0bG\n\nT>T\n>\xc3\xa9 x\nNN")
     got = sorted((r.ord, r.name, r.comment, r.seq) for r in sq.read_fasta(spark, str(tmp_path / "x.fa")).collect())
     assert [x[1:] for x in got] == [("a", "b c", "ACGTGG"), ("b", "", ""), ("c", "d", "ACGT>T"), ("é", "x", "NN")]
+
+
+def test_ends_are_cut_before_they_are_numbered(spark):
+    """What is saved for the numbers holds the ends, not the sequences."""
+    from scaffweave.operators import contigs as ct
+
+    rows = spark.createDataFrame([("f", 7 * i, f"c{i}", "ACGT" * 50 + "G" * i) for i in range(9)], "file string, ord long, contig_id string, seq string").repartition(4)
+    got = sorted(tuple(r) for r in ct.contig_ends(rows, 203, 30).collect())
+    assert got == [x for k, i in enumerate(range(3, 9), 1) for x in ((2 * k - 1, f"c{i}", True, ("ACGT" * 8)[:30]), (2 * k, f"c{i}", False, ("ACGT" * 50 + "G" * i)[-30:]))]
+    assert "seq#" not in ct.contig_ends(rows, 203, 30)._jdf.queryExecution().analyzed().toString().replace("end_seq#", "")
