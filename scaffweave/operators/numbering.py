@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +14,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Frames made and run in here give their shuffle files back once they have run; those that lie in files by then need them no more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(frame: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder."""
+    """Checkpointed in the shared folder; what was shuffled for it is freed."""
     spark = frame.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return frame.checkpoint()
+    with shuffles_freed(spark):
+        return frame.select("*").checkpoint()
 
 
 def number_rows(frame: DataFrame, order: list[str], name: str = "idx", start: int = 0) -> DataFrame:

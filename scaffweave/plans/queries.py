@@ -853,7 +853,7 @@ def long_read_run(spark, sf):
     """All sequences written as one FASTA file that is both the draft and the long reads of a whole run; the counts of its
     barcodes on ends of contigs."""
     path = f"{shared_folder(spark)}/long-{uuid.uuid4()}.fa"
-    write_one_file(st.solid_sequences(spark, sf).select("ord", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")), path, ["ord"])
+    write_one_file(st.solid_sequences(spark, sf).select("ord", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")), path, ["ord"], again=True)
     params = ScaffoldParams(file=path, inputs=(path,), kmer_mode=True, k_value=20, end_length=300, min_size=500)
     return Scaffolder(params).run_long(spark, cut=60, min_length=0).imap
 
@@ -925,7 +925,7 @@ def scan_gv(spark, sf):
 def _fasta_file(spark, rows, width: int) -> str:
     path = _new_path(spark, "draft.fa")
     lines = F.regexp_replace("seq", "(.{%d})" % width, "$1\n")
-    write_one_file(rows.select("ord", F.concat(F.lit(">"), "name", F.lit(" x\n"), lines).alias("value")), path, ["ord"])
+    write_one_file(rows.select("ord", F.concat(F.lit(">"), "name", F.lit(" x\n"), lines).alias("value")), path, ["ord"], again=True)
     return path
 
 

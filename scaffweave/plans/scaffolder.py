@@ -79,7 +79,7 @@ class Scaffolder:
         barcode (its place in all files, from 1) and is cut into pairs, which are placed on the ends of contigs.
 
         `extra` holds `contigs` as renamed, `bx_mult`, and `params`: the span (if genome_size is told) and the percentile
-        of read lengths as one-row frames. All of it is lazy, but for numbered rows.
+        of read lengths as one-row frames. All of it is lazy, but for the numbers, which need counts of the files.
         """
         p = self.params
         if not p.kmer_mode:
@@ -87,13 +87,17 @@ class Scaffolder:
         inputs = [*p.inputs, *(sq.read_fof(spark, p.fof_name) if p.fof_name else [])]
         if not inputs:
             raise ValueError("there are no inputs")
-        contigs = ct.rename_contigs(sq.read_contigs(spark, p.file))
-        reads = lr.long_read_barcodes(sq.read_sequences(spark, *inputs)).withColumn("barcode", F.col("barcode").cast("string"))
-        cuts = lr.cut_long_reads(reads, cut, min_length, fasta=True)
-        pairs = cuts.select(F.lit("").alias("file"), F.struct("barcode", "read_num").alias("pair"), "barcode", F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
-        mult = lr.pseudo_multiplicity(reads, cut, min_length).withColumnRenamed("n", "mult")
+        # numbered where the files are read: neither contigs nor reads are dealt or saved
+        contigs = sq.read_contigs(spark, p.file, number="place").withColumn("contig_id", F.col("place").cast("string")).drop("place")
+        numbered = sq.read_sequences(spark, *inputs, number="barcode")
+        cuts = lr.cut_long_reads(numbered, cut, min_length, fasta=True)
+        # barcodes stay numbers until pairs are counted, and the number within a read tells its pairs apart
+        pairs = cuts.select(F.lit("").alias("file"), F.col("read_num").alias("pair"), "barcode", F.col("fwd").alias("seq1"), F.col("rev").alias("seq2"))
+        of_numbers = lr.pseudo_multiplicity(numbered, cut, min_length).withColumnRenamed("n", "mult")
         ends = ct.contig_ends(contigs, p.min_size, p.end_length)
-        imap = km.kmer_end_counts(pairs, mult, ends, p.k_value, p.j_index)
+        text = F.col("barcode").cast("string")
+        imap = km.kmer_end_counts(pairs, of_numbers, ends, p.k_value, p.j_index).withColumn("barcode", text)
+        mult, reads = of_numbers.withColumn("barcode", text), numbered.withColumn("barcode", text)
         result = self.from_counts(imap, mult, ct.contig_lengths(contigs.filter(F.col("length") >= p.min_size)))
         spans = [lr.span(reads, genome_size, span_share)] if genome_size else []
         result.extra.update(contigs=contigs, bx_mult=mult, params=[*spans, lr.length_percentile(reads, percentile)])

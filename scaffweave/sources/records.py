@@ -269,12 +269,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.slice(low, 1 << 14) for c in columns], names=["fid", "block", "portion", "ord", "open", "head", "seq", "qual"])
 
 
-def read_line_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_line_records(spark: SparkSession, paths: list[str], number: str | None = None) -> DataFrame:
     """(file, ord, name, comment, seq, qual) of the records of FASTA and FASTQ files, numbered from 0 in each file.
 
     Sequences and qualities may take any number of lines; qual is null where a record has no + line. A quality
     that is not as long as its sequence raises. Files are split as Spark splits text (compressed ones are not). A text of no
-    records gives no rows.
+    records gives no rows. With number also this column: the place of a record in all files, in the order of their names, from 1.
     """
     lines = spark.read.text(paths).select(
         F.xxhash64(F.col("_metadata.file_path")).alias("fid"), F.col("_metadata.file_block_start").alias("block"), F.ascii("value").alias("first"),
@@ -286,9 +286,14 @@ def read_line_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     known = lambda frame, splits: frame.join(F.broadcast(splits), ["fid", "block"])  # noqa: E731  one small row a split
     counts = known(lines.select(*numbers), entered).mapInArrow(_count, "fid long, block long, n long").groupBy("fid", "block").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = saved(entered.join(counts, ["fid", "block"]).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
-    cut = known(lines, begins).select(*numbers, "kind", "value", "start", "line").mapInArrow(_cut, "fid long, block long, portion long, ord long, open boolean, head string, seq string, qual string")
-    return _whole(cut).join(F.broadcast(files), "fid").select("file", "ord", *_head(), "seq", "qual")
+    begins = saved(entered.join(counts, ["fid", "block"]).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    if number:  # every record of a file has its place in it, so the counts of the files before are all that is missing
+        by_file = begins.groupBy("fid").agg(F.sum("n").alias("n")).join(files, "fid")
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        files = by_file.select("fid", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    cut = known(lines, begins.drop("n")).select(*numbers, "kind", "value", "start", "line").mapInArrow(_cut, "fid long, block long, portion long, ord long, open boolean, head string, seq string, qual string")
+    place = [(F.col("ord") + F.col("before") + 1).alias(number)] if number else []
+    return _whole(cut).join(F.broadcast(files), "fid").select("file", "ord", *_head(), "seq", "qual", *place)
 
 
 def _whole(cut: DataFrame) -> DataFrame:

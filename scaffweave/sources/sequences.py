@@ -102,6 +102,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SequenceSource)
 
 
+def _records(spark: SparkSession, paths: list[str], separator: str | None = None) -> DataFrame:
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
+    )
+
+
 def read_records(spark: SparkSession, paths: list[str], separator: str | None = None) -> DataFrame:
     """(file, ord, line): lines, or other records, numbered from 0 in each file.
 
@@ -109,47 +116,69 @@ def read_records(spark: SparkSession, paths: list[str], separator: str | None =
     of the file's earlier ones end. There is one small row a split (of 128 MB by default), so 100 TB have fewer than
     a million, which are sent to every task.
     """
-    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    rows = reader.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
-    )
+    rows = _records(spark, paths, separator)
     splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = splits.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    begins = splits.select("file", "block", (_sum_before("n", "file") - F.col("first")).alias("shift"))
     # a split's places follow each other, so the shift of its split numbers a record; the text itself stays where it is
     return rows.join(F.broadcast(begins), ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("ord"), "line")
 
 
-def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """FASTA records, split where a line begins with >."""
+def _sum_before(n: str, *by: str):
+    """The sum of n over the splits before, of all files or of each."""
+    earlier = Window.partitionBy(*by).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(n).over(earlier), F.lit(0))
+
+
+def _fasta_lines(spark: SparkSession, paths: list[str], number: str | None) -> DataFrame:
+    """(file, ord, line) of FASTA records, without > before a name. With number also this column, from 1: the place of the
+    record, among those that hold more than spaces, in all files; told by the counts of the splits, as `ord` is."""
     line = F.when(F.col("line").startswith(">"), F.substring("line", F.lit(2), F.length("line"))).otherwise(F.col("line"))
-    rows = read_records(spark, list(paths), "\n>").withColumn("line", F.replace(line, F.lit("\r"), F.lit("")))
-    rows = rows.filter("trim(line) <> ''")
+    bare, filled = F.replace(line, F.lit("\r"), F.lit("")).alias("line"), "trim(line) <> ''"
+    if number is None:
+        return read_records(spark, paths, "\n>").select("file", "ord", bare).filter(filled)
+    rows = _records(spark, paths, "\n>").select("file", "block", "place", bare)
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.count_if(F.expr(filled)).alias("n_kept"))
+    own = rows.filter(filled).withColumn("kept", F.monotonically_increasing_id())
+    splits = saved(counts.join(own.groupBy("file", "block").agg(F.min("kept").alias("first_kept")), ["file", "block"], "left"))
+    begins = splits.select("file", "block", (_sum_before("n", "file") - F.col("first")).alias("shift"), (_sum_before("n_kept") - F.col("first_kept") + 1).alias("shift_kept"))
+    return own.join(F.broadcast(begins), ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("ord"), "line", (F.col("kept") + F.col("shift_kept")).alias(number))
+
+
+def read_fasta(spark: SparkSession, *paths: str, number: str | None = None) -> DataFrame:
+    """FASTA records, split where a line begins with >. With number also this column: the place of a record in all files, in
+    the order of their names, from 1."""
+    rows = _fasta_lines(spark, list(paths), number)
     head = F.substring_index("line", "\n", 1)
     body = F.replace(F.substring("line", F.length(head) + 2, F.length("line")), F.lit("\n"), F.lit(""))
     return rows.select(
         "file", "ord", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\S*\s+(.*)$", 1).alias("comment"),
         F.when(body.rlike(r"\s"), F.regexp_replace(body, r"\s", "")).otherwise(body).alias("seq"), F.lit(None).cast("string").alias("qual"),
+        *([number] if number else []),
     )
 
 
-def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """FASTQ records of any number of lines, split wherever Spark splits the files."""
-    return read_line_records(spark, list(paths))
+def read_fastq(spark: SparkSession, *paths: str, number: str | None = None) -> DataFrame:
+    """FASTQ records of any number of lines, split wherever Spark splits the files. With number also this column, as
+    read_fasta tells it."""
+    return read_line_records(spark, list(paths), number)
 
 
-def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of FASTA or FASTQ files, by the end of their names."""
+def read_sequences(spark: SparkSession, *paths: str, number: str | None = None) -> DataFrame:
+    """Records of FASTA or FASTQ files, by the end of their names. With number also this column: the place of a record in
+    all files, in the order of their names, from 1; files of both kinds together are dealt for it."""
     fastq = [p for p in paths if p.endswith(READS)]
     fasta = [p for p in paths if p not in fastq]
-    out = [f(spark, *own) for f, own in ((read_fasta, fasta), (read_fastq, fastq)) if own]
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    kinds = [(f, own) for f, own in ((read_fasta, fasta), (read_fastq, fastq)) if own]
+    if len(kinds) == 1:
+        return kinds[0][0](spark, *kinds[0][1], number=number)
+    both = reduce(DataFrame.unionByName, [f(spark, *own) for f, own in kinds])
+    return number_rows(both, ["file", "ord"], number, start=1) if number else both
 
 
-def read_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, contig_id, comment, seq, length)."""
-    rows = read_sequences(spark, path)
-    return rows.select("file", "ord", F.col("name").alias("contig_id"), "comment", "seq", F.length("seq").alias("length"))
+def read_contigs(spark: SparkSession, path: str, number: str | None = None) -> DataFrame:
+    """(file, ord, contig_id, comment, seq, length), and number as read_sequences tells it."""
+    rows = read_sequences(spark, path, number=number)
+    return rows.select("file", "ord", F.col("name").alias("contig_id"), "comment", "seq", F.length("seq").alias("length"), *([number] if number else []))
 
 
 def read_alignments(spark: SparkSession, *paths: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """A whole run over long reads, from cutter to graph and files."""
 
+import os
 import random
 
 import pytest
@@ -43,3 +44,23 @@ def test_runs_that_cannot_be(spark, tmp_path):
     for params in (ScaffoldParams(inputs=("a.fq",)), ScaffoldParams(file="c.fa", kmer_mode=True)):
         with pytest.raises(ValueError):
             Scaffolder(params).run_long(spark)
+
+
+@pytest.mark.parametrize("kind", ["fa", "fq"])
+def test_neither_reads_nor_contigs_are_saved(spark, tmp_path, kind):
+    """What a run over long reads saves holds the ends of contigs and counts of files, not the text."""
+    from scaffweave.operators.numbering import shared_folder
+
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared_folder(spark)) for f in names)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACGT") for _ in range(100_000)) for _ in range(6)]
+    record = (lambda i, s: f">s{i}\n{s}\n") if kind == "fa" else (lambda i, s: f"@s{i}\n{s}\n+\n{'I' * len(s)}\n")
+    (tmp_path / "draft.fa").write_text("".join(f">s{i}\n{s}\n" for i, s in enumerate(texts)))
+    (tmp_path / f"reads.{kind}").write_text("".join(record(i, s) for i, s in enumerate(texts)))
+    before = held()
+    params = ScaffoldParams(file=str(tmp_path / "draft.fa"), inputs=(str(tmp_path / f"reads.{kind}"),), kmer_mode=True, k_value=20, end_length=300, base_name=str(tmp_path / "out"))
+    result = Scaffolder(params).run_long(spark, cut=60)
+    got = {(r.barcode, r.contig, r.is_head) for r in result.imap.collect()}
+    assert got == {(str(i + 1), str(i + 1), h) for i in range(6) for h in (True, False)}
+    assert dict(result.imap.dtypes)["barcode"] == dict(result.mult.dtypes)["barcode"] == "string"
+    assert held() - before < 60_000

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,38 @@ def test_tables_keep_nulls_and_numbers_in_order(spark, tmp_path):
     lines = (tmp_path / "t.tsv").read_text().splitlines()
     assert lines == ["a\tb", *[f"{i}\t{i if i % 3 else ''}" for i in range(1000)]]
     assert sinks.main_table(frame.withColumnRenamed("a", "u")).columns == ["U", "b"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_lines_made_again_are_not_saved(spark, tmp_path, n):
+    """The same file as from saved lines; the shared folder gets their sizes alone, and nothing shuffled stays."""
+    from scaffweave.operators.numbering import shared_folder
+
+    def held(folder, data=""):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if data in f)
+
+    rng = random.Random(n)
+    letters = lambda: "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 5, 900])))
+    rows = [(rng.choice([None, rng.randrange(n // 3 + 1)]), "same line " * 8 + letters()) for _ in range(n)] + [(0, None)]
+    spark.createDataFrame(rows, "k int, value string").repartition(7).write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    of.write_one_file(frame, str(tmp_path / "out.txt"), ["k"])
+    before, local = held(shared_folder(spark)), spark.conf.get("spark.local.dir")
+    shuffled = held(local, "shuffle_")
+    of.write_one_file(frame, str(tmp_path / "again.txt"), ["k"], again=True)
+    text = (tmp_path / "again.txt").read_bytes()
+    assert text == (tmp_path / "out.txt").read_bytes() and text.count(b"\n") == n
+    assert held(shared_folder(spark)) - before < 100_000 + 50 * n
+    for _ in range(100):  # files are freed a moment later
+        if held(local, "shuffle_") <= shuffled + 20_000:
+            break
+        time.sleep(0.1)
+    assert held(local, "shuffle_") <= shuffled + 20_000
+
+
+def test_lines_that_are_not_the_same_again_raise(spark, tmp_path):
+    frame = spark.range(2000).select("id", F.repeat(F.lit("x"), (F.rand() * 50).cast("int")).alias("value"))
+    drawn = frame.withColumn("value", F.concat("value", F.udf(lambda: "y" * random.randrange(90), "string").asNondeterministic()()))
+    with pytest.raises(Exception, match="bytes of"):
+        of.write_one_file(drawn, str(tmp_path / "x.txt"), ["id"], again=True)
+    assert not os.path.exists(tmp_path / "x.txt")

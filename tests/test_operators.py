@@ -512,3 +512,33 @@ def test_ends_are_cut_before_they_are_numbered(spark):
     got = sorted(tuple(r) for r in ct.contig_ends(rows, 203, 30).collect())
     assert got == [x for k, i in enumerate(range(3, 9), 1) for x in ((2 * k - 1, f"c{i}", True, ("ACGT" * 8)[:30]), (2 * k, f"c{i}", False, ("ACGT" * 50 + "G" * i)[-30:]))]
     assert "seq#" not in ct.contig_ends(rows, 203, 30)._jdf.queryExecution().analyzed().toString().replace("end_seq#", "")
+
+
+def test_keys_of_stretches_take_few_bytes():
+    """Steps of keys and no places of letters: with four keys a stretch takes not much more than its letters; and it is had back."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = pa.array(["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(40000)])
+    keys = {"file": [""] * 40000, "pair": [i // 2 % 30 for i in range(40000)], "barcode": [2**40 + i // 60 for i in range(40000)], "mate": [i % 2 + 1 for i in range(40000)]}
+    rows = pa.RecordBatch.from_arrays([text, *map(pa.array, keys.values())], names=["__seq", *keys])
+    dealt = [x for batch in km._deal(20, False, 1)(iter([rows])) for x in batch.to_pylist()]
+    letters = sum(int(((windows + 22) // 4).sum()) for _, _, windows, _ in km._stretches(text, 20, False))
+    assert sum(len(x["data"]) for x in dealt) < 2 * letters
+    parts = [km._parted(pa.decompress(x["data"], decompressed_size=x["size"], codec="zstd"), 20) for x in dealt]
+    assert sum(pa.compute.sum(p.column("__windows")).as_py() for p in parts) == 41 * 40000
+    want = set(zip(*keys.values(), strict=True))
+    assert {tuple(r.values())[:4] for p in parts for r in p.to_pylist()} == want
+
+
+@pytest.mark.parametrize("kind", ["int8", "int16", "int32", "int64"])
+def test_stretches_come_back_as_they_were(kind):
+    import pyarrow as pa
+
+    top = 2 ** (int(kind[3:]) - 1)
+    columns = [pa.array([7, top - 1, -top, 0, top - 1], kind), pa.array([1, None, 2, 3, 4], kind), pa.array(["x", None, "é", "", "x"]), pa.array([{"a": 1, "b": "c"}] * 5)]
+    windows = pa.array([1, 3, 5, 1, 70000], pa.int32())
+    letters = pa.array([bytes([i]) * ((w + 22) // 4) for i, w in enumerate(windows.to_pylist())], pa.binary())
+    rows = pa.RecordBatch.from_arrays([*columns, windows, letters], names=["n", "some", "text", "both", "__windows", "__letters"])
+    for part in (rows, rows.slice(1), rows.slice(2, 1)):
+        assert km._parted(pa.py_buffer(km._joined(part.columns, part.schema.names)), 20).equals(part)

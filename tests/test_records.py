@@ -142,3 +142,27 @@ def test_a_split_is_read_in_portions(monkeypatch, lines):
         want = plain_reader("\n".join(text) + "\n")
         assert [records[i][1:] for i in range(len(records))] == [w[2:] for w in want]
         assert sum(b.to_pylist()[0]["n"] for b in rc._count(iter(batches))) == len(want)
+
+
+@pytest.mark.parametrize("size", [41, 333, 1 << 20])
+@pytest.mark.parametrize("kinds", [("fa",), ("fq",), ("fa", "fq")])
+def test_records_are_numbered_where_they_lie(spark, tmp_path, size, kinds):
+    """Over all files by their names, as a sort of them gives it; records of spaces alone are not counted, wherever splits lie."""
+    rng = random.Random(size)
+    paths = []
+    for i, kind in enumerate(kinds * 3):
+        path = tmp_path / f"{rng.randrange(100):02d}-{i}.{kind}"
+        fasta = "".join(rng.choice([f">a{j} x\nAC\nG{'T' * j}\n", f">b{j}\nACG\n", ">\n" * rng.randrange(70), ">  \n\n"]) for j in range(rng.randrange(40)))
+        path.write_text(some_text(size + i) if kind == "fq" else fasta if i else "")
+        paths.append(str(path))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [r.asDict() for r in sq.read_sequences(spark, *paths, number="place").collect()]
+        plain = [r.asDict() for r in sq.read_sequences(spark, *paths).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain.sort(key=lambda r: (r["file"], r["ord"]))
+    assert sorted(got, key=lambda r: r["place"]) == [r | {"place": i} for i, r in enumerate(plain, 1)] and plain
